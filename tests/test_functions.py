@@ -144,3 +144,18 @@ def test_platform_profiles(spark, ansi):
         assert all(rows[i][f] is not True for f in flags)
     counted = out.agg(*[F.count_if(F.col(f)).alias(f) for f in flags]).first()
     assert [counted[f] for f in flags] == [1, 1, 1, 1]
+
+
+def test_date_guard_changes_nothing(spark, ansi):
+    """The shape guard only skips parsers that cannot succeed."""
+    from vitrine.functions.dates import format_shape
+
+    extra = ["Oct  21 2008", " 2000-01-01", "2000-01-01 ", "+2000-01-01", "Sept 1 2010", "1 oct 2008", "21-Oct-2008"]
+    df = spark.createDataFrame([(r,) for r, _, _ in DATE_CASES] + [(e,) for e in extra], "raw string")
+    df = df.select(clean_date_text("raw").alias("clean"))
+    both = df.select(
+        parse_date_multi("clean", guard=True).alias("g"), parse_date_multi("clean", guard=False).alias("u")
+    )
+    assert both.filter(~F.col("g").eqNullSafe(F.col("u"))).count() == 0
+    assert format_shape("QQQ yyyy") is None
+    assert format_shape("yyyy-MM-dd'T'HH:mm") == r"^\s*[+-]?\d+\-\d+\-\d+T\d+:\d+\s*$"

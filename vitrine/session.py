@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings every vitrine job wants. AQE re-plans joins and aggregations at
 # runtime (coalesces tiny shuffle partitions, splits skewed join partitions,
 # turns a join into a broadcast only when the measured side is small).
+# The product features are CPU-heavy string work (regex clean-up, date
+# parsing), so a small shuffle is not coalesced below 64 KB per partition:
+# it stays spread over the cores. Large shuffles are sized by the advisory
+# partition size as usual.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
