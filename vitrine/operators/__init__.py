@@ -17,7 +17,8 @@ from .features import (
     with_review_features,
 )
 from .flatten import FLAT_MAPPING, flatten_catalog, platform_view
-from .stats import histogram, median, numeric_summary, quantile_disc
+from .quantiles import exact_quantiles
+from .stats import grouped_median, histogram, median, numeric_summary
 from .topk import sort_stable, top_k
 
 __all__ = [
@@ -26,6 +27,7 @@ __all__ = [
     "count_by",
     "distinct_by_key",
     "distinct_with_null",
+    "exact_quantiles",
     "explode_tokens",
     "flag_shares",
     "flatten_catalog",
@@ -35,7 +37,7 @@ __all__ = [
     "numeric_summary",
     "platform_view",
     "prepare_catalog",
-    "quantile_disc",
+    "grouped_median",
     "sort_stable",
     "top_k",
     "with_age",

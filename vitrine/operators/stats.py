@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bucket_floor
+from .quantiles import exact_quantiles
 
 # Statistic names of the distribution summary, in report order.
 SUMMARY_STATS = ["count", "mean", "stddev", "min", "25%", "50%", "75%", "max"]
@@ -13,25 +14,27 @@ SUMMARY_STATS = ["count", "mean", "stddev", "min", "25%", "50%", "75%", "max"]
 DEFAULT_ACCURACY = 10000
 
 
-def median(c: str, approx: bool = False, accuracy: int = DEFAULT_ACCURACY) -> Column:
-    """Median of ``c``.
+def median(c: str, accuracy: int = DEFAULT_ACCURACY) -> Column:
+    """Approximate median (fixed-size ``percentile_approx`` sketch per group)."""
+    return F.percentile_approx(c, 0.5, accuracy).cast("double")
 
-    Exact form: interpolated ``percentile``; it aggregates partially as a
-    value → count map per group, so the final merge holds one entry per
-    *distinct* value (bounded by the value domain, not the row count).
-    ``approx=True`` switches to the fixed-size ``percentile_approx`` sketch for
-    high-cardinality columns.
-    """
-    if approx:
-        return F.percentile_approx(c, 0.5, accuracy).cast("double")
-    return F.percentile(c, F.lit(0.5))
 
+def grouped_median(
+    df: DataFrame,
+    groups: list[str],
+    c: str,
+    out: str,
+    approx: bool = False,
+    accuracy: int = DEFAULT_ACCURACY,
+) -> DataFrame:
+    """Per group: median of ``c`` (interpolated, like ``percentile(c, 0.5)``).
 
-def quantile_disc(c: str, p: float, approx: bool = False, accuracy: int = DEFAULT_ACCURACY) -> Column:
-    """Smallest value whose cumulative share reaches ``p`` (a real data value)."""
+    Exact by default through :func:`exact_quantiles` (no group is merged in
+    one task); ``approx=True`` uses the sketch alone.
+    """
     if approx:
-        return F.percentile_approx(c, p, accuracy).cast("double")
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{c}`)").cast("double")
+        return df.groupBy(*groups).agg(median(c, accuracy).alias(out))
+    return exact_quantiles(df, c, [0.5], [out], groups, discrete=False, accuracy=accuracy)
 
 
 def numeric_summary(
@@ -43,20 +46,31 @@ def numeric_summary(
     value_col: str = "value",
 ) -> DataFrame:
     """count, mean, stddev, min, quartiles, max of ``c`` as (statistic, value)
-    rows. One global aggregate (partial per task, one tiny final merge),
-    then ``unpivot`` -- no driver round trip. NULLs are ignored."""
+    rows; NULLs are ignored. Quartiles are ``percentile_disc`` values (real
+    data values), exact through :func:`exact_quantiles` or, with
+    ``approx=True``, from the sketch. Moments come from one global aggregate
+    (partial per task); the wide row is turned into rows with ``unpivot`` --
+    no driver round trip."""
     x = F.col(c)
-    stats = {
-        "count": F.count(x).cast("double"),
-        "mean": F.avg(x),
-        "stddev": F.stddev_samp(x),
-        "min": F.min(x).cast("double"),
-        "25%": quantile_disc(c, 0.25, approx, accuracy),
-        "50%": quantile_disc(c, 0.5, approx, accuracy),
-        "75%": quantile_disc(c, 0.75, approx, accuracy),
-        "max": F.max(x).cast("double"),
-    }
-    wide = df.agg(*[expr.alias(name) for name, expr in stats.items()])
+    quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+    moments = [
+        F.count(x).cast("double").alias("count"),
+        F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("stddev"),
+        F.min(x).cast("double").alias("min"),
+        F.max(x).cast("double").alias("max"),
+    ]
+    if approx:
+        moments += [F.percentile_approx(c, p, accuracy).cast("double").alias(name) for name, p in quartiles.items()]
+        wide = df.agg(*moments)
+    else:
+        # both sides are single rows keyed by a constant
+        key = "__summary_key"
+        exact = exact_quantiles(
+            df.select(F.lit(0).alias(key), x), c, list(quartiles.values()), list(quartiles), [key],
+            discrete=True, accuracy=accuracy,
+        )
+        wide = df.agg(*moments).withColumn(key, F.lit(0)).join(F.broadcast(exact), key, "left")
     return wide.unpivot([], [F.col(f"`{s}`") for s in SUMMARY_STATS], stat_col, value_col)
 
 

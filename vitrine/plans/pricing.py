@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import share_percent
-from ..operators.stats import DEFAULT_ACCURACY, histogram, median, numeric_summary
+from ..operators.stats import DEFAULT_ACCURACY, grouped_median, histogram, numeric_summary
 
 
 def paid_prices(catalog: DataFrame, c: str = "price") -> DataFrame:
@@ -40,14 +40,17 @@ def discount_share(catalog: DataFrame) -> DataFrame:
 
 def price_by_genre(genres: DataFrame, approx: bool = False, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Per genre: rows, mean and median price in euros, highest median
-    first. ``nb_games`` counts (product, genre) rows, not distinct products."""
+    first. ``nb_games`` counts (product, genre) rows, not distinct products.
+    The exact median never merges a whole genre in one task
+    (:func:`~vitrine.operators.quantiles.exact_quantiles`)."""
+    stats = genres.groupBy("genre").agg(
+        F.count(F.lit(1)).alias("nb_games"),
+        F.avg("price_eur").alias("avg_price_eur"),
+    )
+    medians = grouped_median(genres, ["genre"], "price_eur", "median_price_eur", approx, accuracy)
     return (
-        genres.groupBy("genre")
-        .agg(
-            F.count(F.lit(1)).alias("nb_games"),
-            F.avg("price_eur").alias("avg_price_eur"),
-            median("price_eur", approx, accuracy).alias("median_price_eur"),
-        )
+        stats.join(medians, stats["genre"].eqNullSafe(medians["genre"]), "left")
+        .select(stats["genre"], "nb_games", "avg_price_eur", "median_price_eur")
         .orderBy(F.col("median_price_eur").desc_nulls_last(), F.col("genre").asc())
     )
 
