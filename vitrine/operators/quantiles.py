@@ -36,17 +36,25 @@ DEFAULT_ACCURACY = 10000
 
 _X = "__q_x"
 _N = "__q_n"
-_QI = "__q_i"
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def _null_safe_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", not_null: tuple[str, ...] = ("i",)
+) -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (a NULL group key is a
-    group like any other). The right side's keys are renamed first, so a
-    side derived from the left one never makes a column ambiguous."""
+    group like any other); keys in ``not_null`` use plain equality. The
+    right side's keys are renamed first, so a side derived from the left one
+    never makes a column ambiguous."""
     renamed = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    cond = reduce(
+        lambda a, b: a & b,
+        [
+            (F.col(k) == F.col(f"__r_{k}")) if k in not_null else F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+            for k in keys
+        ],
+    )
     joined = left.join(renamed, cond, how)
     if how in ("left_semi", "left_anti"):
         return joined
@@ -72,118 +80,112 @@ def exact_quantiles(
     accuracy: int = DEFAULT_ACCURACY,
     bracket_margin: float | None = None,
 ) -> DataFrame:
-    """One row per group that has non-NULL values: ``groups`` + one double
-    column per name in ``names`` (quantile ``probs[i]`` of ``value``).
+    """``groups`` + one double column per name in ``names`` (quantile
+    ``probs[i]`` of ``value``). Grouped: one row per group having a non-NULL
+    value. Global (no groups): always one row (NULLs on empty input).
 
     ``accuracy`` sizes the sketch (and so the bracket, about ``6 / accuracy``
     of a group's rows); ``bracket_margin`` overrides the bracket half-width in
-    probability units (tests use 0 to exercise the exact fallback)."""
+    probability units (tests use 0 to exercise the exact fallback).
+
+    Every join is an equi-join on (group keys, quantile index ``i``); the
+    sketch side has one row per (group, i), so AQE broadcasts it whenever it
+    is small, and a global quantile never degenerates into a cross join.
+    """
     if len(probs) != len(names) or not probs:
         raise ValueError("probs and names must be non-empty and of equal length")
     if any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("probabilities must be within [0, 1]")
-    user_groups = list(groups or [])
-    # a global quantile is one group keyed by a constant (its sketch is one
-    # row, so the joins below broadcast it)
-    groups = user_groups or ["__q_all"]
+    groups = list(groups or [])
     k = len(probs)
-    base = df.select(
-        *(user_groups or [F.lit(0).alias("__q_all")]), F.col(value).cast("double").alias(_X)
-    ).filter(F.col(_X).isNotNull())
+    keys = groups + ["i"]
+    base = df.select(*groups, F.col(value).cast("double").alias(_X)).filter(F.col(_X).isNotNull())
+    # each row once per requested quantile (narrow; k is small)
+    pairs = base.select(*groups, _X, F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("i"))
 
     # 1. sketch: per group the row count and a bracket around every target
     margin = 3.0 / accuracy if bracket_margin is None else bracket_margin
     edges = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     sketch = base.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias(_N), F.percentile_approx(_X, edges, accuracy).alias("__q_b")
+        F.count(F.lit(1)).alias(_N), F.percentile_approx(_X, edges, accuracy).alias("b")
     )
     n = F.col(_N)
-    bounds = []
+    per_quantile = []
     for i, p in enumerate(probs):
         r1, r2, pos = _ranks(p, n, discrete)
-        bounds += [
-            F.col("__q_b")[i].alias(f"__q_lo{i}"),
-            F.col("__q_b")[k + i].alias(f"__q_hi{i}"),
-            r1.alias(f"__q_r1_{i}"),
-            r2.alias(f"__q_r2_{i}"),
-            pos.alias(f"__q_pos{i}"),
-        ]
-    sketch = sketch.select(*groups, n, *bounds)
-
-    # 2. one pass: below-bracket rows collapse to one NULL key per (group, i)
-    rows = _null_safe_join(base, sketch.select(*groups, *[c for i in range(k) for c in (f"__q_lo{i}", f"__q_hi{i}")]), groups)
+        per_quantile.append(
+            F.struct(
+                F.lit(i).alias("i"),
+                F.col("b")[i].alias("lo"),
+                F.col("b")[k + i].alias("hi"),
+                r1.alias("r1"),
+                r2.alias("r2"),
+                pos.alias("pos"),
+            )
+        )
+    targets = sketch.select(*groups, F.explode(F.array(*per_quantile)).alias("t")).select(*groups, "t.*")
+    if not groups:
+        # global: exactly k rows, a proven bound -- always the broadcast side
+        targets = F.broadcast(targets)
+
+    # 2. one pass: rows below the bracket keep a NULL value (collapsed to one
+    # count per (group, i) by the map-side partial aggregation), rows above
+    # it are dropped; the target ranks ride along as grouping keys
     x = F.col(_X)
-    hits = F.array(
-        *[
-            F.when(x <= F.col(f"__q_hi{i}"), F.struct(F.lit(i).alias("i"), F.when(x >= F.col(f"__q_lo{i}"), x).alias("v")))
-            for i in range(k)
-        ]
-    )
     counted = (
-        rows.select(*groups, F.explode(hits).alias("__q_h"))
-        .filter(F.col("__q_h").isNotNull())
-        .select(*groups, F.col("__q_h.i").alias(_QI), F.col("__q_h.v").alias("__q_v"))
-        .groupBy(*groups, _QI, "__q_v")
-        .agg(F.count(F.lit(1)).alias("__q_c"))
+        _null_safe_join(pairs, targets, keys)
+        .filter(x <= F.col("hi"))
+        .select(*keys, "r1", "r2", "pos", F.when(x >= F.col("lo"), x).alias("v"))
+        .groupBy(*keys, "r1", "r2", "pos", "v")
+        .agg(F.count(F.lit(1)).alias("c"))
     )
-    # per (group, i): cumulative count in value order; the NULL key (rows
-    # below the bracket) sorts first. Window partitions are bracket-sized.
-    w = Window.partitionBy(*groups, _QI).orderBy(F.col("__q_v").asc_nulls_first()).rowsBetween(
+    # per (group, i): running count in value order, NULL (below) first;
+    # window partitions are bracket-sized
+    w = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    cum = counted.withColumn("__q_cum", F.sum("__q_c").over(w))
-
-    long_targets = sketch.select(
-        *groups,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        F.col(f"__q_r1_{i}").alias("r1"),
-                        F.col(f"__q_r2_{i}").alias("r2"),
-                        F.col(f"__q_pos{i}").alias("pos"),
-                    )
-                    for i in range(k)
-                ]
-            )
-        ).alias("__q_t"),
-    ).select(*groups, F.col("__q_t.i").alias(_QI), "__q_t.r1", "__q_t.r2", "__q_t.pos")
-
-    located = _null_safe_join(cum, long_targets, groups + [_QI]).groupBy(*groups, _QI).agg(
-        F.min(F.when(F.col("__q_v").isNotNull() & (F.col("__q_cum") >= F.col("r1")), F.col("__q_v"))).alias("v1"),
-        F.min(F.when(F.col("__q_v").isNotNull() & (F.col("__q_cum") >= F.col("r2")), F.col("__q_v"))).alias("v2"),
-        F.coalesce(F.max(F.when(F.col("__q_v").isNull(), F.col("__q_cum"))), F.lit(0)).alias("below"),
-        F.max("__q_cum").alias("upto"),
-        F.first("r1").alias("r1"),
-        F.first("r2").alias("r2"),
-        F.first("pos").alias("pos"),
+    cum = counted.withColumn("cum", F.sum("c").over(w))
+    v, c, r1, r2, pos = F.col("v"), F.col("cum"), F.col("r1"), F.col("r2"), F.col("pos")
+    located = cum.groupBy(*keys).agg(
+        F.min(F.when(v.isNotNull() & (c >= r1), v)).alias("v1"),
+        F.min(F.when(v.isNotNull() & (c >= r2), v)).alias("v2"),
+        F.coalesce(F.max(F.when(v.isNull(), c)), F.lit(0)).alias("below"),
+        F.max(c).alias("upto"),
+        F.max(r1).alias("r1"),
+        F.max(r2).alias("r2"),
+        F.max(pos).alias("pos"),
     )
-    ok = (F.col("below") < F.col("r1")) & (F.col("upto") >= F.col("r2")) & F.col("v1").isNotNull() & F.col("v2").isNotNull()
-    lower = (F.col("r1") - 1).cast("double")
-    upper = (F.col("r2") - 1).cast("double")
-    interpolated = (upper - F.col("pos")) * F.col("v1") + (F.col("pos") - lower) * F.col("v2")
-    quantile = F.when((F.col("r1") == F.col("r2")) | (F.col("v1") == F.col("v2")), F.col("v1")).otherwise(interpolated)
-    located = located.select(*groups, _QI, F.when(ok, quantile).alias("__q_val"), ok.alias("__q_ok"))
-
-    wide = located.groupBy(*groups).agg(
-        *[F.max(F.when(F.col(_QI) == i, F.col("__q_val"))).alias(name) for i, name in enumerate(names)],
-        F.min(F.col("__q_ok").cast("int")).alias("__q_all_ok"),
+    v1, v2 = F.col("v1"), F.col("v2")
+    # (every located column enters the check, so the fallback branch needs the
+    # same aggregate as the result branch and AQE reuses that exchange)
+    ok = F.coalesce(
+        (F.col("below") < r1) & (F.col("upto") >= r2) & v1.isNotNull() & v2.isNotNull() & pos.isNotNull(),
+        F.lit(False),
     )
-
-    # 3. exact fallback for groups whose bracket missed (expected: none)
-    missed = wide.filter(F.col("__q_all_ok") == 0).select(*groups)
-    fallback_base = _null_safe_join(base, missed, groups, "left_semi")
+    lower, upper = (r1 - 1).cast("double"), (r2 - 1).cast("double")
+    interpolated = (upper - pos) * v1 + (pos - lower) * v2
+    quantile = F.when((r1 == r2) | (v1 == v2), v1).otherwise(interpolated)
+    checked = located.select(*keys, F.when(ok, quantile).alias("q"), ok.alias("ok"))
+
+    # 3. exact fallback, only for the (group, i) whose bracket missed
+    # (expected: none; AQE then skips this branch as an empty relation)
+    missed = checked.filter(~F.col("ok")).select(*keys)
+    retry = _null_safe_join(pairs, missed, keys, "left_semi")
     if discrete:
-        exact = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{_X}`)") for p in probs]
+        exact = [
+            F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN i = {i} THEN `{_X}` END)")
+            for i, p in enumerate(probs)
+        ]
     else:
-        exact = [F.percentile(_X, F.lit(p)) for p in probs]
-    fallback = fallback_base.groupBy(*groups).agg(*[e.cast("double").alias(f"__q_f{i}") for i, e in enumerate(exact)])
-    merged = _null_safe_join(wide, fallback, groups, "left")
-    return merged.select(
-        *user_groups,
-        *[
-            F.when(F.col("__q_all_ok") == 1, F.col(name)).otherwise(F.col(f"__q_f{i}")).alias(name)
-            for i, name in enumerate(names)
-        ],
+        exact = [F.percentile(F.when(F.col("i") == i, x), F.lit(p)) for i, p in enumerate(probs)]
+    fallback = retry.groupBy(*groups).agg(*[e.cast("double").alias(f"f{i}") for i, e in enumerate(exact)])
+
+    # 4. one row per group: bracket results and fallback values side by side
+    # (union + aggregate; no join between the two small results)
+    from_brackets = checked.groupBy(*groups).agg(
+        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(k)]
+    )
+    both = from_brackets.unionByName(fallback, allowMissingColumns=True)
+    return both.groupBy(*groups).agg(
+        *[F.coalesce(F.max(f"q{i}"), F.max(f"f{i}")).alias(name) for i, name in enumerate(names)]
     )

@@ -64,13 +64,10 @@ def numeric_summary(
         moments += [F.percentile_approx(c, p, accuracy).cast("double").alias(name) for name, p in quartiles.items()]
         wide = df.agg(*moments)
     else:
-        # both sides are single rows keyed by a constant
-        key = "__summary_key"
-        exact = exact_quantiles(
-            df.select(F.lit(0).alias(key), x), c, list(quartiles.values()), list(quartiles), [key],
-            discrete=True, accuracy=accuracy,
-        )
-        wide = df.agg(*moments).withColumn(key, F.lit(0)).join(F.broadcast(exact), key, "left")
+        # two single-row results side by side: union + aggregate (no join)
+        exact = exact_quantiles(df, c, list(quartiles.values()), list(quartiles), discrete=True, accuracy=accuracy)
+        parts = df.agg(*moments).unionByName(exact, allowMissingColumns=True)
+        wide = parts.agg(*[F.max(F.col(f"`{s}`")).alias(s) for s in SUMMARY_STATS])
     return wide.unpivot([], [F.col(f"`{s}`") for s in SUMMARY_STATS], stat_col, value_col)
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.labels import PERIOD_END, PERIOD_START
 from ..operators.explode import explode_tokens
 from ..operators.features import prepare_catalog
 from ..operators.flatten import flatten_catalog
-from ..session import materialize
+from ..session import materialize, shared_dir
 from ..sources.catalog import catalog_from_tables, read_catalog, write_catalog
 
 
@@ -49,3 +53,25 @@ def checkpointed_catalog(catalog: DataFrame) -> DataFrame:
     back: several reports then share one computation, and a lost executor
     costs a re-read instead of a recompute from the raw source."""
     return materialize(catalog, "catalog")
+
+
+_SHARED_LOCK = threading.Lock()
+_SHARED_PATHS: dict[tuple, str] = {}
+
+
+def shared_catalog(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
+    """Product table of ``sf_dir``, derived once per application and kept as
+    Parquet in the session's shared folder; later calls read that table.
+
+    Reports then share one derivation (build once, report many), get column
+    pruning and pushdown, and survive a lost executor by re-reading instead of
+    re-deriving from the raw tables.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(sorted(params.items())))
+    with _SHARED_LOCK:
+        path = _SHARED_PATHS.get(key)
+        if path is None:
+            path = os.path.join(shared_dir(spark), "vitrine", f"catalog-{uuid.uuid4().hex}")
+            catalog_for(spark, sf_dir, **params).write.mode("error").parquet(path)
+            _SHARED_PATHS[key] = path
+    return spark.read.parquet(path)
