@@ -34,7 +34,7 @@ def grouped_median(
     """
     if approx:
         return df.groupBy(*groups).agg(median(c, accuracy).alias(out))
-    return exact_quantiles(df, c, [0.5], [out], groups, discrete=False, accuracy=accuracy)
+    return exact_quantiles(df, c, [0.5], [out], groups, discrete=False)
 
 
 def numeric_summary(
@@ -65,7 +65,7 @@ def numeric_summary(
         wide = df.agg(*moments)
     else:
         # two single-row results side by side: union + aggregate (no join)
-        exact = exact_quantiles(df, c, list(quartiles.values()), list(quartiles), discrete=True, accuracy=accuracy)
+        exact = exact_quantiles(df, c, list(quartiles.values()), list(quartiles), discrete=True)
         parts = df.agg(*moments).unionByName(exact, allowMissingColumns=True)
         wide = parts.agg(*[F.max(F.col(f"`{s}`")).alias(s) for s in SUMMARY_STATS])
     return wide.unpivot([], [F.col(f"`{s}`") for s in SUMMARY_STATS], stat_col, value_col)
