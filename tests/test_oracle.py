@@ -29,3 +29,14 @@ def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["genre", "nb_games", "sum_positive", "sum_negative", "sum_total_reviews", "positive_rate"]
     assert df.count() > 0
+
+
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date"}
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query_types_match_oracle(spark, duck, name):
+    spark_types = {f.name: f.dataType.simpleString() for f in queries()[name](spark, SF).schema.fields}
+    rel = duck.sql(oracle_sql()[name])
+    duck_types = {c: DUCK_TO_SPARK.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
