@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +11,7 @@ from ..functions.labels import PERIOD_END, PERIOD_START
 from ..operators.explode import explode_tokens
 from ..operators.features import prepare_catalog
 from ..operators.flatten import flatten_catalog
-from ..session import materialize, shared_dir
+from ..session import materialize, write_shared
 from ..sources.catalog import catalog_from_tables, read_catalog, write_catalog
 
 
@@ -71,7 +70,6 @@ def shared_catalog(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
     with _SHARED_LOCK:
         path = _SHARED_PATHS.get(key)
         if path is None:
-            path = os.path.join(shared_dir(spark), "vitrine", f"catalog-{uuid.uuid4().hex}")
-            catalog_for(spark, sf_dir, **params).write.mode("error").parquet(path)
+            path = write_shared(catalog_for(spark, sf_dir, **params), "catalog")
             _SHARED_PATHS[key] = path
     return spark.read.parquet(path)

@@ -26,21 +26,47 @@ DEFAULT_CONF = {
 }
 
 
+MB = 1024 * 1024
+
+
+def scale_conf(input_bytes: int, partition_bytes: int = 256 * MB, max_partitions: int = 200_000) -> dict[str, str]:
+    """Partition sizing for a job reading about ``input_bytes``.
+
+    Scan splits and post-shuffle partitions target ``partition_bytes``
+    (256 MB: comfortably inside a few-GB executor heap, large enough to keep
+    task overhead low). ``spark.sql.shuffle.partitions`` is the *initial*
+    count, sized so the largest shuffle (the full-width one) gets partitions
+    of that size; AQE coalesces smaller shuffles down to the advisory size and
+    splits skewed ones. E.g. 100 TB → 409,600 → capped at ``max_partitions``
+    (200,000 partitions of ~512 MB before coalescing).
+    """
+    partitions = max(1, min(max_partitions, -(-input_bytes // partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+
+
 def get_session(
     app_name: str = "vitrine",
     master: str | None = None,
     shuffle_partitions: int | None = None,
     extra_conf: dict[str, str] | None = None,
+    input_bytes: int | None = None,
 ) -> SparkSession:
     """Return a session with :data:`DEFAULT_CONF` applied.
 
     ``master`` and ``shuffle_partitions`` are for local runs; on a cluster
-    leave them unset so the submit-time configuration wins.
+    leave them unset so the submit-time configuration wins, or pass
+    ``input_bytes`` to size partitions with :func:`scale_conf`.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if input_bytes:
+        conf.update(scale_conf(input_bytes))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
@@ -69,18 +95,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` as Parquet to a new sub-folder of the shared folder and
+    return its path (never reused, so concurrent runs cannot collide)."""
+    path = os.path.join(shared_dir(df.sparkSession), "vitrine", f"{name}-{uuid.uuid4().hex}")
+    writer = df.write.mode("error")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     This cuts the lineage (a lost executor costs a re-read, not a recompute
     from the raw source) and gives the readers column pruning and predicate
-    pushdown. Each call writes to a new sub-folder, so concurrent runs never
-    overwrite each other.
+    pushdown.
     """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "vitrine", f"{name}-{uuid.uuid4().hex}")
-    writer = df.write.mode("error")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(write_shared(df, name, partition_by))
