@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import threading
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.labels import PERIOD_END, PERIOD_START
@@ -69,7 +70,11 @@ def shared_catalog(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(sorted(params.items())))
     with _SHARED_LOCK:
         path = _SHARED_PATHS.get(key)
-        if path is None:
-            path = write_shared(catalog_for(spark, sf_dir, **params), "catalog")
-            _SHARED_PATHS[key] = path
-    return spark.read.parquet(path)
+        if path is not None:
+            try:
+                return spark.read.parquet(path)
+            except AnalysisException:  # folder cleaned up meanwhile: derive again
+                pass
+        path = write_shared(catalog_for(spark, sf_dir, **params), "catalog")
+        _SHARED_PATHS[key] = path
+        return spark.read.parquet(path)
