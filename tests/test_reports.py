@@ -145,3 +145,12 @@ def test_ext_reports(catalog, genres):
     assert sum(r.nb_games for r in bands) == charts.price_points(catalog).count()
     linux = ext.ext_linux_genres(genres).collect()
     assert linux and all(r.nb_games <= dict((g.genre, g.nb_games) for g in genre.genre_counts(genres).collect())[r.genre] for r in linux)
+
+
+def test_small_helpers(catalog):
+    from vitrine.operators import distinct_rows, preview, row_count
+
+    assert row_count(catalog).first().n_rows == catalog.count()
+    assert distinct_rows(catalog, ["publisher"]).first().n_distinct == catalog.select("publisher").distinct().count()
+    rows = preview(catalog, ["app_id", "name"], 5).collect()
+    assert [r.app_id for r in rows] == sorted(r.app_id for r in catalog.select("app_id").collect())[:5]

@@ -1,6 +1,14 @@
 """DataFrame → DataFrame operators."""
 
-from .aggregates import conditional_counts, count_by, distinct_by_key, distinct_with_null, flag_shares
+from .aggregates import (
+    conditional_counts,
+    count_by,
+    distinct_by_key,
+    distinct_rows,
+    distinct_with_null,
+    flag_shares,
+    row_count,
+)
 from .explode import explode_tokens
 from .features import (
     normalize_numeric,
@@ -19,13 +27,14 @@ from .features import (
 from .flatten import FLAT_MAPPING, flatten_catalog, platform_view
 from .quantiles import exact_quantiles
 from .stats import grouped_median, histogram, median, numeric_summary
-from .topk import sort_stable, top_k
+from .topk import preview, sort_stable, top_k
 
 __all__ = [
     "FLAT_MAPPING",
     "conditional_counts",
     "count_by",
     "distinct_by_key",
+    "distinct_rows",
     "distinct_with_null",
     "exact_quantiles",
     "explode_tokens",
@@ -37,7 +46,9 @@ __all__ = [
     "numeric_summary",
     "platform_view",
     "prepare_catalog",
+    "preview",
     "grouped_median",
+    "row_count",
     "sort_stable",
     "top_k",
     "with_age",

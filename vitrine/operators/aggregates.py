@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 from ..functions.numeric import count_true, share_percent
 
 
+def row_count(df: DataFrame, alias: str = "n_rows") -> DataFrame:
+    """One row: number of rows (a distributed aggregate, not a driver count)."""
+    return df.agg(F.count(F.lit(1)).alias(alias))
+
+
+def distinct_rows(df: DataFrame, cols: list[str], alias: str = "n_distinct") -> DataFrame:
+    """One row: distinct combinations of ``cols`` (NULL counts as a value)."""
+    return df.select(*cols).distinct().agg(F.count(F.lit(1)).alias(alias))
+
+
 def count_by(df: DataFrame, key: str | Column, count_col: str = "count") -> DataFrame:
     """Rows per key; NULL is its own group."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(count_col))

@@ -27,3 +27,9 @@ def top_k(df: DataFrame, order: list[str | Column], k: int, tie_break: list[str]
     only k × tasks rows reach the final merge, whatever the input size.
     """
     return sort_stable(df, order, tie_break).limit(k)
+
+
+def preview(df: DataFrame, cols: list[str], n: int = 20, key: list[str] | None = None) -> DataFrame:
+    """A reproducible look at ``n`` rows: the projection, ordered by ``key``
+    (default: the first column) then cut -- a top-k, not an unordered limit."""
+    return top_k(df.select(*cols), key or [cols[0]], n)

@@ -25,8 +25,9 @@ def genre_counts(genres: DataFrame, token: str = "genre") -> DataFrame:
 
 def genre_reviews(genres: DataFrame, token: str = "genre") -> DataFrame:
     """Distinct products, review sums and the *weighted* positive rate
-    (ratio of sums) per genre. ``sum_total_reviews`` skips products whose
-    total is NULL, so it can be below ``sum_positive + sum_negative``."""
+    (ratio of sums) per genre, most reviewed first. ``sum_total_reviews``
+    skips products whose total is NULL, so it can be below
+    ``sum_positive + sum_negative``."""
     return (
         genres.groupBy(token)
         .agg(
@@ -36,6 +37,7 @@ def genre_reviews(genres: DataFrame, token: str = "genre") -> DataFrame:
             F.sum("total_reviews").alias("sum_total_reviews"),
         )
         .withColumn("positive_rate", safe_ratio("sum_positive", "sum_total_reviews"))
+        .orderBy(F.col("sum_total_reviews").desc_nulls_last(), F.col(token).asc())
     )
 
 
