@@ -200,12 +200,12 @@ def exact_quantiles(
         exact = [F.percentile(F.when(F.col("i") == i, x), F.lit(p)) for i, p in enumerate(probs)]
     fallback = retry.groupBy(*groups).agg(*[e.cast("double").alias(f"f{i}") for i, e in enumerate(exact)])
 
-    # 4. one row per group: bracket results and fallback values side by side
-    # (union + aggregate; no join between the two small results)
-    from_brackets = checked.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(k)]
-    )
-    both = from_brackets.unionByName(fallback, allowMissingColumns=True)
+    # 4. one row per group: bracket results (long, keyed by i) and fallback
+    # values (wide) side by side -- union + one aggregate, no join
+    both = checked.select(*groups, "i", "q").unionByName(fallback, allowMissingColumns=True)
     return both.groupBy(*groups).agg(
-        *[F.coalesce(F.max(f"q{i}"), F.max(f"f{i}")).alias(name) for i, name in enumerate(names)]
+        *[
+            F.coalesce(F.max(F.when(F.col("i") == i, F.col("q"))), F.max(f"f{i}")).alias(name)
+            for i, name in enumerate(names)
+        ]
     )
