@@ -1,7 +1,15 @@
 """Named reports composed from the operators."""
 
 from . import charts, ext, genre, macro, platform, pricing
-from .pipeline import build_catalog, build_silver, catalog_for, catalog_from_json, checkpointed_catalog, genres_of
+from .pipeline import (
+    build_catalog,
+    build_silver,
+    catalog_for,
+    catalog_from_json,
+    checkpointed_catalog,
+    genres_of,
+    shared_catalog,
+)
 
 __all__ = [
     "build_catalog",
@@ -16,4 +24,5 @@ __all__ = [
     "macro",
     "platform",
     "pricing",
+    "shared_catalog",
 ]
