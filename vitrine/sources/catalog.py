@@ -88,22 +88,30 @@ def _case_mod(key: Column, cases: list[tuple[int, Column]], default: Column) ->
 
 def catalog_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw nested catalog (``id`` + struct ``data``) built from the TPC-H-ish
-    tables: one product per order, review counts from its line items.
+    tables of ``sf_dir``: one product per order, review counts from its line
+    items (see :func:`catalog_from_frames`)."""
+    return catalog_from_frames(
+        load_table(spark, sf_dir, "orders"),
+        load_table(spark, sf_dir, "customer"),
+        load_table(spark, sf_dir, "lineitem"),
+    )
+
+
+def catalog_from_frames(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Raw nested catalog from orders / customer / line-item frames.
 
     Plan: line items are pre-aggregated per order (partial aggregation before
     the shuffle), the result is hash-partitioned on the order key and joined
     to orders on that key; customers are joined on the customer key. Join
     strategies are left to AQE: a side is broadcast only when its measured
     size is under ``spark.sql.autoBroadcastJoinThreshold``, skewed partitions
-    of a shuffled join are split.
+    of a shuffled join (one customer with a third of the orders) are split.
     """
-    orders = load_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"
-    )
-    customer = load_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    orders = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    customer = customer.select("c_custkey", "c_name", "c_mktsegment")
     returned = F.col("l_returnflag") == "R"
     reviews = (
-        load_table(spark, sf_dir, "lineitem")
+        lineitem
         .groupBy("l_orderkey")
         .agg(
             F.sum(F.when(~returned, F.col("l_quantity")).otherwise(F.lit(0.0))).cast("bigint").alias("pos"),
