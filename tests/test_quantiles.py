@@ -68,3 +68,12 @@ def test_empty_and_validation(spark):
         exact_quantiles(empty, "v", [1.5], ["m"])
     with pytest.raises(ValueError):
         exact_quantiles(empty, "v", [0.5], ["a", "b"])
+
+
+def test_infinite_and_constant_values(spark):
+    rows = [("a", float("-inf")), ("a", 1.0), ("a", 2.0), ("a", float("inf")), ("b", 5.0), ("b", 5.0), ("b", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for discrete in (False, True):
+        assert _ours(df, discrete, ["g"], sketch_k=8) == {
+            k: v for k, v in _builtin(df, discrete, ["g"]).items()
+        }

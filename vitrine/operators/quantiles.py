@@ -11,8 +11,8 @@ hot group with many distinct values becomes one huge task. Here:
    of thousands of tasks at 100 TB);
 2. one pass maps every row to either "below the bracket" (collapsed to one
    count by the map-side partial aggregation) or its value inside the
-   bracket, tagged with one of ``bracket_splits`` sub-ranges cut from the
-   same sketch; a prefix sum over the sub-range totals (a few rows per
+   bracket, tagged with one of ``bracket_splits`` equal-width sub-ranges of
+   the bracket; a prefix sum over the sub-range totals (a few rows per
    group) plus a running count inside each sub-range (in parallel) gives
    exact ranks;
 3. the ranks are checked (``below < r1`` and ``below + in_bracket >= r2``);
@@ -20,9 +20,10 @@ hot group with many distinct values becomes one huge task. Here:
    makes this not expected -- is recomputed with Spark's exact aggregate,
    for those groups only. The result is exact in every case.
 
-The largest single task of the exact step holds one sub-range: about
-``4 * 1.7 / k**0.96 / bracket_splits`` of a group's rows (0.002 % with the
-defaults, distinct values collapsed), whatever the size of the group.
+The exact step works per sub-range of a bracket (about
+``4 * 1.7 / k**0.96`` of a group's rows -- 0.12 % -- split in
+``bracket_splits`` equal-width value ranges, distinct values collapsed), not
+per group.
 
 Definitions (identical to Spark's built-ins): ``discrete=False`` is
 ``percentile``: position ``p * (n - 1)`` with linear interpolation between the
@@ -104,8 +105,8 @@ def exact_quantiles(
 
     ``sketch_k`` sizes the KLL sketch (and so the bracket); ``merge_fanout``
     is the width of the first merge level; ``bracket_splits`` cuts every
-    bracket into that many sub-ranges (also from the sketch) whose running
-    counts run in parallel; ``bracket_margin`` overrides the bracket
+    bracket into that many equal-width sub-ranges whose running counts run
+    in parallel; ``bracket_margin`` overrides the bracket
     half-width in probability units (tests use 0 to exercise the exact
     fallback).
 
@@ -124,37 +125,30 @@ def exact_quantiles(
     # each row once per requested quantile (narrow; k is small)
     pairs = base.select(*groups, _X, F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("i"))
 
-    # 1. sketch: per group the row count, a bracket around every target and
-    # the cuts splitting it. Level 1 keys each map task's partial sketch by
+    # 1. sketch: per group the row count and a bracket around every target.
+    # Level 1 keys each map task's partial sketch by
     # (group, task mod fanout); level 2 merges at most ``merge_fanout``
     # sketches per group.
     margin = 2.0 * kll_rank_error(sketch_k) if bracket_margin is None else bracket_margin
     splits = max(1, bracket_splits)
-    lows = [max(0.0, p - margin) for p in probs]
-    highs = [min(1.0, p + margin) for p in probs]
-    # ranks asked from the sketch: per quantile lo, hi and the inner cuts
-    ranks = lows + highs
-    for lo_p, hi_p in zip(lows, highs):
-        ranks += [lo_p + (hi_p - lo_p) * j / splits for j in range(1, splits)]
+    edges = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     level1 = base.groupBy(*groups, F.pmod(F.spark_partition_id(), F.lit(merge_fanout)).alias("__q_s")).agg(
         F.count(F.lit(1)).alias(_N), F.kll_sketch_agg_double(_X, sketch_k).alias("sk")
     )
     sketch = (
         level1.groupBy(*groups)
         .agg(F.sum(_N).alias(_N), F.kll_merge_agg_double("sk").alias("sk"))
-        .withColumn("b", F.kll_sketch_get_quantile_double("sk", F.array(*[F.lit(r) for r in ranks])))
+        .withColumn("b", F.kll_sketch_get_quantile_double("sk", F.array(*[F.lit(e) for e in edges])))
     )
     n = F.col(_N)
     per_quantile = []
     for i, p in enumerate(probs):
         r1, r2, pos = _ranks(p, n, discrete)
-        first_cut = 2 * k + i * (splits - 1)
         per_quantile.append(
             F.struct(
                 F.lit(i).alias("i"),
                 F.col("b")[i].alias("lo"),
                 F.col("b")[k + i].alias("hi"),
-                F.slice("b", first_cut + 1, splits - 1).alias("cuts"),
                 r1.alias("r1"),
                 r2.alias("r2"),
                 pos.alias("pos"),
@@ -168,20 +162,20 @@ def exact_quantiles(
     # 2. one pass: rows below the bracket keep a NULL value and sub-range
     # (collapsed to one count per (group, i) by the map-side partial
     # aggregation), rows above it are dropped, rows inside it get the index
-    # of their sub-range; the target ranks ride along as grouping keys
-    x = F.col(_X)
-    inside = x >= F.col("lo")
+    # of their equal-width sub-range of [lo, hi] (monotone in the value, so
+    # ordering by (sub-range, value) is ordering by value); the target ranks
+    # ride along as grouping keys
+    x, lo, hi = F.col(_X), F.col("lo"), F.col("hi")
+    inside = x >= lo
+    width = (hi - lo) / F.lit(float(splits))
+    sub_range = F.when(
+        (width > 0) & (width < F.lit(float("inf"))),
+        F.least(F.lit(splits - 1).cast("bigint"), F.floor((x - lo) / width)).cast("int"),
+    ).otherwise(F.lit(0))
     counted = (
         _null_safe_join(pairs, targets, keys)
-        .filter(x <= F.col("hi"))
-        .select(
-            *keys,
-            "r1",
-            "r2",
-            "pos",
-            F.when(inside, F.size(F.filter("cuts", lambda cut: cut < x))).alias("j"),
-            F.when(inside, x).alias("v"),
-        )
+        .filter(x <= hi)
+        .select(*keys, "r1", "r2", "pos", F.when(inside, sub_range).alias("j"), F.when(inside, x).alias("v"))
         .groupBy(*keys, "r1", "r2", "pos", "j", "v")
         .agg(F.count(F.lit(1)).alias("c"))
     )
