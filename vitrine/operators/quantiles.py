@@ -51,6 +51,7 @@ def kll_rank_error(k: int) -> float:
     """Approximate normalized rank-error bound of a KLL sketch of size ``k``."""
     return 1.7 / k**0.96
 
+
 _X = "__q_x"
 _N = "__q_n"
 
@@ -126,9 +127,8 @@ def exact_quantiles(
     pairs = base.select(*groups, _X, F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("i"))
 
     # 1. sketch: per group the row count and a bracket around every target.
-    # Level 1 keys each map task's partial sketch by
-    # (group, task mod fanout); level 2 merges at most ``merge_fanout``
-    # sketches per group.
+    # Level 1 keys each map task's partial sketch by (group, task mod
+    # fanout); level 2 merges at most ``merge_fanout`` sketches per group.
     margin = 2.0 * kll_rank_error(sketch_k) if bracket_margin is None else bracket_margin
     splits = max(1, bracket_splits)
     edges = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
