@@ -179,29 +179,35 @@ def exact_quantiles(
         .groupBy(*keys, "r1", "r2", "pos", "j", "v")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    # rows before each sub-range: a prefix sum over at most splits + 1 rows
-    # per (group, i)
-    totals = counted.groupBy(*keys, "j").agg(F.sum("c").alias("jc"))
-    before = totals.withColumn(
-        "before",
-        F.coalesce(
-            F.sum("jc").over(
-                Window.partitionBy(*keys)
-                .orderBy(F.col("j").asc_nulls_first())
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).drop("jc")
     # running count inside each sub-range (sub-range-sized window partitions,
-    # in parallel), shifted by the rows before it; the NULL sub-range holds
-    # the single below-the-bracket row
-    w = Window.partitionBy(*keys, "j").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    cum = _null_safe_join(counted, before, keys + ["j"]).withColumn(
-        "cum", F.col("before") + F.sum("c").over(w)
+    # in parallel); the NULL sub-range holds the single below-the-bracket row
+    in_range = Window.partitionBy(*keys, "j")
+    local = counted.withColumn(
+        "local",
+        F.sum("c").over(
+            in_range.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ),
+    ).withColumn("jc", F.sum("c").over(in_range))
+    # rows before each sub-range: a prefix sum over the sub-range totals (at
+    # most splits + 1 rows per (group, i); the aggregate reuses the window's
+    # partitioning, only this small table is shuffled and joined back)
+    before = (
+        local.groupBy(*keys, "j")
+        .agg(F.max("jc").alias("jc"))
+        .withColumn(
+            "before",
+            F.coalesce(
+                F.sum("jc").over(
+                    Window.partitionBy(*keys)
+                    .orderBy(F.col("j").asc_nulls_first())
+                    .rowsBetween(Window.unboundedPreceding, -1)
+                ),
+                F.lit(0),
+            ),
+        )
+        .drop("jc")
     )
+    cum = _null_safe_join(local.drop("jc"), before, keys + ["j"]).withColumn("cum", F.col("before") + F.col("local"))
     v, c, r1, r2, pos = F.col("v"), F.col("cum"), F.col("r1"), F.col("r2"), F.col("pos")
     located = cum.groupBy(*keys).agg(
         F.min(F.when(v.isNotNull() & (c >= r1), v)).alias("v1"),
