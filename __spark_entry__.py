@@ -4,11 +4,11 @@
 report / operator name to a callable ``(spark, sf_dir) -> DataFrame``;
 ``oracle_sql()`` gives the same result as DuckDB SQL over the raw tables.
 
-Every query starts from the driver tables (orders, customer, lineitem): the
-product catalog is derived from them with Spark once per application and
-written to the session's shared folder; each query reads that table, so its
-work grows with the tables. ``flatten_catalog`` runs on the raw nested
-records directly.
+Every query reads the driver tables in its own plan: the product catalog is
+derived lazily from orders, customer and lineitem, so Catalyst prunes what a
+report does not use, and rows added to the tables show up in the next call.
+Queries of the ``llm`` subpackage and the corpus pipeline are added where
+they can be imported.
 Floating-point outputs are rounded to 6 places on both sides so that
 summation order cannot change the comparison.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.plans import charts, ext, genre, macro, platform, pricing
-from vitrine.plans.pipeline import genres_of, shared_catalog
+from vitrine.plans.pipeline import catalog_for, genres_of
 
 SF_SMOKE = "/root/testdata/sf0.001"
 DIGITS = 6
@@ -44,9 +44,7 @@ def _round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product table derived from the tables once per application, then read
-    back from the shared folder by every query (build once, report many)."""
-    return shared_catalog(spark, sf_dir, **PERIOD)
+    return catalog_for(spark, sf_dir, **PERIOD)
 
 
 def _genres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +75,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["high_potential_genres"](spark, SF_SMOKE)
 
 
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    try:
+        import corpus_pipeline
+        from vitrine.llm import queries as llm
+    except ImportError:  # the subpackage is optional
+        return {}
+    return {**llm.queries(), "pipeline": corpus_pipeline.run}
+
+
+def _llm_oracle_sql() -> dict[str, str]:
+    try:
+        import corpus_pipeline
+        from vitrine.llm import queries as llm
+    except ImportError:
+        return {}
+    return {**llm.oracle_sql(), **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        **_llm_queries(),
         # sources / projection
         "flatten_catalog": _flat,
         # scalar features
@@ -397,7 +414,7 @@ def oracle_sql() -> dict[str, str]:
             out[name] = "WITH " + _FLAT_SQL + _CATALOG_SQL + ",\n" + body
         else:
             out[name] = _with_catalog(body)
-    return out
+    return {**out, **_llm_oracle_sql()}
 
 
 if __name__ == "__main__":  # pragma: no cover - manual smoke run
