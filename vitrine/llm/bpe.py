@@ -15,7 +15,7 @@ from functools import cache
 import regex
 
 # Chunks remembered per worker process; the memory is emptied when it is full.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 # The split patterns of the two tokenizers.
 BYTE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,7 +43,6 @@ class _Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.alphabet = byte_alphabet()
         self.unusual = regex.compile(f"[^{USUAL}]").search
         self.known: dict = {}
@@ -75,26 +74,27 @@ class ByteCounter(_Library):
         super().__init__(path)
         self.split = regex.compile(BYTE_SPLIT).findall
         self.chunks = re.compile(r"\s*\S+|\s+\Z").findall
+        ranks = {self.raw(t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        merge = tiktoken.Encoding("own", pat_str=BYTE_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.merge_one = merge._core_bpe.encode_single_piece
         # The same model without the split: encodes one pre-token as it stands.
-        self.merger = Tokenizer.from_file(path)
-        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.merger.encode_special_tokens = True
-        self.ranks = {self.raw(t): i for t, i in self.vocab.items()}
-        self.merge = tiktoken.Encoding("own", pat_str=BYTE_SPLIT, mergeable_ranks=self.ranks, special_tokens={})
-        self.merge_one = self.merge._core_bpe.encode_single_piece
-        self.whole = self.prove()
-
-    def prove(self) -> frozenset[str]:
-        """Vocabulary strings that are text, that the split leaves in one piece, and that encode alone as one token."""
+        alone = Tokenizer.from_file(path)
+        alone.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        alone.encode_special_tokens = True
+        self.whole, self.odd = self.prove(ranks, alone)
+
+    def prove(self, ranks: dict[bytes, int], alone) -> tuple[frozenset[str], dict[str, int]]:
+        """Vocabulary strings that are text, that the split leaves in one piece, and that encode alone as one token; and the
+        costs of the others, which are in the vocabulary though no merges lead there."""
         texts = []
-        for raw in self.ranks:
+        for raw in ranks:
             try:
                 texts.append(raw.decode())
             except UnicodeDecodeError:
                 pass
-        texts = [t for t in texts if self.split(t) == [t]]
-        found = self.merger.encode_batch_fast(texts, add_special_tokens=False)
-        return frozenset(t for t, e in zip(texts, found) if len(e) == 1)
+        costs = {t: len(e) for t, e in zip(texts, alone.encode_batch_fast(texts, add_special_tokens=False))}
+        whole = frozenset(t for t, n in costs.items() if n == 1 and self.split(t) == [t])
+        return whole, {t: n for t, n in costs.items() if t not in whole}
 
     def _pieces(self, chunk: str) -> list[str]:
         """The split of a chunk; the commonest shapes, a word with or without one sign after it, need no pattern."""
@@ -111,11 +111,7 @@ class ByteCounter(_Library):
             if piece in self.whole:
                 total += 1
                 continue
-            raw = piece.encode()
-            if raw in self.ranks:  # in the vocabulary, but its merges do not lead there
-                total += len(self.merger.encode(piece, add_special_tokens=False))
-            else:
-                total += len(self.merge_one(raw))
+            total += self.odd[piece] if piece in self.odd else len(self.merge_one(piece.encode()))
         return total
 
     def count(self, text: str) -> int:
@@ -151,7 +147,8 @@ class WordEncoder(_Library):
         unused = [*range(ord("A"), ord("Z") + 1), *range(0x00, 0x20), *range(0x21, 0x41), *range(0xF5, 0x100)]
         self.stand_in = dict(zip(lasts, unused))
         ranks = {}
-        for token, i in self.vocab.items():
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        for token, i in vocab.items():
             ended = token.endswith(self.END) and token != self.END
             raw = self.raw(token.removesuffix(self.END) if ended else token)
             if any(b < 0x61 or 0x7B <= b < 0x80 or b >= 0xF5 for b in raw):
@@ -160,16 +157,16 @@ class WordEncoder(_Library):
                 ranks[raw] = i
             elif raw[-1] in self.stand_in:
                 ranks[raw[:-1] + bytes([self.stand_in[raw[-1]]])] = i
-        self.ranks = ranks
-        self.merge = tiktoken.Encoding("own", pat_str=WORD_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.merge_one = self.merge._core_bpe.encode_single_piece
+        self.ranks = frozenset(ranks)
+        merge = tiktoken.Encoding("own", pat_str=WORD_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.merge_one = merge._core_bpe.encode_single_piece
         self.words: dict[str, bytes] = {}
-        self.whole = self.prove()
+        self.whole = self.prove(vocab)
 
-    def prove(self) -> dict[str, bytes]:
+    def prove(self, vocab: dict[str, int]) -> dict[str, bytes]:
         """Vocabulary words that encode alone as one token, and their ids."""
         words = []
-        for token in self.vocab:
+        for token in vocab:
             if token.endswith(self.END) and token != self.END:
                 try:
                     words.append(self.raw(token.removesuffix(self.END)).decode())

@@ -25,14 +25,17 @@ from vitrine.llm.common import materialize
 SPAN = 100
 GRAM = 40
 # Bytes of text that are hashed at once in a task, and anchors it gathers before it lets them go.
-SEGMENT = 4 << 20
-GATHERED = 1_500_000
+SEGMENT = 1 << 20
+GATHERED = 500_000
+# Places around anchors that a task gathers, and rows in a batch that leaves it.
+AROUND = 80_000
+BATCH = 20_000
 # An anchor that so many distinct texts share is split by the places of its strings before it is
 # shipped: each part has a bucket of its own, named by all bytes that the part's strings share.
 HOT = 100_000
 HOT_PLACES = 8
 # Windows refined at once in a task.
-REFINED = 1_500_000
+REFINED = 400_000
 
 PLACE = np.uint64(0xFFFFFF)
 U = np.uint64
@@ -104,7 +107,7 @@ def _anchor_rows(span: int, gram: int):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         gathered = 0
 
-        def release() -> pa.RecordBatch:
+        def release() -> Iterator[pa.RecordBatch]:
             """Anchors met twice here are known to repeat; one of them still tells the other tasks."""
             h, doc, place = (np.concatenate(c) for c in zip(*held))
             order = np.argsort(h, kind="stable")
@@ -115,9 +118,10 @@ def _anchor_rows(span: int, gram: int):
             key = np.where(new, h, (doc.view(np.uint64) * U(0x9E3779B97F4A7C15)) ^ (place.view(np.uint64) << U(20)))
             kind = np.where(new, np.where(size > 1, 1, 0), 2).astype(np.int8)
             columns = [key.view(np.int64), h.view(np.int64), doc, place, kind, size.astype(np.int64)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], ["key", "h", "doc", "place", "kind", "n"]
-            )
+            for at in range(0, len(h), BATCH):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[at : at + BATCH]) for c in columns], ["key", "h", "doc", "place", "kind", "n"]
+                )
 
         for batch in batches:
             for text, doc in zip(batch.column("text").to_pylist(), batch.column("doc").to_pylist()):
@@ -131,11 +135,11 @@ def _anchor_rows(span: int, gram: int):
                     held.append((bucket, np.full(len(place), doc, np.int64), place))
                     gathered += len(place)
                 if gathered >= GATHERED:
-                    yield release()
+                    yield from release()
                     held.clear()
                     gathered = 0
         if gathered:
-            yield release()
+            yield from release()
 
     return run
 
@@ -198,7 +202,7 @@ def _context_rows(span: int, gram: int):
         held: dict[tuple, list[tuple]] = {}
         count = 0
 
-        def release() -> pa.RecordBatch:
+        def release() -> Iterator[pa.RecordBatch]:
             """Of equal surroundings met here, the earliest is shipped; the others are known to repeat."""
             rows, known = [], {}
             for (key, _, part), at in held.items():
@@ -212,7 +216,9 @@ def _context_rows(span: int, gram: int):
                 for a, b in merge_spans(spans):
                     rows.append(((doc * 0x9E3779B97F4A7C15 + a) % (1 << 63), i, doc, -1, a, b, None))
             kinds = [pa.int64()] * 6 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            for at in range(0, len(rows), BATCH):
+                columns = zip(*rows[at : at + BATCH])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
             cols = [batch.column(n).to_pylist() for n in ("id", "doc", "text", "places", "hot")]
@@ -228,12 +234,12 @@ def _context_rows(span: int, gram: int):
                             key = h if top == b and p not in hot else _digest(data[hi : lo + span], p - hi)
                             held.setdefault((key, p - lo, part), []).append((i, doc, p, lo, hi))
                             count += 1
-                if count >= GATHERED // 4:
-                    yield release()
+                if count >= AROUND:
+                    yield from release()
                     held.clear()
                     count = 0
         if held:
-            yield release()
+            yield from release()
 
     return run
 
@@ -299,10 +305,10 @@ def refine(
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     rest, heads = order[~new], head[~new]
     same = np.ones(len(rest), bool)
-    for i in range(0, len(rest), 100_000):  # the buckets are hashes: the bytes decide
-        x = at[rest[i : i + 100_000], None] + np.arange(span)
-        y = at[heads[i : i + 100_000], None] + np.arange(span)
-        same[i : i + 100_000] = (data[x] == data[y]).all(axis=1)
+    for i in range(0, len(rest), 50_000):  # the buckets are hashes: the bytes decide
+        x = at[rest[i : i + 50_000], None] + np.arange(span)
+        y = at[heads[i : i + 50_000], None] + np.arange(span)
+        same[i : i + 50_000] = (data[x] == data[y]).all(axis=1)
     found = rest[same]
     if not same.all():
         found = np.concatenate([found, _by_bytes(rest[~same], heads[~same], at, data, span)])
