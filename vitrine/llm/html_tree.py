@@ -296,11 +296,9 @@ def main_text(html: str | None, low: set[int] = frozenset()) -> str:
     blocks = _texts(root, dropped)
     if chosen:
         blocks = [(n, t) for n, t in blocks if _under(n, chosen)]
-    elif low:
-        everything = _texts(root, lambda n: n.furniture)
-        # Repeated pages make their own text look like furniture: a page keeps its text if most of it would go.
-        if 2 * sum(len(t) for _, t in blocks) < sum(len(t) for _, t in everything):
-            blocks = everything
+    elif not blocks:
+        # Repeated pages make their own text look like furniture: a page does not lose all it has.
+        blocks = _texts(root, lambda n: n.furniture)
     return "\n\n".join(t for _, t in blocks)
 
 

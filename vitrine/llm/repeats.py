@@ -227,12 +227,8 @@ def _context_rows(span: int, gram: int):
                 for place, bucket, first, last in document_anchors(data, span, gram):
                     chosen = np.isin(place, places)
                     for p, h, a, b in zip(*(x[chosen].tolist() for x in (place, bucket.view(np.int64), first, last))):
-                        step = HOT_PLACES if p in hot else b - a + 1
-                        top = p if p in hot else b  # parts are cut by the distance to the anchor
-                        for lo, hi in _parts(p, a, b, step) if p in hot else ((a, b),):
-                            part = data[lo : hi + span]
-                            key = h if top == b and p not in hot else _digest(data[hi : lo + span], p - hi)
-                            held.setdefault((key, p - lo, part), []).append((i, doc, p, lo, hi))
+                        for lo, hi, key in _parts(data, p, a, b, span) if p in hot else ((a, b, h),):
+                            held.setdefault((key, p - lo, data[lo : hi + span]), []).append((i, doc, p, lo, hi))
                             count += 1
                 if count >= AROUND:
                     yield from release()
@@ -244,19 +240,21 @@ def _context_rows(span: int, gram: int):
     return run
 
 
-def _parts(place: int, first: int, last: int, step: int) -> list[tuple[int, int]]:
-    """The starts from ``first`` to ``last``, cut where the distance to the anchor is a multiple of ``step``: the cuts
-    are the same in every text."""
+def _parts(data: bytes, place: int, first: int, last: int, span: int) -> list[tuple[int, int, int]]:
+    """The string starts from ``first`` to ``last``, cut where the distance to the anchor at ``place`` is a multiple of
+    ``HOT_PLACES``, and for each part its key: the cuts are the same in every text, and so are
+    the bytes that all strings at a part's distances share, which name its bucket."""
     out = []
     while first <= last:
-        end = min(last, place - ((place - first) // step) * step)
-        out.append((first, end))
+        part = (place - first) // HOT_PLACES
+        end = place - part * HOT_PLACES
+        out.append((first, min(last, end), _digest(data[end : end - HOT_PLACES + 1 + span], part)))
         first = end + 1
     return out
 
 
-def _digest(data: bytes, place: int) -> int:
-    return int.from_bytes(hashlib.blake2b(data + bytes([place % 256]), digest_size=8).digest(), "little", signed=True)
+def _digest(data: bytes, part: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data + bytes([part]), digest_size=8).digest(), "little", signed=True)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
