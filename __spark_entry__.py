@@ -16,6 +16,7 @@ summation order cannot change the comparison.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.plans import charts, ext, genre, macro, platform, pricing
-from vitrine.plans.pipeline import catalog_for, genres_of
+from vitrine.plans.pipeline import build_catalog, build_silver, catalog_for, genres_of
+from vitrine.session import shared_dir
+from vitrine.sources.catalog import catalog_from_tables, read_catalog, read_silver
 
 SF_SMOKE = "/root/testdata/sf0.001"
 DIGITS = 6
@@ -65,11 +68,35 @@ def _columns(*cols: str) -> Callable[[DataFrame], DataFrame]:
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vitrine.operators.flatten import flatten_catalog
-    from vitrine.sources.catalog import catalog_from_tables
 
     return flatten_catalog(catalog_from_tables(spark, sf_dir))
 
 
+SCANNED = (
+    "app_id", "name", "publisher", "price", "positive", "negative", "ccu", "required_age", "total_reviews",
+    "num_languages", "platform_profile", "release_year",
+)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
+
+
+def _json_scan(spark: SparkSession, sf_dir: str, infer: bool) -> DataFrame:
+    """The nested catalog written as JSON and read back, with the explicit or an inferred schema."""
+    path = _scratch(spark, "json")
+    catalog_from_tables(spark, sf_dir).write.json(path)
+    raw = read_catalog(spark, path, schema=None) if infer else read_catalog(spark, path)
+    return _round_doubles(build_catalog(raw, **PERIOD).select(*SCANNED))
+
+
+def _silver_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product table written by release year (a null year too) and read back."""
+    path = _scratch(spark, "silver")
+    build_silver(_catalog(spark, sf_dir).drop("languages_array", "genre_array"), path)
+    return _round_doubles(read_silver(spark, path).select(*SCANNED))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: high-potential genres (explode → group → HAVING → sort)."""
     return queries()["high_potential_genres"](spark, SF_SMOKE)
@@ -157,6 +184,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ext_linux_genres": _on_genres(ext.ext_linux_genres),
         "ext_price_bands": _on_catalog(ext.ext_price_bands),
         "ext_genre_share": _on_catalog(ext.ext_genre_share),
+        "ext_top_languages": _on_catalog(ext.ext_top_languages),
+        # sources and sinks, by way of the shared folder
+        "json_scan": lambda spark, sf_dir: _json_scan(spark, sf_dir, infer=False),
+        "json_scan_inferred": lambda spark, sf_dir: _json_scan(spark, sf_dir, infer=True),
+        "silver_scan": _silver_scan,
     }
 
 
@@ -330,7 +362,7 @@ def oracle_sql() -> dict[str, str]:
         "platform_profile": "SELECT app_id, platform_profile FROM cat",
         "catalog_totals": "SELECT (SELECT count(*) FROM cat) AS n_rows, "
         "(SELECT count(*) FROM (SELECT DISTINCT id FROM cat)) AS n_ids, "
-        "(SELECT count(DISTINCT genre) FROM genres) AS n_genres",
+        "(SELECT count(DISTINCT genre) FROM genres) AS n_genres, (SELECT count(*) FROM genres) AS n_genre_rows",
         "releases_per_year": 'SELECT release_year, count(*) AS "count" FROM cat GROUP BY release_year',
         "releases_per_period": 'SELECT covid_period, count(*) AS "count" FROM cat GROUP BY covid_period',
         "age_distribution": 'SELECT required_age, count(*) AS "count" FROM cat GROUP BY required_age',
@@ -406,6 +438,13 @@ def oracle_sql() -> dict[str, str]:
         "round(CAST(count(DISTINCT app_id) AS DOUBLE) / (SELECT count(DISTINCT app_id) FROM cat) * 100, 6) "
         "AS share_percent FROM genres GROUP BY genre",
     }
+    scanned = "SELECT app_id, name, publisher, round(price, 6) AS price, positive, negative, ccu, required_age, " \
+        "total_reviews, num_languages, platform_profile, release_year FROM cat"
+    sql |= {name: scanned for name in ("json_scan", "json_scan_inferred", "silver_scan")}
+    sql["ext_top_languages"] = (
+        "SELECT language, count(DISTINCT app_id) AS nb_games FROM (SELECT app_id, trim(unnest(string_split(languages_raw, ','))) "
+        "AS language FROM cat) WHERE language <> '' GROUP BY language"
+    )
     out = {}
     for name, body in sql.items():
         if body.startswith("WITH "):

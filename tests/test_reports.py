@@ -26,6 +26,7 @@ def test_catalog_totals(catalog, genres):
     assert row.n_rows == catalog.count()
     assert row.n_ids == catalog.select("id").distinct().count()
     assert row.n_genres == genres.select("genre").distinct().count()
+    assert row.n_genre_rows == genres.count()
 
 
 def test_period_counts_sum_to_rows(catalog):

@@ -18,8 +18,13 @@ def _col(c: ColumnOrName) -> Column:
 
 
 def try_number(c: ColumnOrName, dtype: str = "double") -> Column:
-    """Text or number → ``dtype``; unparsable input → NULL."""
-    return _col(c).try_cast(dtype)
+    """Text or number → ``dtype``; unparsable input → NULL. Whole numbers may
+    be written as decimals (``"5.0"`` → 5); ``"12.7"`` is no whole number."""
+    if dtype not in ("bigint", "int"):
+        return _col(c).try_cast(dtype)
+    text = _col(c).cast("string")
+    whole = F.regexp_extract(text, r"^\s*([+-]?\d+)\.0*\s*$", 1)
+    return F.coalesce(text.try_cast(dtype), whole.try_cast(dtype))
 
 
 def extract_int(c: ColumnOrName, pattern: str = r"(\d+)", group: int = 1) -> Column:
@@ -50,5 +55,8 @@ def count_true(c: ColumnOrName) -> Column:
 
 
 def bucket_floor(c: ColumnOrName, width: float) -> Column:
-    """Lower bound of the fixed-width bucket holding ``c`` (bigint)."""
-    return (F.floor(_col(c) / F.lit(width)) * F.lit(width)).cast("bigint")
+    """Lower bound of the fixed-width bucket holding ``c`` (bigint); NULL where
+    the bound is no bigint (NaN, infinities, huge values)."""
+    x = _col(c).cast("double")
+    bound = F.try_multiply(F.floor(x / F.lit(width)), F.lit(width)).try_cast("bigint")
+    return F.when(~F.isnan(x), bound)

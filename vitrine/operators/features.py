@@ -30,6 +30,7 @@ NUMERIC_SPEC = {
     "positive": ("positive_raw", "bigint"),
     "negative": ("negative_raw", "bigint"),
     "ccu": ("ccu", "bigint"),
+    "app_id": ("app_id", "bigint"),
 }
 
 
@@ -85,7 +86,7 @@ def with_period(
 def with_review_features(df: DataFrame, pos: str = "positive", neg: str = "negative") -> DataFrame:
     """``total_reviews`` = pos + neg (NULL if either is NULL) and
     ``positive_ratio`` = pos / total when total > 0, else NULL."""
-    total = (F.col(pos) + F.col(neg)).cast("bigint")
+    total = F.try_add(pos, neg).try_cast("bigint")
     return df.withColumn("total_reviews", total).withColumn(
         "positive_ratio", safe_ratio(pos, "total_reviews")
     )

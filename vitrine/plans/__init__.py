@@ -8,7 +8,6 @@ from .pipeline import (
     catalog_from_json,
     checkpointed_catalog,
     genres_of,
-    shared_catalog,
 )
 
 __all__ = [
@@ -24,5 +23,4 @@ __all__ = [
     "macro",
     "platform",
     "pricing",
-    "shared_catalog",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import share_percent
@@ -71,22 +71,30 @@ def ext_genre_share(catalog: DataFrame) -> DataFrame:
     """Per genre: distinct products and their share of all distinct products
     of the catalog (products without a genre count in the denominator).
 
-    One aggregation with a ROLLUP over the outer-exploded genres gives both
-    the per-genre distinct counts and the catalog-wide distinct count; the
-    window that spreads the total runs over that aggregated result (one row
-    per genre), never over product rows.
+    Two aggregates over the product rows; the catalog-wide one is a single
+    number, a scalar subquery of the other.
     """
-    rows = catalog.select("app_id", F.explode_outer("genre_array").alias("genre")).withColumn(
-        "genre", F.when(is_present_token("genre"), F.col("genre"))
+    total = catalog.agg(F.count_distinct("app_id").alias("n_products"))
+    per_genre = (
+        catalog.select("app_id", F.explode("genre_array").alias("genre"))
+        .filter(is_present_token("genre"))
+        .groupBy("genre")
+        .agg(F.count_distinct("app_id").alias("nb_games"))
     )
-    rolled = rows.rollup("genre").agg(
-        F.count_distinct("app_id").alias("nb_games"),
-        F.grouping("genre").alias("is_total"),
-    )
-    total = F.max(F.when(F.col("is_total") == 1, F.col("nb_games"))).over(Window.partitionBy())
     return (
-        rolled.withColumn("n_products", total)
-        .filter((F.col("is_total") == 0) & F.col("genre").isNotNull())
+        per_genre.withColumn("n_products", total.scalar())
         .select("genre", "nb_games", "n_products", share_percent("nb_games", "n_products").alias("share_percent"))
         .orderBy(F.col("nb_games").desc(), F.col("genre").asc())
     )
+
+
+def ext_top_languages(catalog: DataFrame) -> DataFrame:
+    """Distinct products per language, the most represented first."""
+    return (
+        catalog.select("app_id", F.explode("languages_array").alias("language"))
+        .withColumn("language", F.trim("language"))
+        .filter(is_present_token("language"))
+        .groupBy("language")
+        .agg(F.count_distinct("app_id").alias("nb_games"))
+        .orderBy(F.col("nb_games").desc(), F.col("language").asc())
+    )

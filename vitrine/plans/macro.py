@@ -13,7 +13,7 @@ from ..operators.topk import top_k
 
 def catalog_totals(catalog: DataFrame) -> DataFrame:
     """One row: product rows, distinct ids (NULL counts as a value) and
-    distinct genres -- in a single scan.
+    distinct genres, and exploded genre rows -- in a single scan.
 
     Each product is exploded *outer* with its position, so the row at
     position 0 (or the lone row of a product without genres) stands for the
@@ -27,6 +27,7 @@ def catalog_totals(catalog: DataFrame) -> DataFrame:
         F.count_if(is_product_row).alias("n_rows"),
         (F.count_distinct(F.when(is_product_row, F.col("id"))) + null_id_seen).alias("n_ids"),
         F.count_distinct(F.when(is_present_token("genre"), F.col("genre"))).alias("n_genres"),
+        F.count_if(is_present_token("genre")).alias("n_genre_rows"),
     )
 
 

@@ -29,7 +29,7 @@ DEFAULT_CONF = {
 MB = 1024 * 1024
 
 
-def scale_conf(input_bytes: int, partition_bytes: int = 256 * MB, max_partitions: int = 200_000) -> dict[str, str]:
+def scale_conf(input_bytes: int, partition_bytes: int = 256 * MB) -> dict[str, str]:
     """Partition sizing for a job reading about ``input_bytes``.
 
     Scan splits and post-shuffle partitions target ``partition_bytes``
@@ -37,10 +37,9 @@ def scale_conf(input_bytes: int, partition_bytes: int = 256 * MB, max_partitions
     task overhead low). ``spark.sql.shuffle.partitions`` is the *initial*
     count, sized so the largest shuffle (the full-width one) gets partitions
     of that size; AQE coalesces smaller shuffles down to the advisory size and
-    splits skewed ones. E.g. 100 TB → 409,600 → capped at ``max_partitions``
-    (200,000 partitions of ~512 MB before coalescing).
+    splits skewed ones. E.g. 100 TiB → 409,600.
     """
-    partitions = max(1, min(max_partitions, -(-input_bytes // partition_bytes)))
+    partitions = max(1, -(-input_bytes // partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
@@ -78,21 +77,17 @@ def get_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors for written intermediate tables.
-
-    Read from ``spark.checkpoint.dir`` (the cluster names it); only when the
-    session has none (local tests) a fresh private folder is created and
-    registered as the checkpoint directory.
+    """Folder shared by all executors for written intermediate tables: the
+    one that ``spark.checkpoint.dir`` names. A cluster session without it is
+    an error; a local session (tests) gets a private folder.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="vitrine-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="vitrine-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:

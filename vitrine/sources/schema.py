@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # Explicit schema of one raw catalog record ``{id, data: {...}}``.
-# Fields whose source values mix numbers and text (price, initialprice,
-# discount, required_age) are read as strings and typed later with
-# ``try_cast``, so a malformed value becomes NULL instead of failing the read.
+# Numbers are read as strings and typed later with ``try_cast``: sources mix
+# 90, "90" and 90.0, and a malformed value becomes NULL instead of failing the
+# read or nulling its neighbours.
 PLATFORMS_TYPE = T.StructType(
     [
         T.StructField("linux", T.BooleanType()),
@@ -21,7 +21,7 @@ PLATFORMS_TYPE = T.StructType(
 
 DATA_TYPE = T.StructType(
     [
-        T.StructField("appid", T.LongType()),
+        T.StructField("appid", T.StringType()),
         T.StructField("name", T.StringType()),
         T.StructField("genre", T.StringType()),
         T.StructField("publisher", T.StringType()),
@@ -31,11 +31,11 @@ DATA_TYPE = T.StructType(
         T.StructField("initialprice", T.StringType()),
         T.StructField("discount", T.StringType()),
         T.StructField("required_age", T.StringType()),
-        T.StructField("positive", T.LongType()),
-        T.StructField("negative", T.LongType()),
+        T.StructField("positive", T.StringType()),
+        T.StructField("negative", T.StringType()),
         T.StructField("languages", T.StringType()),
         T.StructField("owners", T.StringType()),
-        T.StructField("ccu", T.LongType()),
+        T.StructField("ccu", T.StringType()),
         T.StructField("platforms", PLATFORMS_TYPE),
         T.StructField("release_date", T.StringType()),
     ]

@@ -2,19 +2,16 @@
 
 The product table is a per-record (stateless) transformation of the raw
 records, so the batch pipeline runs unchanged on a file stream. Progress is
-kept in a checkpoint under the session's shared folder, so a restarted query
-(or a lost executor) neither skips nor duplicates a file.
+kept in a checkpoint that the caller names, so a restarted query (or a lost
+executor) neither skips nor duplicates a file.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.pipeline import build_catalog
-from ..session import shared_dir
 from ..sources.schema import CATALOG_SCHEMA
 
 
@@ -35,16 +32,17 @@ def stream_catalog(
 def start_silver_sink(
     catalog_stream: DataFrame,
     path: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     partition_by: list[str] | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Append the stream to a Parquet table (file sink: exactly-once per
     micro-batch). ``available_now`` processes what is there and stops, the
-    scheduled-batch form of incremental ingest."""
-    spark = catalog_stream.sparkSession
-    if checkpoint is None:
-        checkpoint = os.path.join(shared_dir(spark), "vitrine-stream", os.path.basename(path.rstrip("/")))
+    scheduled-batch form of incremental ingest.
+
+    ``checkpoint`` is a folder on shared storage that belongs to this one
+    target and is named again on every restart: a new checkpoint would start at batch
+    0, which the file sink takes for already written."""
     writer = (
         catalog_stream.writeStream.format("parquet")
         .option("path", path)
