@@ -34,6 +34,8 @@ BATCH = 20_000
 # shipped: each part has a bucket of its own, named by all bytes that the part's strings share.
 HOT = 100_000
 HOT_PLACES = 8
+# Up to so many hot anchors (9 bytes each) are sent to every task; more are joined by a shuffle.
+HOT_SENT = 500_000
 # Windows refined at once in a task.
 REFINED = 400_000
 
@@ -411,7 +413,10 @@ def repeated_spans(
         .mapInArrow(_repeated_rows, "h long, doc long, place long, total long"),
         "anchors",
     )
-    hot = repeated.groupBy("h").agg(F.max("total").alias("t")).where(F.col("t") > HOT).select("h", F.lit(True).alias("is_hot"))
+    # A bucket's size stands in one of its rows, so the hot anchors are a filter of the table.
+    hot = repeated.where(F.col("total") > HOT).select("h", F.lit(True).alias("is_hot")).distinct()
+    if hot.count() <= HOT_SENT:
+        hot = F.broadcast(hot)
     places = (
         repeated.join(hot, "h", "left")
         .groupBy("doc")
