@@ -36,8 +36,9 @@ HOT = 100_000
 HOT_PLACES = 8
 # Up to so many hot anchors (9 bytes each) are sent to every task; more are joined by a shuffle.
 HOT_SENT = 500_000
-# Windows refined at once in a task.
-REFINED = 400_000
+# Windows refined at once in a task, and those whose bytes are compared at once.
+REFINED = 150_000
+COMPARED = 8_000
 
 PLACE = np.uint64(0xFFFFFF)
 U = np.uint64
@@ -305,10 +306,10 @@ def refine(
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     rest, heads = order[~new], head[~new]
     same = np.ones(len(rest), bool)
-    for i in range(0, len(rest), 50_000):  # the buckets are hashes: the bytes decide
-        x = at[rest[i : i + 50_000], None] + np.arange(span)
-        y = at[heads[i : i + 50_000], None] + np.arange(span)
-        same[i : i + 50_000] = (data[x] == data[y]).all(axis=1)
+    for i in range(0, len(rest), COMPARED):  # the buckets are hashes: the bytes decide
+        x = at[rest[i : i + COMPARED], None] + np.arange(span)
+        y = at[heads[i : i + COMPARED], None] + np.arange(span)
+        same[i : i + COMPARED] = (data[x] == data[y]).all(axis=1)
     found = rest[same]
     if not same.all():
         found = np.concatenate([found, _by_bytes(rest[~same], heads[~same], at, data, span)])
