@@ -46,19 +46,34 @@ def test_matches_builtin(skewed, discrete, groups):
 
 
 @pytest.mark.parametrize("discrete", [False, True], ids=["cont", "disc"])
-def test_fallback_is_exact(skewed, discrete):
-    """A zero-width bracket from a coarse sketch misses most targets; the
-    exact fallback must still give Spark's values."""
-    assert _ours(skewed, discrete, ["g"], sketch_k=8, bracket_margin=0.0) == _builtin(skewed, discrete, ["g"])
+@pytest.mark.parametrize("many", [False, True], ids=["broadcast", "shuffled"])
+def test_exact_whatever_the_cuts(skewed, discrete, many):
+    """Poor cut points, and groups above the broadcast limit, change no result."""
+    kw = {"sketch_k": 8, "bracket_margin": 0.0, "broadcast_groups": 0 if many else 1000}
+    assert _ours(skewed, discrete, ["g"], **kw) == _builtin(skewed, discrete, ["g"])
 
 
-def test_plan_uses_sketch_and_fallback_only_for_missed_groups(skewed, capsys):
-    """The map-per-group percentile aggregate only runs behind the semi join
-    with the groups whose bracket missed."""
-    exact_quantiles(skewed, "v", [0.5], ["m"], ["g"]).explain()
+@pytest.mark.parametrize("groups", [["g"], []], ids=["grouped", "global"])
+def test_plan_shuffles_no_raw_rows(spark, skewed, groups, capsys):
+    """Every exchange follows a partial aggregate, also where the planner may broadcast nothing by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exact_quantiles(skewed, "v", [0.25, 0.5], ["a", "b"], groups).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     plan = capsys.readouterr().out
-    assert "kll_sketch_agg_double" in plan and "kll_merge_agg_double" in plan
-    assert plan.count("partial_percentile(") == 1 and "LeftSemi" in plan
+    assert "partial_percentile" not in plan and "SortMergeJoin" not in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("discrete", [False, True], ids=["cont", "disc"])
+def test_nan_is_the_largest_value(spark, discrete):
+    nan = float("nan")
+    rows = [("all", nan), ("all", nan), ("most", 1.0), ("most", nan), ("most", nan), ("few", 1.0), ("few", 2.0), ("few", nan)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for groups in (["g"], []):
+        assert str(_ours(df, discrete, groups)) == str({k: _builtin(df, discrete, groups)[k] for k in _ours(df, discrete, groups)})
 
 
 def test_empty_and_validation(spark):

@@ -4,31 +4,23 @@ Spark's exact ``percentile`` / ``percentile_disc`` keep, per group, a map of
 every distinct value; the final merge of a group happens in one task, so a
 hot group with many distinct values becomes one huge task. Here:
 
-1. a fixed-size KLL sketch gives, per group and quantile, a value bracket
-   ``[lo, hi]`` around the target rank(s). Sketches are merged as a
-   two-level tree: first per (group, map task mod ``merge_fanout``), then per
-   group, so no reducer receives one partial sketch per map task (hundreds
-   of thousands of tasks at 100 TB);
-2. one pass maps every row to either "below the bracket" (collapsed to one
-   count by the map-side partial aggregation) or its value inside the
-   bracket, tagged with one of ``bracket_splits`` equal-width sub-ranges of
-   the bracket; a prefix sum over the sub-range totals (a few rows per
-   group) plus a running count inside each sub-range (in parallel) gives
-   exact ranks;
-3. the ranks are checked (``below < r1`` and ``below + in_bracket >= r2``);
-   a (group, quantile) whose bracket missed -- the sketch's error bound
-   makes this not expected -- is recomputed with Spark's exact aggregate,
-   for those groups only. The result is exact in every case.
-
-The exact step works per sub-range of a bracket (about
-``4 * 1.7 / k**0.96`` of a group's rows -- 0.12 % -- split in
-``bracket_splits`` equal-width value ranges, distinct values collapsed), not
-per group.
+1. a fixed-size KLL sketch gives, per group, cut points around every target
+   rank. Sketches are merged as a two-level tree: first per (group, map task
+   mod ``merge_fanout``), then per group, so no reducer receives one partial
+   sketch per map task (hundreds of thousands of tasks at 100 TB);
+2. one pass counts all rows per (group, bucket between cut points), combined
+   in the map tasks. These counts are exact, so the bucket that holds a target
+   rank is known for certain, however good or bad the cuts are;
+3. one pass keeps the rows of those buckets only, counts them per value, and a
+   running count inside each bucket finds the value at the rank.
+
+The cuts decide how small the buckets of step 3 are, never the result. The
+source is read three times and no step shuffles its rows.
 
 Definitions (identical to Spark's built-ins): ``discrete=False`` is
 ``percentile``: position ``p * (n - 1)`` with linear interpolation between the
 neighbouring ranks; ``discrete=True`` is ``percentile_disc``: the value at
-rank ``max(1, ceil(p * n))``.
+rank ``max(1, ceil(p * n))``. NULLs are ignored; NaN is the largest value.
 """
 
 from __future__ import annotations
@@ -38,13 +30,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # KLL size parameter: ~170 KB per sketch, normalized rank error bound
 # ~1.7 / k**0.96 = 3e-4 (measured error on 4M rows: 7e-5).
 DEFAULT_SKETCH_K = 8000
 DEFAULT_MERGE_FANOUT = 256
-# Sub-ranges per bracket: the running count runs in this many tasks per
-# (group, quantile), so even a hot group's bracket is split.
-DEFAULT_BRACKET_SPLITS = 64
+# Cut points on either side of a target rank, evenly spaced in rank.
+CUTS_PER_SIDE = 4
+# Groups whose cut points are broadcast; with more, the rows are first
+# aggregated to one per (group, value) and joined by a shuffle.
+DEFAULT_BROADCAST_GROUPS = 20_000
 
 
 def kll_rank_error(k: int) -> float:
@@ -54,6 +50,8 @@ def kll_rank_error(k: int) -> float:
 
 _X = "__q_x"
 _N = "__q_n"
+_J = "__q_j"
+_CUTS = "__q_cuts"
 
 
 def _null_safe_join(
@@ -88,6 +86,22 @@ def _ranks(p: float, n: Column, discrete: bool) -> tuple[Column, Column, Column]
     return (F.floor(pos) + 1).cast("bigint"), (F.ceil(pos) + 1).cast("bigint"), pos
 
 
+def _cut_points(
+    base: DataFrame, groups: list[str], probs: list[float], sketch_k: int, merge_fanout: int, margin: float
+) -> DataFrame:
+    """``groups`` + the cut points of every group, from the merged sketches."""
+    steps = range(-CUTS_PER_SIDE, CUTS_PER_SIDE + 1)
+    edges = sorted({min(1.0, max(0.0, p + margin * t / CUTS_PER_SIDE)) for p in probs for t in steps})
+    # a sketch skips NaN: as infinity it keeps its rank, and no sketch is empty
+    sketched = F.when(F.isnan(_X), F.lit(float("inf"))).otherwise(F.col(_X))
+    level1 = base.groupBy(*groups, F.pmod(F.spark_partition_id(), F.lit(merge_fanout)).alias("__q_s")).agg(
+        F.kll_sketch_agg_double(sketched, sketch_k).alias("sk"), F.count(F.lit(1)).alias(_N)
+    )
+    merged = level1.groupBy(*groups).agg(F.kll_merge_agg_double("sk").alias("sk"), F.sum(_N).alias(_N))
+    points = F.kll_sketch_get_quantile_double("sk", F.array(*[F.lit(e) for e in edges]))
+    return merged.select(*groups, F.when(F.col(_N) > 0, points).alias(_CUTS))
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -98,157 +112,87 @@ def exact_quantiles(
     sketch_k: int = DEFAULT_SKETCH_K,
     merge_fanout: int = DEFAULT_MERGE_FANOUT,
     bracket_margin: float | None = None,
-    bracket_splits: int = DEFAULT_BRACKET_SPLITS,
+    broadcast_groups: int = DEFAULT_BROADCAST_GROUPS,
 ) -> DataFrame:
     """``groups`` + one double column per name in ``names`` (quantile
     ``probs[i]`` of ``value``). Grouped: one row per group having a non-NULL
     value. Global (no groups): always one row (NULLs on empty input).
 
-    ``sketch_k`` sizes the KLL sketch (and so the bracket); ``merge_fanout``
-    is the width of the first merge level; ``bracket_splits`` cuts every
-    bracket into that many equal-width sub-ranges whose running counts run
-    in parallel; ``bracket_margin`` overrides the bracket
-    half-width in probability units (tests use 0 to exercise the exact
-    fallback).
+    ``sketch_k`` sizes the KLL sketch; ``merge_fanout`` is the width of the
+    first merge level; ``bracket_margin`` overrides how far the cut points
+    reach around a target, in probability units.
 
-    Every join is an equi-join on (group keys, quantile index ``i``); the
-    sketch side has one row per (group, i), so AQE broadcasts it whenever it
-    is small, and a global quantile never degenerates into a cross join.
+    Grouped, the cut points are written to the shared folder when the result
+    is built, and counted: up to ``broadcast_groups`` groups are broadcast.
+    Beyond that the rows are aggregated per (group, value) before they are
+    joined. Global cut points are one row, read as a scalar subquery.
     """
     if len(probs) != len(names) or not probs:
         raise ValueError("probs and names must be non-empty and of equal length")
     if any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("probabilities must be within [0, 1]")
     groups = list(groups or [])
-    k = len(probs)
-    keys = groups + ["i"]
     base = df.select(*groups, F.col(value).cast("double").alias(_X)).filter(F.col(_X).isNotNull())
-    # each row once per requested quantile (narrow; k is small)
-    pairs = base.select(*groups, _X, F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("i"))
-
-    # 1. sketch: per group the row count and a bracket around every target.
-    # Level 1 keys each map task's partial sketch by (group, task mod
-    # fanout); level 2 merges at most ``merge_fanout`` sketches per group.
     margin = 2.0 * kll_rank_error(sketch_k) if bracket_margin is None else bracket_margin
-    splits = max(1, bracket_splits)
-    edges = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    level1 = base.groupBy(*groups, F.pmod(F.spark_partition_id(), F.lit(merge_fanout)).alias("__q_s")).agg(
-        F.count(F.lit(1)).alias(_N), F.kll_sketch_agg_double(_X, sketch_k).alias("sk")
-    )
-    sketch = (
-        level1.groupBy(*groups)
-        .agg(F.sum(_N).alias(_N), F.kll_merge_agg_double("sk").alias("sk"))
-        .withColumn("b", F.kll_sketch_get_quantile_double("sk", F.array(*[F.lit(e) for e in edges])))
+
+    # 1. cut points; a row's bucket is the number of cuts below its value
+    cuts = _cut_points(base, groups, probs, sketch_k, merge_fanout, margin)
+    small = True
+    if groups:
+        cuts = materialize(cuts, "quantile_cuts")
+        small = cuts.count() <= broadcast_groups
+        rows = base.withColumn(_N, F.lit(1)) if small else base.groupBy(*groups, _X).agg(F.count(F.lit(1)).alias(_N))
+        rows = _null_safe_join(rows, F.broadcast(cuts) if small else cuts, groups, "left", not_null=())
+    else:
+        rows = base.withColumn(_N, F.lit(1)).withColumn(_CUTS, cuts.scalar())
+    below = F.size(F.filter(F.coalesce(F.col(_CUTS), F.array().cast("array<double>")), lambda c: c < F.col(_X)))
+    rows = rows.select(*groups, _X, _N, below.alias(_J))
+
+    # 2. exact counts per bucket, and the bucket and rank inside it of every
+    # target (a few rows per group)
+    in_group = Window.partitionBy(*groups)
+    before = in_group.orderBy(_J).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        rows.groupBy(*groups, _J)
+        .agg(F.sum(_N).alias("c"))
+        .select(*groups, _J, "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"), F.sum("c").over(in_group).alias("n"))
     )
-    n = F.col(_N)
-    per_quantile = []
+    targets = []
     for i, p in enumerate(probs):
-        r1, r2, pos = _ranks(p, n, discrete)
-        per_quantile.append(
-            F.struct(
-                F.lit(i).alias("i"),
-                F.col("b")[i].alias("lo"),
-                F.col("b")[k + i].alias("hi"),
-                r1.alias("r1"),
-                r2.alias("r2"),
-                pos.alias("pos"),
-            )
-        )
-    targets = sketch.select(*groups, F.explode(F.array(*per_quantile)).alias("t")).select(*groups, "t.*")
-    if not groups:
-        # global: exactly k rows, a proven bound -- always the broadcast side
-        targets = F.broadcast(targets)
-
-    # 2. one pass: rows below the bracket keep a NULL value and sub-range
-    # (collapsed to one count per (group, i) by the map-side partial
-    # aggregation), rows above it are dropped, rows inside it get the index
-    # of their equal-width sub-range of [lo, hi] (monotone in the value, so
-    # ordering by (sub-range, value) is ordering by value); the target ranks
-    # ride along as grouping keys
-    x, lo, hi = F.col(_X), F.col("lo"), F.col("hi")
-    inside = x >= lo
-    width = (hi - lo) / F.lit(float(splits))
-    sub_range = F.when(
-        (width > 0) & (width < F.lit(float("inf"))),
-        F.least(F.lit(splits - 1).cast("bigint"), F.floor((x - lo) / width)).cast("int"),
-    ).otherwise(F.lit(0))
-    counted = (
-        _null_safe_join(pairs, targets, keys)
-        .filter(x <= hi)
-        .select(*keys, "r1", "r2", "pos", F.when(inside, sub_range).alias("j"), F.when(inside, x).alias("v"))
-        .groupBy(*keys, "r1", "r2", "pos", "j", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    # running count inside each sub-range (sub-range-sized window partitions,
-    # in parallel); the NULL sub-range holds the single below-the-bracket row
-    in_range = Window.partitionBy(*keys, "j")
-    local = counted.withColumn(
-        "local",
-        F.sum("c").over(
-            in_range.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
-    ).withColumn("jc", F.sum("c").over(in_range))
-    # rows before each sub-range: a prefix sum over the sub-range totals (at
-    # most splits + 1 rows per (group, i); the aggregate reuses the window's
-    # partitioning, only this small table is shuffled and joined back)
-    before = (
-        local.groupBy(*keys, "j")
-        .agg(F.max("jc").alias("jc"))
-        .withColumn(
-            "before",
-            F.coalesce(
-                F.sum("jc").over(
-                    Window.partitionBy(*keys)
-                    .orderBy(F.col("j").asc_nulls_first())
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("jc")
-    )
-    cum = _null_safe_join(local.drop("jc"), before, keys + ["j"]).withColumn("cum", F.col("before") + F.col("local"))
-    v, c, r1, r2, pos = F.col("v"), F.col("cum"), F.col("r1"), F.col("r2"), F.col("pos")
-    located = cum.groupBy(*keys).agg(
-        F.min(F.when(v.isNotNull() & (c >= r1), v)).alias("v1"),
-        F.min(F.when(v.isNotNull() & (c >= r2), v)).alias("v2"),
-        F.coalesce(F.max(F.when(v.isNull(), c)), F.lit(0)).alias("below"),
-        F.max(c).alias("upto"),
-        F.max(r1).alias("r1"),
-        F.max(r2).alias("r2"),
-        F.max(pos).alias("pos"),
+        r1, r2, pos = _ranks(p, F.col("n"), discrete)
+        targets += [
+            F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), (r - F.col("b")).alias("r"), pos.alias("pos"))
+            for side, r in ((1, r1), (2, r2))
+        ]
+    wanted = counts.select(
+        *groups, _J, F.filter(F.array(*targets), lambda t: (t["r"] > 0) & (t["r"] <= F.col("c"))).alias("t")
+    ).filter(F.size("t") > 0)
+
+    # 3. the values of those buckets, ranked inside each
+    running = Window.partitionBy(*groups, _J).orderBy(_X).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    valued = (
+        _null_safe_join(rows, F.broadcast(wanted) if small else wanted, [*groups, _J], not_null=(_J,))
+        .groupBy(*groups, _J, _X)
+        .agg(F.sum(_N).alias("c"), F.any_value("t").alias("t"))
+        .withColumn("upto", F.sum("c").over(running))
     )
-    v1, v2 = F.col("v1"), F.col("v2")
-    # (every located column enters the check, so the fallback branch needs the
-    # same aggregate as the result branch and AQE reuses that exchange)
-    ok = F.coalesce(
-        (F.col("below") < r1) & (F.col("upto") >= r2) & v1.isNotNull() & v2.isNotNull() & pos.isNotNull(),
-        F.lit(False),
+    found = (
+        valued.select(*groups, _X, "c", "upto", F.explode("t").alias("t"))
+        .filter((F.col("t.r") <= F.col("upto")) & (F.col("t.r") > F.col("upto") - F.col("c")))
+        .select(*groups, _X, "t.i", "t.side", "t.pos")
     )
-    lower, upper = (r1 - 1).cast("double"), (r2 - 1).cast("double")
-    interpolated = (upper - pos) * v1 + (pos - lower) * v2
-    quantile = F.when((r1 == r2) | (v1 == v2), v1).otherwise(interpolated)
-    checked = located.select(*keys, F.when(ok, quantile).alias("q"), ok.alias("ok"))
-
-    # 3. exact fallback, only for the (group, i) whose bracket missed
-    # (expected: none; AQE then skips this branch as an empty relation)
-    missed = checked.filter(~F.col("ok")).select(*keys)
-    retry = _null_safe_join(pairs, missed, keys, "left_semi")
-    if discrete:
-        exact = [
-            F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN i = {i} THEN `{_X}` END)")
-            for i, p in enumerate(probs)
-        ]
-    else:
-        exact = [F.percentile(F.when(F.col("i") == i, x), F.lit(p)) for i, p in enumerate(probs)]
-    fallback = retry.groupBy(*groups).agg(*[e.cast("double").alias(f"f{i}") for i, e in enumerate(exact)])
-
-    # 4. one row per group: bracket results (long, keyed by i) and fallback
-    # values (wide) side by side -- union + one aggregate, no join
-    both = checked.select(*groups, "i", "q").unionByName(fallback, allowMissingColumns=True)
-    return both.groupBy(*groups).agg(
+    at = lambda i, side, c: F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col(c)))
+    ends = found.groupBy(*groups).agg(
         *[
-            F.coalesce(F.max(F.when(F.col("i") == i, F.col("q"))), F.max(f"f{i}")).alias(name)
-            for i, name in enumerate(names)
+            F.struct(at(i, 1, _X).alias("v1"), at(i, 2, _X).alias("v2"), at(i, 1, "pos").alias("pos")).alias(f"__q_{i}")
+            for i in range(len(probs))
         ]
     )
+    return ends.select(*groups, *[_between(F.col(f"__q_{i}")).alias(name) for i, name in enumerate(names)])
+
+
+def _between(q: Column) -> Column:
+    """Linear interpolation between the values at the neighbouring ranks."""
+    v1, v2, pos = q["v1"], q["v2"], q["pos"]
+    lower, upper = F.floor(pos).cast("double"), F.ceil(pos).cast("double")
+    return F.when((lower == upper) | (v1 == v2), v1).otherwise((upper - pos) * v1 + (pos - lower) * v2)
