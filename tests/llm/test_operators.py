@@ -154,8 +154,16 @@ def test_simhash(documents, hostile, nothing, monkeypatch, block):
         got = rows_of(simhash.simhash_components(df))
         assert sorted((str(r["doc_id"]), r["fp"] % (1 << 64), str(r["component_id"])) for r in got) == want
     assert simhash.simhash_components(nothing).count() == 0
-    kept = [r["doc_id"] for r in rows_of(simhash.drop_near_duplicates(hostile))]
-    assert 1 in kept and 2 not in kept and 3 not in kept and 4 in kept and None in kept
+    for df in (documents, hostile):
+        pairs = sorted(set(texts_of(df)), key=lambda p: (p[0] is None, p[0] or 0))
+        fps = np.array([simhash.simhash(t, 3) for _, t in pairs], np.uint64)
+        groups = brute_components(list(range(len(pairs))), fps)  # named by their first row
+        got = texts_of(simhash.drop_near_duplicates(df))
+        place = {p: k for k, p in enumerate(pairs)}
+        assert sorted(groups[place[p]] for p in got) == sorted(set(groups))
+        first = {g: pairs[g][0] for g in groups}
+        assert all(p[0] == first[groups[place[p]]] for p in got)
+    assert simhash.drop_near_duplicates(nothing).count() == 0
 
 
 def test_block_links_lose_nothing():
@@ -394,6 +402,16 @@ def test_pages_of_the_fixture(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_quality_stage_judges_each_row_of_an_id(spark, documents):
+    import corpus_pipeline as p
+
+    good = documents.where("length(text) between 300 and 3000").limit(1).first()["text"]
+    rows = [(1, good, "en", "a"), (1, "too short", "en", "a"), (None, good, None, None), (None, None, None, None)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.quality_rules(spark, docs, SF)
+    assert sorted(texts_of(got), key=str) == [(1, good), (None, good)]
+
+
 def test_pipeline_stages(spark, documents, hostile):
     import corpus_pipeline as p
 

@@ -279,11 +279,25 @@ def fingerprint_hex(fp) -> F.Column:
 def drop_near_duplicates(
     docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's id: one document of each group stays.
+    """One row of ``docs`` for each component of near-duplicates: the one with the smallest id.
 
-    Rows with a null id stay (they cannot be told apart from the group by their id); rows that repeat
-    the smallest id stay as one.
+    Null ids come last; of rows with one id the one with the smallest hash of its text stays. Rows that agree
+    in id and text are one document and come once.
+
+    Representatives are found on (id, hash) alone. A representative that comes once is a row of a semi-join; those that
+    repeat, if there are any, are joined apart and collapsed before their shuffle.
     """
-    found = simhash_components(docs, width, radius, id_col, text_col)
-    ids = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(ids, F.col(id_col) == F.col("_keep"), "left_semi").unionAll(docs.where(F.col(id_col).isNull()))
+    digest = F.xxhash64(F.col(text_col))
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), digest.alias("digest"))
+    found = simhash_components(docs.select(key.alias("_row"), F.col(text_col).alias("_text")), width, radius, "_row", "_text")
+    stay = found.where(F.col("_row").eqNullSafe(F.col("component_id"))).groupBy("_row").agg(F.count("*").alias("_n"))
+    stay = materialize(stay.select(F.col("_row.id").alias("_stay"), F.col("_row.digest").alias("_digest"), "_n"), "representatives")
+
+    def rows(chosen: DataFrame) -> DataFrame:
+        same = docs[id_col].eqNullSafe(chosen["_stay"]) & (F.xxhash64(docs[text_col]) == chosen["_digest"])
+        return docs.join(chosen, same, "left_semi")
+
+    once, repeated = rows(stay.where("_n = 1")), stay.where("_n > 1")
+    if repeated.isEmpty():
+        return once
+    return once.unionAll(rows(repeated).dropDuplicates([id_col, text_col]))
