@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # ASCII white space as the word contracts state it: [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Spark deletes the shuffle files of a query when it ends, not when the driver's garbage collector finds them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # The seed of the hashes that deal rows out to groups.
 DEAL_SEED = 0x5EED
 
@@ -33,10 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that
-    later steps start from files that outlive any executor."""
-    path = f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    later steps start from files that outlive any executor. The write's shuffle
+    files go as soon as it is done."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("error").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
