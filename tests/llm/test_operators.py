@@ -388,6 +388,24 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_texts_that_a_host_repeats_in_its_articles(spark):
+    def page(i, host):
+        return f"<body><article><h1>Title {i} {host}</h1><p>Story {i} of {host}</p><p>All rights kept</p><ul><li>Join us</li></ul></article></body>"
+
+    rows = [(i, f"http://{h}/{i}", page(i, h)) for h, n in (("big.example", 20), ("small.example", 3), ("two.example", 2)) for i in range(n)]
+    rows += [(50 + i, f"http://copies.example/{i}", page(7, "copies")) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["url"]: r["text"] for r in rows_of(extract_main_text(pages))}
+    for i, url, _ in rows:
+        host = url.split("/")[2]
+        if host in ("big.example", "small.example"):
+            assert got[url] == f"Title {i} {host}\n\nStory {i} of {host}"
+        elif host == "copies.example":
+            assert got[url] == "Title 7 copies\n\nStory 7 of copies\n\nAll rights kept\n\nJoin us"
+        else:  # two pages say nothing
+            assert got[url].endswith("All rights kept\n\nJoin us")
+
+
 def test_pages_of_the_fixture(spark):
     from html import unescape
     from re import S, search, split, sub

@@ -2,8 +2,9 @@
 
 The pages of a host are merged into one tree: a node is a path of presentation labels (tag, classes, id). A node's presentation importance is the
 entropy of its children's sequences over the host's pages, a text's content importance one minus the entropy of its
-occurrences: what every page repeats is worth nothing. Branches with low importance are removed from each
-page, as are elements that are furniture by their tag or name; the rest of the main element is the text.
+occurrences: what every page repeats is worth nothing. Branches with low importance are removed from each page, and so are texts that most
+pages of the host repeat under one node. Elements that are furniture by their tag or
+name go too; the rest of the main element is the text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from vitrine.llm.url_rules import url_host
 # A branch below this composite importance is removed, on hosts with so many pages that have the branch.
 LOW_IMPORTANCE = 0.2
 MIN_PAGES = 8
+# A text that more than half of a host's pages repeat under one node is removed, if so many pages have it.
+MIN_REPEATS = 3
 # How much a node's own presentation counts against what is beneath it, by its number of children.
 DAMPING = 0.9
 # Features a task adds up before it lets them go.
@@ -66,10 +69,11 @@ DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "path", "parent", "children", "furniture", "named")
+    __slots__ = ("tag", "label", "path", "parent", "children", "furniture", "suspect", "named")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, furniture: bool):
+    def __init__(self, tag: str, label: str, parent: Node | None, furniture: bool, suspect: bool = False):
         self.tag, self.label, self.parent, self.furniture = tag, label, parent, furniture
+        self.suspect = suspect  # furniture by its name only
         self.named = label != tag
         self.children: list = []
         self.path = xxh64_intdigest(f"{parent.path if parent else 0}/{label}") >> 1
@@ -77,6 +81,9 @@ class Node:
             parent.children.append(self)
 
 
+ROOT_PATH = Node("#root", "#root", None, False).path
+
+
 def parse(html: str) -> Node:
     """The page's tree: nodes and strings (undecoded). Lenient as browsers are: open paragraphs and list items end where
     the next begins, stray end tags are ignored, a tag cut off by the page's end is dropped."""
@@ -203,20 +210,24 @@ def _nodes(root: Node) -> Iterator[Node]:
         stack.extend(c for c in node.children if not isinstance(c, str) and not c.furniture)
 
 
-def page_features(html: str) -> set[tuple[int, int, int, int]]:
-    """What a page adds to its host's tree: ``(path, 0, number of children, hash of their sequence)`` for every node, and
-    ``(path, 1, 0, hash of the text)`` for every text beneath a node, furniture left out."""
+def page_features(html: str) -> set[tuple[int, int, int, int, int]]:
+    """What a page adds to its host's tree: ``(path, 0, number of children, suspect, hash of their sequence)`` for every node, and
+    ``(path, 1, 0, own, hash of the text)`` for every text beneath a node (``own``: in the node itself). Furniture by tag is left
+    out; what is in a suspect node counts for the nodes up to that one."""
     root = parse(html)
     out = set()
     for node in _nodes(root):
         kinds = [c.label for c in node.children if not isinstance(c, str)]
         merged = [k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k]  # a run of one kind is one child
-        out.add((node.path, 0, len(merged), xxh64_intdigest(" ".join(merged)) >> 1))
+        out.add((node.path, 0, len(merged), int(node.suspect), xxh64_intdigest(" ".join(merged)) >> 1))
+    beneath: dict[tuple[int, int], int] = {}
     for owner, text in _texts(root, lambda n: n.furniture):
-        feature = xxh64_intdigest(text) >> 1
+        feature, own = xxh64_intdigest(text) >> 1, 1
         while owner:
-            out.add((owner.path, 1, 0, feature))
-            owner = owner.parent
+            beneath[owner.path, feature] = own or beneath.get((owner.path, feature), 0)
+            own = 0
+            owner = None if owner.suspect else owner.parent
+    out.update((path, 1, 0, own, feature) for (path, feature), own in beneath.items())
     return out
 
 
@@ -225,8 +236,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def release() -> pa.RecordBatch:
         rows = [(*key, n) for key, n in counts.items()]
-        names = ["host", "path", "kind", "children", "feature", "n"]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["host", "path", "kind", "children", "mark", "feature", "n"]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     for batch in batches:
@@ -239,30 +250,50 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield release()
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, path, pages, importance``: the nodes of each host's merged tree with their composite importance.
+def tree_sums(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Each host's merged tree as sums: a row of every node, and one of every (node, text) that ``MIN_REPEATS`` pages have.
 
     Features are counted in their task first and then by (host, path, feature), so a hot host is many keys. Pages without a host or
-    html add nothing. On a node that one page has, entropy says nothing; its importance is 1.
+    html add nothing.
     """
     src = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host <> '' and html is not null")
     counted = (
-        src.mapInArrow(_gather, "host string, path long, kind int, children int, feature long, n long")
+        src.mapInArrow(_gather, "host string, path long, kind int, children int, mark int, feature long, n long")
         .groupBy("host", "path", "kind", "feature")
-        .agg(F.sum("n").alias("n"), F.max("children").alias("children"))
+        .agg(F.sum("n").alias("n"), F.max("children").alias("children"), F.max("mark").alias("mark"))
     )
-    sums = counted.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
-        F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("nlogn"),
+    node, text = F.col("kind") == 0, F.col("kind") == 1
+    repeated = text & (F.col("mark") == 1) & (F.col("n") >= MIN_REPEATS)
+    return counted.groupBy("host", "path", F.when(repeated, F.col("feature")).alias("text")).agg(
+        F.sum(F.when(node, F.col("n"))).alias("pages"),
+        F.sum(F.when(node, F.col("n") * F.log("n"))).alias("nlogn"),
         F.max("children").alias("children"),
-        F.avg(F.when(F.col("kind") == 1, F.log("n"))).alias("mean_log"),
+        F.max(F.when(node, F.col("mark"))).alias("suspect"),
+        F.sum(F.when(text, F.log("n"))).alias("logs"),
+        F.count_if(text).alias("texts"),
+        F.max(F.when(repeated, F.col("n"))).alias("times"),
+    )
+
+
+def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, path, pages, suspect, importance``: the nodes of each host's merged tree with their composite importance. On a
+    node that one page has, entropy says nothing; its importance is 1."""
+    return _importance(tree_sums(pages, url_col, html_col))
+
+
+def _importance(sums: DataFrame) -> DataFrame:
+    sums = sums.groupBy("host", "path").agg(
+        *(F.sum(c).alias(c) for c in ("pages", "nlogn", "logs", "texts")), *(F.max(c).alias(c) for c in ("children", "suspect"))
     )
     m = F.col("pages")
     own = F.when(m > 1, (F.log(m) - F.col("nlogn") / m) / F.log(m)).otherwise(1.0)
-    content = F.when(m > 1, F.lit(1.0) - F.col("mean_log") / F.log(m)).otherwise(1.0)
+    mean_log = F.when(F.col("texts") > 0, F.col("logs") / F.col("texts"))
+    content = F.when(m > 1, F.lit(1.0) - mean_log / F.log(m)).otherwise(1.0)
     weight = F.pow(F.lit(DAMPING), F.col("children"))
-    importance = F.when(F.col("mean_log").isNull(), own).otherwise((1 - weight) * own + weight * content)
-    return sums.where("pages is not null").select("host", "path", "pages", importance.alias("importance"))
+    importance = F.when(mean_log.isNull(), own).otherwise((1 - weight) * own + weight * content)
+    return sums.where("pages is not null").select(
+        "host", "path", "pages", (F.col("suspect") == 1).alias("suspect"), importance.alias("importance")
+    )
 
 
 def low_branches(tree: DataFrame, threshold: float = LOW_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -271,43 +302,60 @@ def low_branches(tree: DataFrame, threshold: float = LOW_IMPORTANCE, min_pages:
     return low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("path").alias("_low"))
 
 
-def main_text(html: str | None, low: set[int] = frozenset()) -> str:
-    """The main text of a page: its blocks joined by an empty line."""
+def _judged(sums: DataFrame) -> DataFrame:
+    """``_host, _low, _high, _common``: each host's paths with low importance, its suspect paths without, and the
+    texts (path xor hash) that more than half of its pages have under one node."""
+    tree = _importance(sums).where(F.col("pages") >= MIN_PAGES)
+    is_low, none = F.col("importance") < LOW_IMPORTANCE, F.lit(None).cast("long")
+    paths = tree.where(is_low | F.col("suspect")).select(
+        "host", F.when(is_low, F.col("path")).alias("low"), F.when(~is_low, F.col("path")).alias("high"), none.alias("common")
+    )
+    whole = sums.where(F.col("path") == ROOT_PATH).groupBy(F.col("host").alias("h")).agg(F.sum("pages").alias("all"))
+    texts = sums.where("text is not null").select("host", F.col("path").bitwiseXOR(F.col("text")).alias("common"), "times")
+    common = texts.join(whole, F.col("host") == F.col("h")).where(F.col("times") * 2 > F.col("all"))
+    rows = paths.unionAll(common.select("host", none.alias("low"), none.alias("high"), "common"))
+    return rows.groupBy(F.col("host").alias("_host")).agg(*(F.collect_set(c).alias(f"_{c}") for c in ("low", "high", "common")))
+
+
+def main_text(
+    html: str | None, low: set[int] = frozenset(), high: set[int] = frozenset(), common: set[int] = frozenset()
+) -> str:
+    """The main text of a page: its blocks joined by an empty line. ``low``, ``high`` and ``common`` are what its
+    host's tree says: branches of low importance, suspect branches that are important, and texts most pages have."""
     if not html:
         return ""
     root = parse(html)
-    mains: list[Node] = []
-    for node in _nodes(root):
-        if node.tag in MAIN and not _inside(node.parent, MAIN):
-            mains.append(node)
-    articles = [n for n in mains if n.tag == "article"]
-    chosen = set(map(id, articles or mains))
+    mains = [n for n in _nodes(root) if n.tag in MAIN and not _inside(n.parent, MAIN)]
 
     def dropped(node: Node) -> bool:
-        if node.furniture:
+        if node.furniture or (node.suspect and node.path not in high):
             return True
         if node.path not in low or node.tag in MAIN or node.tag in ("html", "body"):
             return False
         inside = _inside(node, MAIN)
         if inside:
             return node.named or node.tag not in FLOW
-        return not chosen  # outside the main element nothing is taken anyway
+        return not mains  # outside the main element nothing is taken anyway
 
     blocks = _texts(root, dropped)
-    if chosen:
+    if mains:
+        chosen = {id(n) for n in mains if n.tag == "article"} or set(map(id, mains))
         blocks = [(n, t) for n, t in blocks if _under(n, chosen)]
     elif not blocks:
         # Repeated pages make their own text look like furniture: a page does not lose all it has.
         blocks = _texts(root, lambda n: n.furniture)
-    return "\n\n".join(t for _, t in blocks)
+    # A page of nothing but common texts is a copy, and keeps them.
+    rest = [(n, t) for n, t in blocks if n.path ^ (xxh64_intdigest(t) >> 1) not in common] if common else blocks
+    return "\n\n".join(t for _, t in rest or blocks)
 
 
-def _under(node: Node | None, chosen: set[int]) -> bool:
+def _under(node: Node | None, chosen) -> int:
+    """The id of the innermost node of ``chosen`` that holds the node, or 0."""
     while node:
         if id(node) in chosen:
-            return True
+            return id(node)
         node = node.parent
-    return False
+    return 0
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -316,24 +364,26 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     The text is that of the page's article (or main element, or body) without furniture and without the branches that
     the host's style tree finds of low importance; character references decoded, white space in a block one
     space, blocks trimmed, in page order, joined by an empty line. Plain paragraphs, headings, lists and tables of an article are
-    never removed by the tree, so pages that copy each other keep their text. Null or empty html gives an empty
+    no branches to remove; each of their texts goes if more than half of the host's pages (and ``MIN_REPEATS``) have it under
+    the same node, but a page with no other texts is a copy and keeps them. Null or empty html gives an empty
     text; pages without a host are judged alone; repeated rows come as often as they came; an empty table gives no rows.
 
-    Two scans: the first gathers the trees, the second extracts. The hosts' low branches are a table of a few paths a host;
+    Two scans: the first gathers the trees, the second extracts. What the hosts' trees say is a table of a few paths and texts a host;
     Spark broadcasts it if it is small as written and otherwise splits hot hosts in the join.
     """
     pages = pages.drop("text", "n_chars")
     columns = pages.columns
-    low = materialize(low_branches(style_tree(pages, url_col, html_col)), "branches")
+    sums = materialize(tree_sums(pages, url_col, html_col), "tree")
+    low = materialize(_judged(sums), "branches")
     joined = pages.withColumn("_h", url_host(F.col(url_col))).join(low, F.col("_h") == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(html_col).to_pylist(), batch.column("_low").to_pylist())
-            texts = [main_text(html, set(paths or ())) for html, paths in pairs]
+            judged = zip(*(batch.column(c).to_pylist() for c in (html_col, "_low", "_high", "_common")))
+            texts = [main_text(html, *(set(found or ()) for found in sets)) for html, *sets in judged]
             out = [batch.column(i) for i in range(len(columns))]
             out += [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(out, [*columns, "text", "n_chars"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return joined.select(*columns, "_low").mapInArrow(run, f"{schema}, text string, n_chars long")
+    return joined.select(*columns, "_low", "_high", "_common").mapInArrow(run, f"{schema}, text string, n_chars long")
