@@ -406,6 +406,34 @@ def test_texts_that_a_host_repeats_in_its_articles(spark):
             assert got[url].endswith("All rights kept\n\nJoin us")
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<div class='layout with-sidebar'><article><p>Text</p></article></div>", "Text"),
+        ("<main class='content no-sidebar'><p>Text</p></main>", "Text"),
+        ("<main><div class='no-sidebar'><article class='post comments-open'><p>Text</p></article></div></main>", "Text"),
+        ("<article id='search-results'><p>Text</p></article>", "Text"),
+        ("<form><div><article><p>Text</p></article></div></form>", "Text"),
+        ("<form id=page><p>A whole page</p><input></form><div>foot</div>", "A whole page\n\nfoot"),
+        ("<main><p>The text of the page</p></main><article><p>Teaser</p></article>", "The text of the page"),
+        ("<article><p>The text of the page</p></article><div class=related><article><p>Teaser</p></article></div>", "The text of the page"),
+        ("<article><p>Text</p><section class=comments><article><p>First!</p></article></section></article>", "Text"),
+    ],
+)
+def test_no_article_is_furniture_by_its_name(html, want):
+    assert main_text(f"<html><body>{html}</body></html>") == want
+
+
+def test_the_tree_confirms_a_name(spark):
+    def page(i):
+        return f"<body><article><p>Story {i}</p><div class='search-tips'><p>Tip {i}</p></div><div class='share'><p>Share it</p></div></article></body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(20, "http://one.example/1", page(20))]
+    got = {r["page_id"]: r["text"] for r in rows_of(extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert all(got[i] == f"Story {i}\n\nTip {i}" for i in range(12))
+    assert got[20] == "Story 20"
+
+
 def test_pages_of_the_fixture(spark):
     from html import unescape
     from re import S, search, split, sub

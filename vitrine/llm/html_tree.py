@@ -3,8 +3,8 @@
 The pages of a host are merged into one tree: a node is a path of presentation labels (tag, classes, id). A node's presentation importance is the
 entropy of its children's sequences over the host's pages, a text's content importance one minus the entropy of its
 occurrences: what every page repeats is worth nothing. Branches with low importance are removed from each page, and so are texts that most
-pages of the host repeat under one node. Elements that are furniture by their tag or
-name go too; the rest of the main element is the text.
+pages of the host repeat under one node. Elements that are furniture by their tag go too, and those that are by their
+name, unless the tree finds them important; the rest of the main element is the text.
 """
 
 from __future__ import annotations
@@ -50,9 +50,9 @@ SIBLINGS = {
     "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 SIBLING_LIMIT = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
-# Furniture by tag, and by a word of the class, id or role.
+# Furniture by tag, and by a word of the class, id or role (forms count as named).
 FURNITURE = frozenset(
-    "script style noscript template iframe object embed canvas svg math audio video map head title nav footer aside form button"
+    "script style noscript template iframe object embed canvas svg math audio video map head title nav footer aside button"
     " select textarea input menu dialog datalist noembed noframes xmp".split()
 )
 NAMES = frozenset(
@@ -62,6 +62,7 @@ NAMES = frozenset(
     " search pagination pager masthead copyright toolbar alert alerts topbar complementary contentinfo skip hidden".split()
 )
 MAIN = frozenset(("article", "main"))
+ARTICLE = frozenset(("article",))
 # Plain text elements of a main element are never branches to remove.
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th b i em strong a span code br".split())
 WORDS = re.compile(r"[A-Za-z]+")
@@ -119,28 +120,63 @@ def parse(html: str) -> Node:
             node = node.parent
         elif name in VOID:
             node = node.parent
+    _clear_suspects(root)
     return root
 
 
+def _clear_suspects(root: Node) -> None:
+    """No article or main element is furniture by its name, nor is what holds one (at least half as long as the longest: teasers
+    do not count), nor, on a page without them, what holds more than half of the page's text. Articles
+    inside an article (comments) do not count."""
+    nodes = list(_nodes(root))
+    if not any(n.suspect for n in nodes):
+        return
+    mains = [n for n in nodes if n.tag in MAIN and not _inside(n.parent, ARTICLE)]
+    for n in mains:
+        n.suspect = False
+    holders = {id(up) for n in mains for up in _above(n)}
+    inner = [(n, _size(n)) for n in mains if id(n) not in holders]
+    longest = max((size for _, size in inner), default=0)
+    for n, size in inner:
+        if 2 * size >= longest:
+            for up in _above(n):
+                up.suspect = False
+    if not longest:
+        whole = _size(root)
+        for n in nodes:
+            if n.suspect and 2 * _size(n) > whole:
+                n.suspect = False
+
+
+def _above(node: Node) -> Iterator[Node]:
+    while node := node.parent:
+        yield node
+
+
+def _size(node: Node) -> int:
+    """Characters of text beneath a node, furniture by tag left out."""
+    return sum(len(c.strip()) for n in _nodes(node) for c in n.children if isinstance(c, str))
+
+
 def _open(node: Node, name: str, attributes: str | None) -> Node:
     if name in ENDS_P:
         node = _leave(node, {"p"}, {"article", "div", "section", "td", "th", "li", "button", "main", "aside"})
     if name in SIBLINGS:
         node = _leave(node, SIBLINGS[name], SIBLING_LIMIT[name])
-    label, furniture = name, name in FURNITURE
+    label, furniture, suspect = name, name in FURNITURE, name == "form"
     if attributes and attributes.strip(" /\n\t"):
         found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes)}
         named = DIGITS.sub("", f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower()).strip()
         if named:
             label = f"{name}.{' '.join(sorted(named.split()))}"
             if name not in ("html", "body") and NAMES.intersection(WORDS.findall(named)):
-                furniture = True
+                suspect = True
         style = found.get("style", "").replace(" ", "").lower()
         if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style:
             furniture = True
     if name == "header" and not _inside(node, MAIN):
         furniture = True
-    return Node(name, label, node, furniture)
+    return Node(name, label, node, furniture, suspect)
 
 
 def _leave(node: Node, tags: set[str], limit: set[str]) -> Node:
@@ -339,11 +375,17 @@ def main_text(
 
     blocks = _texts(root, dropped)
     if mains:
-        chosen = {id(n) for n in mains if n.tag == "article"} or set(map(id, mains))
+        # Of articles and main elements those are taken whose longest has more text.
+        size = dict.fromkeys(map(id, mains), 0)
+        for node, text in blocks:
+            if found := _under(node, size):
+                size[found] += len(text)
+        longest = max(mains, key=lambda n: (size[id(n)], n.tag == "article"))
+        chosen = {id(n) for n in mains if n.tag == longest.tag}
         blocks = [(n, t) for n, t in blocks if _under(n, chosen)]
     elif not blocks:
         # Repeated pages make their own text look like furniture: a page does not lose all it has.
-        blocks = _texts(root, lambda n: n.furniture)
+        blocks = _texts(root, lambda n: n.furniture or n.suspect) or _texts(root, lambda n: n.furniture)
     # A page of nothing but common texts is a copy, and keeps them.
     rest = [(n, t) for n, t in blocks if n.path ^ (xxh64_intdigest(t) >> 1) not in common] if common else blocks
     return "\n\n".join(t for _, t in rest or blocks)
