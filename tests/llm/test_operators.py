@@ -270,6 +270,25 @@ def test_concentration_steps_match_numpy(spark):
     assert d[900:].min() > d[:900].max()
 
 
+def test_a_small_source_is_judged_by_its_own_texts(spark):
+    rnd = random.Random(8)
+
+    def text(low, high):
+        return " ".join("".join(rnd.choice("abcdefghijk") for _ in range(rnd.randint(low, high))) for _ in range(rnd.randint(80, 120)))
+
+    rows = []
+    for k in range(600):  # texts of short and of long words
+        n = rnd.randint(2, 14)
+        rows.append((k, text(n, n + 1), "xx", "hot"))
+    rows += [(1000 + k, text(4, 6), "xx", "rare") for k in range(60)] + [(2000, text(12, 13), "xx", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in rows_of(outliers.quality_verdicts(docs))}
+    assert not got[2000]["kept"]
+    assert all(r["kept"] for i, r in got.items() if i != 2000)
+    weights = outliers.own_weight(np.arange(1, 200))
+    assert (np.diff(weights) >= 0).all() and np.diff(weights).max() < 0.13 and weights[8] == 0 and (weights[24:] == 1).all()
+
+
 def test_language_id(spark, documents, hostile, nothing):
     train = documents.where(~hyperlang.held_out(F.col("doc_id")))
     prototypes = hyperlang.train_prototypes(train)

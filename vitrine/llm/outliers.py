@@ -28,8 +28,11 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 # The share of a group's rows that the estimate rests on, at least.
 COVERAGE = 0.6
 STEPS = 4
-# Groups with fewer rows use their language's estimate, languages with fewer that of all rows.
-MIN_ROWS = 200
+# Rows that carry a covariance of five statistics. The estimate of a group with fewer is shrunk to its
+# language's, and that of a language with fewer to that of all rows; the weight reaches 1 at this size.
+FULL_ROWS = 25
+# Of so few rows the covered part has no covariance of five statistics (six rows at least), and one bad text is much of it.
+LEAST_ROWS = 9
 # Fixed value: the COVERAGE quantile of a chi-square law with five degrees of freedom. A group whose covered
 # distance is larger has its distances divided by the ratio.
 COVERED = 5.13
@@ -192,6 +195,56 @@ def robust_estimates(vectors: DataFrame, keys: list[str], steps: int = STEPS) ->
     return materialize(_join(estimate, edge, keys), "estimate")
 
 
+def own_weight(n: np.ndarray) -> np.ndarray:
+    """How much a group's own estimate counts: n / (n + k) of its rows beyond ``LEAST_ROWS``, scaled so that it reaches 1 at ``FULL_ROWS`` without a step."""
+    more, k = np.maximum(n - LEAST_ROWS, 0.0), FULL_ROWS - LEAST_ROWS
+    return np.minimum(2.0 * more / (more + k), 1.0)
+
+
+def _shrunk(groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """``_lang, _source, m0.., p00.., edge`` of every group: its own estimate mixed with its language's, that with the estimate of
+    all rows. First and second moments are mixed, so a distance between the means widens the covariance."""
+    columns = [*ESTIMATE, "edge"]
+    joined = groups
+    for level, on in enumerate((("_lang", "_source"), ("_lang",), ())):
+        named = estimates.where(F.col("_level") == level).select(
+            F.col("_g_lang").alias("_e_lang"), F.col("_g_source").alias("_e_source"), *(F.col(c).alias(f"{c}_{level}") for c in columns)
+        )
+        cond = F.lit(True)
+        for k in on:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_e{k}"))
+        joined = joined.join(named if on else F.broadcast(named), cond, "left").drop("_e_lang", "_e_source")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)
+            mean = second = edge = None
+            for level, size in ((2, None), (1, "_nl"), (0, "_n")):
+                m = np.stack([get(f"m{i}_{level}") for i in range(5)], axis=1)
+                inverse = np.tile(np.eye(5), (len(m), 1, 1))
+                for i, j in PAIRS:
+                    inverse[:, i, j] = inverse[:, j, i] = get(f"p{i}{j}_{level}")
+                known = ~np.isnan(m[:, 0])  # the wider levels are missing where they have no weight
+                inverse[~known] = np.eye(5)
+                q = np.linalg.inv(inverse) + m[:, :, None] * m[:, None, :]
+                e = get(f"edge_{level}")
+                if size is None:
+                    mean, second, edge = m, q, e
+                    continue
+                w = own_weight(get(size))
+                pick = lambda own, wide: np.where(
+                    (w == 1).reshape(-1, *[1] * (own.ndim - 1)), own,
+                    w.reshape(-1, *[1] * (own.ndim - 1)) * own + (1 - w).reshape(-1, *[1] * (own.ndim - 1)) * wide,
+                )
+                mean, second, edge = pick(m, mean), pick(q, second), pick(e, edge)
+            inverse = np.linalg.inv(second - mean[:, :, None] * mean[:, None, :]) if len(mean) else second
+            out = [pa.array(mean[:, i]) for i in range(5)] + [pa.array(inverse[:, i, j]) for i, j in PAIRS] + [pa.array(edge)]
+            yield pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("_source"), *out], ["_lang", "_source", *columns])
+
+    kinds = [f"{k} {groups.schema[k].dataType.simpleString()}" for k in ("_lang", "_source")]
+    return materialize(joined.mapInArrow(run, ", ".join([*kinds, *(f"{c} double" for c in columns)])), "estimates")
+
+
 def quality_verdicts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     source_col: str = "source", cutoff: float = CUTOFF,
@@ -200,8 +253,8 @@ def quality_verdicts(
 
     ``base_failed``: fewer than 10 words, or over a fifth of the words in five-word windows that occur
     twice. Other rows are kept unless their squared Mahalanobis distance from the robust estimate of
-    their (language, source) passes ``cutoff`` (see ``COVERED`` for groups that are wider than a normal law). Groups with fewer than ``MIN_ROWS`` such rows are judged by their language's estimate, and languages with
-    fewer by that of all rows. Null languages and sources are groups of their own.
+    their (language, source) passes ``cutoff`` (see ``COVERED`` for groups that are wider than a normal law). The estimate of a group
+    with fewer than ``FULL_ROWS`` such rows is shrunk smoothly to its language's, and that of a language with fewer to that of all rows. Null languages and sources are groups of their own.
 
     Null texts have no words and fail; repeated rows are judged as often as they come; other columns are
     ignored; an empty table gives no rows. Estimates rest on all rows that pass the base rules. A hot group is
@@ -218,44 +271,24 @@ def quality_verdicts(
     stats = materialize(_with_vector(stats.withColumn("base_failed", failed)), "statistics")
     passed = stats.where(~F.col("base_failed"))
     sizes = passed.groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
-    by_lang = sizes.groupBy("_lang").agg(F.sum("_n").alias("_nl"))
-    # The level that judges each (language, source): 0 itself, 1 its language, 2 all rows.
-    level = F.when(F.col("_n") >= MIN_ROWS, 0).when(F.col("_nl") >= MIN_ROWS, 1).otherwise(2)
+    by_lang = sizes.groupBy("_lang").agg(F.sum("_n").alias("_nl"), F.min("_n").alias("_least"))
     named = by_lang.withColumnRenamed("_lang", "_l")
-    groups = sizes.join(named, F.col("_lang").eqNullSafe(F.col("_l"))).select(
-        "_lang", "_source", level.alias("_level")
-    )
-    groups = materialize(groups, "groups")
-    # Each row takes part in the estimates of its group, its language and all rows.
+    groups = materialize(sizes.join(named, F.col("_lang").eqNullSafe(F.col("_l"))).drop("_l"), "groups")
+    # Each row takes part in the estimate of its group (level 0) and, where a smaller group needs them, of its language (1) and of all rows (2).
     keys = ["_level", "_g_lang", "_g_source"]
-    levels = passed.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_level"), "_lang", "_source", *DIMS).select(
-        "_level",
-        F.when(F.col("_level") < 2, F.col("_lang")).alias("_g_lang"),
-        F.when(F.col("_level") < 1, F.col("_source")).alias("_g_source"),
-        *DIMS,
-    )
-    needed = groups.select(
-        "_level",
-        F.when(F.col("_level") < 2, F.col("_lang")).alias("_g_lang"),
-        F.when(F.col("_level") < 1, F.col("_source")).alias("_g_source"),
-    ).distinct()
-    vectors = _join(levels, needed, keys)
-    estimates = robust_estimates(vectors, keys)
-    judged = _left(stats, groups).withColumn("_g_lang", F.when(F.col("_level") < 2, F.col("_lang"))).withColumn(
-        "_g_source", F.when(F.col("_level") < 1, F.col("_source"))
-    )
-    named = estimates.select(*(F.col(k).alias(f"_e{k}") for k in keys), *ESTIMATE, "edge")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_e{k}"))
-    scored = judged.join(named, cond, "left").withColumn("distance", _distance() / F.greatest(F.col("edge") / COVERED, F.lit(1.0)))
+    group_keys = [
+        F.when(F.col("_level") < 2, F.col("_lang")).alias("_g_lang"), F.when(F.col("_level") < 1, F.col("_source")).alias("_g_source")
+    ]
+    used = F.when(F.col("_least") >= FULL_ROWS, F.array(F.lit(0))).when(F.col("_nl") >= FULL_ROWS, F.array(F.lit(0), F.lit(1)))
+    used = used.otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    needed = groups.select(F.explode(used).alias("_level"), "_lang", "_source").select("_level", *group_keys).distinct()
+    levels = passed.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_level"), "_lang", "_source", *DIMS)
+    vectors = _join(levels.select("_level", *group_keys, *DIMS), needed, keys)
+    estimates = _shrunk(groups, robust_estimates(vectors, keys))
+    named = estimates.select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), *ESTIMATE, "edge")
+    cond = F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))
+    scored = stats.join(named, cond, "left").withColumn("distance", _distance() / F.greatest(F.col("edge") / COVERED, F.lit(1.0)))
     return scored.select(
         F.col("_id").alias(id_col), *STATS, "base_failed", "distance",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"),
     )
-
-
-def _left(stats: DataFrame, groups: DataFrame) -> DataFrame:
-    named = groups.select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), "_level")
-    cond = F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))
-    return stats.join(named, cond, "left").drop("_gl", "_gs")
