@@ -222,6 +222,35 @@ def test_repeats(documents, hostile, nothing, monkeypatch, hot):
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+def test_strings_of_a_hot_anchor_are_never_held_as_a_bucket(monkeypatch):
+    """A line in many contexts that differ in a few bytes at its edges: one row a string, nothing to refine."""
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(110))
+    texts = [f"{rnd.randrange(10**9):09d} {rnd.choice('xyz')}{line}{rnd.choice('uvw')} {k:06d}" for k in range(400)]
+    monkeypatch.setattr(repeats, "STRINGS", 6000)
+    columns = {"id": [], "doc": [], "text": [], "places": [], "hot": []}
+    for k in rnd.sample(range(400), 400):
+        places = [int(p) for part in repeats.document_anchors(texts[k].encode(), 100, 40) for p in part[0]]
+        for name, value in zip(columns, (k, 1000 + k, texts[k], places, places)):
+            columns[name].append(value)
+    tasks = [pa.RecordBatch.from_pydict({n: c[at : at + 100] for n, c in columns.items()}) for at in range(0, 400, 100)]
+    rows = [r for task in tasks for b in repeats._context_rows(100, 40)(iter([task])) for r in b.to_pylist()]
+    strings = [r["bytes"] for r in rows if r["bytes"] is not None]
+    assert all(len(b) == 16 for b in strings)
+    assert max(map(strings.count, set(strings))) <= 8  # a partial row each time a task lets its strings go
+    monkeypatch.setattr(repeats, "refine", lambda *a: pytest.fail("a bucket was held"))
+    rows.sort(key=lambda r: r["key"])
+    batches = [pa.RecordBatch.from_pylist(rows[at : at + 500], pa.schema([*((n, pa.int64()) for n in ("key", "id", "doc", "place", "first", "last")), ("bytes", pa.binary())])) for at in range(0, len(rows), 500)]
+    gone = {}
+    for b in repeats._repeat_rows(100)(iter(batches)):
+        for r in b.to_pylist():
+            gone.setdefault(r["id"], []).append((r["start"], r["end"]))
+    want = brute_repeats(list(enumerate(texts)))
+    assert [sum(b - a for a, b in repeats.merge_spans(gone.get(k, []))) for k in range(400)] == [w[1] for w in want]
+
+
 # ---------------------------------------------------------------- quality, language, mixing
 
 

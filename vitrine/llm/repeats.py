@@ -7,7 +7,8 @@ alone in its bucket is settled and takes no further part.
 
 Only content-defined suffixes are dealt out: of each string of ``span`` bytes the smallest q-gram (by hash, the
 leftmost of equals) is its anchor, so equal strings have equal anchors at equal places. Anchors seen once are
-settled. The others ship the bytes around them, and every string they own is refined in its anchor's bucket.
+settled. The others ship the bytes around them, and every string they own is refined in its anchor's bucket. Anchors
+that very many texts share would be one unbounded bucket; their strings are compared by 128-bit digests instead.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ GATHERED = 500_000
 # Places around anchors that a task gathers, and rows in a batch that leaves it.
 AROUND = 80_000
 BATCH = 20_000
-# An anchor that so many distinct texts share is split by the places of its strings before it is
-# shipped: each part has a bucket of its own, named by all bytes that the part's strings share.
-HOT = 100_000
-HOT_PLACES = 8
+# A bucket of so many places (up to span - gram + 1 strings each) is refined in one task. Of an anchor with more, every string is
+# keyed by a digest of its own bytes, and only the first place of each string that a task meets is shipped.
+HOT = 20_000
+# Distinct strings of hot anchors that a task gathers, and the mark of their rows.
+STRINGS = 200_000
+STRING = -2
 # Up to so many hot anchors (9 bytes each) are sent to every task; more are joined by a shuffle.
 HOT_SENT = 500_000
 # Windows refined at once in a task, and those whose bytes are compared at once.
@@ -204,6 +207,35 @@ def _context_rows(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[tuple]] = {}
         count = 0
+        strings: dict[bytes, tuple[int, int, int]] = {}  # the first place of each string of a hot anchor
+        repeats: dict[tuple[int, int], list[list[int]]] = {}
+
+        def add(i: int, doc: int, at: int, digest: bytes) -> None:
+            new, old = (i, doc, at), strings.setdefault(digest, (i, doc, at))
+            if new == old:
+                return
+            if new < old:
+                strings[digest], new = new, old
+            spans = repeats.setdefault(new[:2], [])
+            if spans and spans[-1][0] <= new[2] <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], new[2] + span)
+            else:
+                spans.append([new[2], new[2] + span])
+
+        def batches_of(rows: list[tuple], known: dict) -> Iterator[pa.RecordBatch]:
+            for (i, doc), spans in known.items():
+                for a, b in merge_spans(spans):
+                    rows.append(((doc * 0x9E3779B97F4A7C15 + a) % (1 << 63), i, doc, -1, a, b, None))
+            kinds = [pa.int64()] * 6 + [pa.binary()]
+            for at in range(0, len(rows), BATCH):
+                columns = zip(*rows[at : at + BATCH])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        def release_strings() -> Iterator[pa.RecordBatch]:
+            rows = [(int.from_bytes(d[:8], "little", signed=True), i, doc, STRING, at, at, d) for d, (i, doc, at) in strings.items()]
+            yield from batches_of(rows, repeats)
+            strings.clear()
+            repeats.clear()
 
         def release() -> Iterator[pa.RecordBatch]:
             """Of equal surroundings met here, the earliest is shipped; the others are known to repeat."""
@@ -215,13 +247,7 @@ def _context_rows(span: int, gram: int):
                 for i, doc, place, first, last in at[1:]:
                     if (i, doc, place) != at[0][:3]:
                         known.setdefault((i, doc), []).append((first, last + span))
-            for (i, doc), spans in known.items():
-                for a, b in merge_spans(spans):
-                    rows.append(((doc * 0x9E3779B97F4A7C15 + a) % (1 << 63), i, doc, -1, a, b, None))
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            for at in range(0, len(rows), BATCH):
-                columns = zip(*rows[at : at + BATCH])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            yield from batches_of(rows, known)
 
         for batch in batches:
             cols = [batch.column(n).to_pylist() for n in ("id", "doc", "text", "places", "hot")]
@@ -230,36 +256,25 @@ def _context_rows(span: int, gram: int):
                 for place, bucket, first, last in document_anchors(data, span, gram):
                     chosen = np.isin(place, places)
                     for p, h, a, b in zip(*(x[chosen].tolist() for x in (place, bucket.view(np.int64), first, last))):
-                        for lo, hi, key in _parts(data, p, a, b, span) if p in hot else ((a, b, h),):
-                            held.setdefault((key, p - lo, data[lo : hi + span]), []).append((i, doc, p, lo, hi))
+                        if p in hot:
+                            for at in range(a, b + 1):
+                                add(i, doc, at, hashlib.blake2b(data[at : at + span], digest_size=16).digest())
+                        else:
+                            held.setdefault((h, p - a, data[a : b + span]), []).append((i, doc, p, a, b))
                             count += 1
+                    if len(strings) >= STRINGS or len(repeats) >= STRINGS:
+                        yield from release_strings()
                 if count >= AROUND:
                     yield from release()
                     held.clear()
                     count = 0
         if held:
             yield from release()
+        yield from release_strings()
 
     return run
 
 
-def _parts(data: bytes, place: int, first: int, last: int, span: int) -> list[tuple[int, int, int]]:
-    """The string starts from ``first`` to ``last``, cut where the distance to the anchor at ``place`` is a multiple of
-    ``HOT_PLACES``, and for each part its key: the cuts are the same in every text, and so are
-    the bytes that all strings at a part's distances share, which name its bucket."""
-    out = []
-    while first <= last:
-        part = (place - first) // HOT_PLACES
-        end = place - part * HOT_PLACES
-        out.append((first, min(last, end), _digest(data[end : end - HOT_PLACES + 1 + span], part)))
-        first = end + 1
-    return out
-
-
-def _digest(data: bytes, part: int) -> int:
-    return int.from_bytes(hashlib.blake2b(data + bytes([part]), digest_size=8).digest(), "little", signed=True)
-
-
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -334,7 +349,8 @@ def _shared(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _repeat_rows(span: int):
-    """Rows sorted by ``key``; rows without bytes are spans already known."""
+    """Rows sorted by ``key``; rows without bytes are spans already known. Of the rows of one string of a hot anchor (one
+    or a few a task) only the first so far is held; the others repeat."""
 
     def solve(rows: list[tuple]) -> list[tuple]:
         rows.sort(key=lambda r: r[:4])
@@ -361,11 +377,23 @@ def _repeat_rows(span: int):
 
         held: list[tuple] = []
         strings = 0
+        key, firsts = None, {}
         for batch in batches:
             rows = list(zip(*[batch.column(n).to_pylist() for n in ("key", "id", "doc", "place", "first", "last", "bytes")]))
-            yield batch_of([(r[1], r[2], r[4], r[5]) for r in rows if r[6] is None])
+            out = [(r[1], r[2], r[4], r[5]) for r in rows if r[6] is None]
+            for r in rows:
+                if r[6] is not None and r[3] == STRING:
+                    if r[0] != key:
+                        key, firsts = r[0], {}
+                    new = (r[1], r[2], r[4])
+                    old = firsts.setdefault(r[6], new)
+                    if new != old:
+                        firsts[r[6]] = min(new, old)
+                        i, doc, at = max(new, old)
+                        out.append((i, doc, at, at + span))
+            yield batch_of(out)
             for r in rows:
-                if r[6] is None:
+                if r[6] is None or r[3] == STRING:
                     continue
                 if strings >= REFINED and r[0] != held[-1][0]:  # whole buckets only
                     yield batch_of(solve(held))
