@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import table
+from vitrine.llm.curve_packing import pack_along_curve
 from vitrine.llm.html_tree import extract_main_text
 from vitrine.llm.hyperlang import held_out, identify_languages, train_prototypes
 from vitrine.llm.mixing import sampled_mixture
@@ -94,12 +95,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_url_rules(table(spark, sf_dir, "pages", "page_id", "url"), rules)
 
 
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pack_along_curve(docs, tokenizer_path("word_bpe_49k.json"), SEQUENCE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_source_mixing, op2_html_main_text, op3_quality_rules, op4_language_id, op5_best_fit_packing,
             op6_token_counts, op7_exact_top_k, op8_simhash_near_dups, op9_suffix_array_dedup, op10_url_filters,
+            op12_curve_packing,
         )
     }
 
