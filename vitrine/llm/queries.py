@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.alignment import align_tokenizers
+from vitrine.llm.collocations import mine_collocations
 from vitrine.llm.common import table
 from vitrine.llm.curve_packing import pack_along_curve
 from vitrine.llm.html_tree import extract_main_text
@@ -95,18 +97,27 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_url_rules(table(spark, sf_dir, "pages", "page_id", "url"), rules)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents", "text", "lang"), least=30, top=2000)
+
+
 def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return pack_along_curve(docs, tokenizer_path("word_bpe_49k.json"), SEQUENCE)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return align_tokenizers(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_source_mixing, op2_html_main_text, op3_quality_rules, op4_language_id, op5_best_fit_packing,
             op6_token_counts, op7_exact_top_k, op8_simhash_near_dups, op9_suffix_array_dedup, op10_url_filters,
-            op12_curve_packing,
+            op11_phrase_collocations, op12_curve_packing, op13_tokenizer_alignment,
         )
     }
 
@@ -150,5 +161,48 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM m
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents WHERE text IS NOT NULL
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), spans AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS n
+  FROM spans GROUP BY ALL HAVING count(*) >= 30
+), cand AS (
+  SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cuts AS (
+  SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS cut FROM cand
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, c.cut, x.n AS l, y.n AS r,
+         CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.n + y.n) AS BIGINT) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1 : c.k], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_of AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, a AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM cand, (VALUES (2), (3)) AS v(m) WHERE m < k)
+), cover AS (
+  SELECT lang, phrase, max(longer) AS longer FROM inner_of GROUP BY lang, phrase
+), kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN cover c ON c.lang = s.lang AND c.phrase = s.phrase
+  WHERE c.longer IS NULL OR CAST(100 AS HUGEINT) * c.longer < CAST(80 AS HUGEINT) * s.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": OP7_SQL, "op10_url_filters": OP10_SQL}
+    return {"op7_exact_top_k": OP7_SQL, "op10_url_filters": OP10_SQL, "op11_phrase_collocations": OP11_SQL}
