@@ -23,10 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.plans import charts, ext, genre, macro, platform, pricing
+from vitrine.operators.features import prepare_catalog
+from vitrine.operators.flatten import flatten_catalog
+from vitrine.plans import cells, charts, ext, genre, macro, platform, pricing
 from vitrine.plans.pipeline import build_catalog, build_silver, catalog_for, genres_of
+from vitrine.plans.refresh import refresh_silver
 from vitrine.session import shared_dir
 from vitrine.sources.catalog import catalog_from_tables, read_catalog, read_silver
+from vitrine.sources.variant import field_types, read_variant, variant_records
 
 SF_SMOKE = "/root/testdata/sf0.001"
 DIGITS = 6
@@ -67,8 +71,6 @@ def _columns(*cols: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vitrine.operators.flatten import flatten_catalog
-
     return flatten_catalog(catalog_from_tables(spark, sf_dir))
 
 
@@ -97,6 +99,52 @@ def _silver_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(read_silver(spark, path).select(*SCANNED))
 
 
+def _variant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as JSON lines with mixed types (prices of even products are numbers), fields that the schema does not name, and
+    for every 199th product one more line that is cut short; written as text and read as VARIANT."""
+    path = _scratch(spark, "lines")
+    k = F.col("data.appid")
+    platforms = F.col("data.platforms").withField("console", F.when(k % 19 == 0, F.lit(True)))
+    data = F.col("data").withField("platforms", platforms).withField("region", F.when(k % 17 == 0, F.concat(F.lit("r"), k % 3)))
+    line = F.to_json(F.struct("id", data.alias("data")))
+    line = F.when(k % 2 == 0, F.regexp_replace(line, r'"price":"(\d+)"', r'"price":$1')).otherwise(line)
+    cut = F.when(k % 199 == 0, line.substr(F.lit(1), F.length(line) - 7))
+    catalog_from_tables(spark, sf_dir).select(F.explode(F.array_compact(F.array(line, cut))).alias("value")).write.text(path)
+    return read_variant(spark, path)
+
+
+def _variant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = variant_records(_variant_lines(spark, sf_dir))
+    flat = flatten_catalog(records, keep=["extras", "broken"])
+    table = prepare_catalog(flat, PERIOD["period_start"], PERIOD["period_end"])
+    broken_id = F.regexp_extract("broken", r'"id":"(\d+)"', 1).alias("broken_id")
+    return _round_doubles(table.select(*SCANNED, "extras", broken_id))
+
+
+def _silver_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A silver table of an earlier snapshot (products missing, prices and release dates different), refreshed from the
+    present one, and read back."""
+    path = _scratch(spark, "refreshed")
+    now = _catalog(spark, sf_dir).drop("languages_array", "genre_array")
+    moved = F.when(F.col("app_id") % 29 == 0, F.col("release_year") + 1).otherwise(F.col("release_year"))
+    lower = F.when(F.col("app_id") % 31 == 0, F.col("price") - 1).otherwise(F.col("price"))
+    earlier = now.filter(F.col("app_id") % 37 != 0).withColumns({"release_year": moved, "price": lower})
+    refresh_silver(earlier, path)
+    refresh_silver(now, path)
+    return _round_doubles(read_silver(spark, path).select(*SCANNED))
+
+
+def _on_cells(fn: Callable[[cells.Cells], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _round_doubles(fn(cells.store_cells(_catalog(spark, sf_dir))))
+
+
+def _cells_of_two_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of one half of the products, merged with those of the other half as a later load."""
+    catalog, first = _catalog(spark, sf_dir), F.col("app_id") % 2 == 0
+    earlier = cells.store_cells(catalog.filter(first))
+    return cells.genre_counts_by_year(cells.store_cells(catalog.filter(~first), earlier))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: high-potential genres (explode → group → HAVING → sort)."""
     return queries()["high_potential_genres"](spark, SF_SMOKE)
@@ -150,6 +198,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "age_distribution": _on_catalog(macro.age_distribution),
         "language_distribution": _on_catalog(macro.language_distribution),
         "top_publishers": _on_catalog(macro.top_publishers),
+        "top_publishers_heavy": _on_catalog(macro.top_publishers_heavy),
+        "top_names_heavy": _on_catalog(lambda c: macro.top_publishers_heavy(c, key="name")),
         # pricing
         "price_summary_minor": _on_catalog(pricing.price_summary_minor),
         "price_summary_major": _on_catalog(pricing.price_summary_major),
@@ -172,6 +222,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "blockbuster_examples": _on_genres(lambda g: genre.blockbuster_examples(g, **BLOCKBUSTER)),
         "blockbuster_genres": _on_genres(lambda g: genre.blockbuster_genres(g, **BLOCKBUSTER)),
         "genre_platforms": _on_genres(genre.genre_platforms),
+        # the same from stored cells
+        "genre_counts_cells": _on_cells(cells.genre_counts),
+        "genre_reviews_cells": _on_cells(cells.genre_reviews),
+        "genre_platforms_cells": _on_cells(cells.genre_platforms),
+        "profile_quality_cells": _on_cells(cells.profile_quality),
+        "blockbuster_genres_cells": _on_catalog(lambda c: cells.blockbuster_genres(c, **BLOCKBUSTER)),
+        "genre_years_two_loads": _cells_of_two_loads,
         # platforms
         "platform_counts": _on_catalog(platform.platform_counts),
         "platform_share": _on_catalog(platform.platform_share),
@@ -181,6 +238,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_tri_platform": _on_catalog(platform.top_tri_platform),
         # described-only analyses
         "ext_platform_corr": _on_catalog(ext.ext_platform_corr),
+        "ext_platform_rank_corr": _on_catalog(ext.ext_platform_rank_corr),
         "ext_linux_genres": _on_genres(ext.ext_linux_genres),
         "ext_price_bands": _on_catalog(ext.ext_price_bands),
         "ext_genre_share": _on_catalog(ext.ext_genre_share),
@@ -189,6 +247,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "json_scan": lambda spark, sf_dir: _json_scan(spark, sf_dir, infer=False),
         "json_scan_inferred": lambda spark, sf_dir: _json_scan(spark, sf_dir, infer=True),
         "silver_scan": _silver_scan,
+        "variant_scan": _variant_scan,
+        "variant_field_types": lambda spark, sf_dir: field_types(_variant_lines(spark, sf_dir)),
+        "silver_refresh": _silver_refresh,
     }
 
 
@@ -335,6 +396,44 @@ FROM cat WHERE {flag}
 ORDER BY total_reviews DESC NULLS LAST, app_id ASC NULLS LAST LIMIT 10"""
 
 
+_RANK_CORR_SQL = """
+SELECT count(*) AS n_pairs, round(corr(rx, ry), 6) AS rank_correlation FROM (
+  SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
+         rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry
+  FROM (SELECT CAST(coalesce(platform_windows, false) AS INTEGER) + CAST(coalesce(platform_mac, false) AS INTEGER)
+               + CAST(coalesce(platform_linux, false) AS INTEGER) AS x, positive_ratio AS y
+        FROM cat WHERE positive_ratio IS NOT NULL))"""
+
+_VARIANT_SCAN_SQL = """
+SELECT app_id, name, publisher, round(price, 6) AS price, positive, negative, ccu, required_age, total_reviews, num_languages,
+       platform_profile, release_year,
+       CASE WHEN app_id % 17 = 0 AND app_id % 19 = 0
+              THEN concat('{"data.region":"r', app_id % 3, '","data.platforms.console":true}')
+            WHEN app_id % 17 = 0 THEN concat('{"data.region":"r', app_id % 3, '"}')
+            WHEN app_id % 19 = 0 THEN '{"data.platforms.console":true}' END AS extras,
+       NULL AS broken_id
+FROM cat
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Others', NULL, NULL, CAST(app_id AS VARCHAR)
+FROM cat WHERE app_id % 199 = 0"""
+
+
+def _field_types_sql() -> str:
+    number_price = "price_raw IS NOT NULL AND app_id % 2 = 0 AND regexp_full_match(price_raw, '[0-9]+')"
+    fields = [("id", "STRING", "id"), ("data", "OBJECT", "id"), ("data.platforms", "OBJECT", "id")]
+    fields += [(f"data.{f}", "STRING", c) for f, c in (
+        ("name", "name"), ("genre", "genre_raw"), ("publisher", "publisher"), ("developer", "developer"), ("type", "type"),
+        ("initialprice", "initialprice_raw"), ("discount", "discount_raw"), ("required_age", "required_age_raw"),
+        ("languages", "languages_raw"), ("owners", "owners_raw"), ("release_date", "release_date_raw"))]
+    fields += [(f"data.{f}", "BIGINT", c) for f, c in (
+        ("appid", "app_id"), ("positive", "positive_raw"), ("negative", "negative_raw"), ("ccu", "ccu"))]
+    rows = [(p, t, f"{c} IS NOT NULL") for p, t, c in fields]
+    rows += [("data.price", "BIGINT", number_price), ("data.price", "STRING", f"price_raw IS NOT NULL AND NOT ({number_price})"),
+             ("data.region", "STRING", "app_id % 17 = 0")]
+    parts = [f"SELECT '{p}' AS path, '{t}' AS type, CAST(count_if({c}) AS BIGINT) AS n_records FROM flat" for p, t, c in rows]
+    return "WITH " + _FLAT_SQL + "\nSELECT * FROM (" + "\nUNION ALL\n".join(parts) + ") WHERE n_records > 0"
+
+
 def oracle_sql() -> dict[str, str]:
     flat_cols = (
         "id, app_id, name, genre_raw, publisher, developer, type, price_raw, initialprice_raw, discount_raw, "
@@ -440,7 +539,17 @@ def oracle_sql() -> dict[str, str]:
     }
     scanned = "SELECT app_id, name, publisher, round(price, 6) AS price, positive, negative, ccu, required_age, " \
         "total_reviews, num_languages, platform_profile, release_year FROM cat"
-    sql |= {name: scanned for name in ("json_scan", "json_scan_inferred", "silver_scan")}
+    sql |= {name: scanned for name in ("json_scan", "json_scan_inferred", "silver_scan", "silver_refresh")}
+    sql |= {f"{name}_cells": sql[name] for name in (
+        "genre_counts", "genre_reviews", "genre_platforms", "profile_quality", "blockbuster_genres")}
+    sql["genre_years_two_loads"] = (
+        "SELECT genre, release_year, count(DISTINCT app_id) AS nb_games FROM genres GROUP BY genre, release_year"
+    )
+    sql["top_publishers_heavy"] = sql["top_publishers"]
+    sql["top_names_heavy"] = sql["top_publishers"].replace("publisher", "name")
+    sql["ext_platform_rank_corr"] = _RANK_CORR_SQL
+    sql["variant_scan"] = _VARIANT_SCAN_SQL
+    sql["variant_field_types"] = _field_types_sql()
     sql["ext_top_languages"] = (
         "SELECT language, count(DISTINCT app_id) AS nb_games FROM (SELECT app_id, trim(unnest(string_split(languages_raw, ','))) "
         "AS language FROM cat) WHERE language <> '' GROUP BY language"

@@ -7,28 +7,38 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import share_percent
 from ..functions.tokens import is_present_token
+from ..operators.ranks import rank_correlation
 from .genre import genre_reviews
 
 # Upper bounds (euros) of the price bands; the last band is open.
 PRICE_BAND_EDGES = [5.0, 20.0, 40.0]
 
 
-def ext_platform_corr(catalog: DataFrame) -> DataFrame:
-    """Pearson correlation between the number of supported platforms and the
-    positive ratio, over products having both (one global aggregate)."""
+def _platform_pairs(catalog: DataFrame) -> DataFrame:
+    """Number of supported platforms and positive ratio of every product."""
     n_platforms = sum(
         F.coalesce(F.col(c), F.lit(False)).cast("int")
         for c in ("platform_windows", "platform_mac", "platform_linux")
     )
-    pairs = catalog.select(n_platforms.alias("n_platforms"), "positive_ratio").filter(
-        F.col("positive_ratio").isNotNull()
-    )
+    return catalog.select(n_platforms.alias("n_platforms"), "positive_ratio")
+
+
+def ext_platform_corr(catalog: DataFrame) -> DataFrame:
+    """Pearson correlation between the number of supported platforms and the
+    positive ratio, over products having both (one global aggregate)."""
+    pairs = _platform_pairs(catalog).filter(F.col("positive_ratio").isNotNull())
     return pairs.agg(
         F.count(F.lit(1)).alias("n_products"),
         F.corr("n_platforms", "positive_ratio").alias("corr_platforms_ratio"),
     )
 
 
+def ext_platform_rank_corr(catalog: DataFrame) -> DataFrame:
+    """The same question by ranks: Spearman's coefficient, ties at their average rank. The number of platforms has four
+    values, so it is all ties, which Pearson's coefficient reads as distances."""
+    return rank_correlation(_platform_pairs(catalog), "n_platforms", "positive_ratio")
+
+
 def ext_linux_genres(genres: DataFrame) -> DataFrame:
     """Genre review report restricted to products available on Linux."""
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import is_present_token
 from ..operators.aggregates import count_by
+from ..operators.heavy import TRACKED, heavy_hitters
 from ..operators.topk import top_k
 
 
@@ -51,3 +52,9 @@ def top_publishers(catalog: DataFrame, k: int = 50) -> DataFrame:
     """Most prolific publishers (NULL publisher is a group); ties broken by
     name so the cut at ``k`` is deterministic."""
     return top_k(count_by(catalog, "publisher"), ["-count"], k, tie_break=["publisher"])
+
+
+def top_publishers_heavy(catalog: DataFrame, k: int = 50, key: str = "publisher", tracked: int = TRACKED) -> DataFrame:
+    """:func:`top_publishers` without one counted row per publisher (:func:`~vitrine.operators.heavy.heavy_hitters`):
+    the same rows, for a ``key`` with any number of values."""
+    return heavy_hitters(catalog, key, k, tracked=tracked).top
