@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from vitrine.llm.bpe import byte_alphabet
 from vitrine.llm.common import materialize
 
-# Text a task works on at once, and the bytes of chunks that a worker remembers (the memory is emptied when full).
-SLICE_CHARS, REMEMBERED_BYTES = 2_000_000, 96_000_000
+# Text a task works on at once, and the bytes of chunks that a worker remembers (those met least go when it is full).
+SLICE_CHARS, REMEMBERED_BYTES = 2_000_000, 128_000_000
 # Products of a row block that are held at once.
 BLOCK = 2_000_000
 # Id pairs that a task counts before it hands them on, and the most frequent pairs that every task holds.
@@ -74,7 +74,7 @@ def sum_by(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, and the sum of the values of each."""
     if not len(key):
         return key, value
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.concatenate([[True], key[1:] != key[:-1]])
     return key[first], np.add.reduceat(value[order], np.flatnonzero(first))
@@ -97,8 +97,11 @@ def overlap_links(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndar
 def groups_of(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The group of every token of both runs, and the bytes at which groups end (where tokens of both end)."""
     a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(b_lengths)
-    ends = np.intersect1d(a_ends, b_ends)
-    return np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends), ends
+    if not len(a_ends) or not len(b_ends):
+        return np.zeros(len(a_ends), np.int64), np.zeros(len(b_ends), np.int64), a_ends[:0]
+    common = b_ends[np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)] == a_ends
+    ends = a_ends[common]
+    return np.cumsum(common) - common, np.searchsorted(ends, b_ends), ends
 
 
 def group_links(a_group: np.ndarray, b_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +159,8 @@ class Aligner:
         self.a_bytes = np.array([len(x) for x in self.a_raw], np.int64)
         self.b_bytes = np.array([len(x) for x in self.b_raw], np.int64)
         self.space = self.b.piece_to_id("▁")
+        # A token's text in the digest: its id and what follows inside a group, at the end of A's part and of the group.
+        self.written = [f"{i}{end}" for end, n in ((",", self.a_size), ("|", self.a_size), (",", self.b_size), (";", self.b_size)) for i in range(n)]
         self.cut = self._independent()
         self.forget()
 
@@ -174,9 +179,29 @@ class Aligner:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
-        self.fragments: list[bytes] = []
+        self.fragments: list[str] = []  # the groups of a chunk, each ended by ";"
         self.sizes = np.zeros((0, 5), np.int64)  # A tokens, B tokens, groups, links, whether the bytes agree
         self.pointer, self.pairs, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def forget_least(self) -> None:
+        """Keeps the half of the chunks that was met most."""
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2])
+        names, fragments = list(self.known), self.fragments
+        sizes, pointer, pairs, links, uses = self.sizes, self.pointer, self.pairs, self.links, self.uses
+        self.forget()
+        chosen = stay.tolist()
+        lens = pointer[stay + 1] - pointer[stay]
+        at = spread(pointer[stay], lens)
+        self.known = {names[k]: i for i, k in enumerate(chosen)}
+        self.fragments = [fragments[k] for k in chosen]
+        self.sizes, self.pointer, self.pairs, self.links = sizes[stay], pointers(lens), pairs[at], links[at]
+        self.uses = uses[stay] // 2
+        self.held = self._weight(chosen, sum(len(names[k]) for k in chosen), len(at))
+
+    def _weight(self, chunks: list, chars: int, pairs: int) -> int:
+        """Bytes, about, of the last of the chunks held."""
+        return 300 * len(chunks) + 2 * chars + 16 * pairs + sum(map(len, self.fragments[len(self.fragments) - len(chunks) :]))
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of space + text, each without its first character, a space."""
@@ -186,50 +211,58 @@ class Aligner:
         """The numbers of the chunks of some texts, in one array; chunks not seen yet are aligned first."""
         new = set().union(*texts).difference(self.known)
         size = sum(map(len, new))
-        if self.known and self.held + 60 * len(new) + 30 * size > REMEMBERED_BYTES:
-            self.forget()
-            new = set().union(*texts)
+        if self.held + 400 * len(new) + 10 * size > REMEMBERED_BYTES:
+            self.forget_least()
+            new = set().union(*texts).difference(self.known)
         if new:
-            self._align(sorted(new))
-        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64)
+            self._align(list(new))
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64)
+        self.uses += np.bincount(number, minlength=len(self.known))
+        return number
 
     def _align(self, new: list[str]) -> None:
         a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
         b = [ids if c else [self.space] for c, ids in zip(new, self.b.encode(new, num_threads=1))]
-        good = []
-        for c, x, y in zip(new, a, b):
-            raw = (" " + c).encode()
-            good.append(b"".join(map(self.a_raw.__getitem__, x)) == raw == b"".join(map(self.b_raw.__getitem__, y)))
-        a = [x if ok else [] for x, ok in zip(a, good)]
-        b = [x if ok else [] for x, ok in zip(b, good)]
-        a_n, b_n = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-        a_ids, b_ids = np.fromiter(chain.from_iterable(a), np.int64), np.fromiter(chain.from_iterable(b), np.int64)
+        good = np.ones(len(new), bool)
+        whole = "".join(" " + c for c in new).encode()
+        if not self._joined(a, self.a_raw) == whole == self._joined(b, self.b_raw):
+            for k, (c, x, y) in enumerate(zip(new, a, b)):
+                good[k] = self._joined([x], self.a_raw) == (" " + c).encode() == self._joined([y], self.b_raw)
+                if not good[k]:
+                    a[k] = b[k] = ()
+        a_n, b_n = np.array(list(map(len, a)), np.int64), np.array(list(map(len, b)), np.int64)
+        a_ids, b_ids = np.array(list(chain.from_iterable(a)), np.int64), np.array(list(chain.from_iterable(b)), np.int64)
         a_group, b_group, ends = groups_of(self.a_bytes[a_ids], self.b_bytes[b_ids])
-        groups = len(ends)
-        owner = np.zeros(groups, np.int64)
+        owner = np.zeros(len(ends), np.int64)
         owner[a_group] = np.repeat(np.arange(len(new)), a_n)
         who, pair, links = id_pair_links(owner, a_ids, a_group, b_ids, b_group, self.b_size)
         n_links = np.bincount(who, links, len(new)).astype(np.int64)
         n_groups = np.bincount(owner, minlength=len(new))
-        self.fragments += self._fragments(a_ids, a_group, b_ids, b_group, n_groups)
+        self.fragments += self._fragments(a_ids, a_group, b_ids, b_group, a_n + b_n)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.sizes = np.concatenate([self.sizes, np.array([a_n, b_n, n_groups, n_links, good], np.int64).T])
         ends = self.pointer[-1] + np.cumsum(np.bincount(who, minlength=len(new)))
         self.pointer = np.concatenate([self.pointer, ends])
         self.pairs, self.links = np.concatenate([self.pairs, pair]), np.concatenate([self.links, links])
-        self.held += 300 * len(new) + 2 * sum(map(len, new)) + 16 * len(pair) + sum(map(len, self.fragments[-len(new) :]))
-
-    def _fragments(self, a_ids, a_group, b_ids, b_group, n_groups: np.ndarray) -> list[bytes]:
-        """For each chunk the text of its groups, ``a1,a2|b1;a3|b2``."""
-        a_names, b_names = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        total = int(n_groups.sum())
-        a_at = pointers(np.bincount(a_group, minlength=total)).tolist()
-        b_at = pointers(np.bincount(b_group, minlength=total)).tolist()
-        texts = [
-            ",".join(a_names[a_at[g] : a_at[g + 1]]) + "|" + ",".join(b_names[b_at[g] : b_at[g + 1]]) for g in range(total)
-        ]
-        at = pointers(n_groups).tolist()
-        return [";".join(texts[i:j]).encode() for i, j in zip(at, at[1:])]
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.held += self._weight(new, len(whole), len(pair))
+
+    @staticmethod
+    def _joined(ids: list, raw: list[bytes]) -> bytes:
+        return b"".join(map(raw.__getitem__, chain.from_iterable(ids)))
+
+    def _fragments(self, a_ids, a_group, b_ids, b_group, tokens: np.ndarray) -> list[str]:
+        """For each chunk, of so many tokens, the text of its groups, ``a1,a2|b1;a3|b2;``."""
+        n = int(a_group[-1]) + 1 if len(a_group) else 0
+        a_at, b_at = pointers(np.bincount(a_group, minlength=n)), pointers(np.bincount(b_group, minlength=n))
+        a_last, b_last = np.arange(len(a_ids)) + 1 == a_at[a_group + 1], np.arange(len(b_ids)) + 1 == b_at[b_group + 1]
+        # A group's A tokens, then its B tokens, each named by its place in the table of written tokens.
+        merged = np.empty(len(a_ids) + len(b_ids), np.int64)
+        merged[np.arange(len(a_ids)) + b_at[a_group]] = a_ids + self.a_size * a_last
+        merged[np.arange(len(b_ids)) + a_at[b_group + 1]] = 2 * self.a_size + b_ids + self.b_size * b_last
+        names = list(map(self.written.__getitem__, merged.tolist()))
+        at = pointers(tokens).tolist()
+        return ["".join(names[i:j]) for i, j in zip(at, at[1:])]
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: A tokens, B tokens, groups and links (zeros where the bytes differ), the digest of its groups, and its
@@ -245,17 +278,17 @@ class Aligner:
         bounds = pointers(np.bincount(doc, minlength=len(texts))).tolist()
         listed = list(map(self.fragments.__getitem__, number.tolist()))
         digests = [
-            hashlib.sha256(b";".join(listed[i:j])).hexdigest() if j > i else "" for i, j in zip(bounds, bounds[1:])
+            hashlib.sha256("".join(listed[i:j])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(bounds, bounds[1:])
         ]
         # Pairs: equal chunks of a text first, then equal pairs of its chunks.
-        both, times = sum_by(doc * (len(self.known) + 1) + number, np.ones(len(doc), np.int64))
-        doc, number = both // (len(self.known) + 1), both % (len(self.known) + 1)
+        size = len(self.known) + 1
+        both, times = sum_by(doc * size + number, np.ones(len(doc), np.int64))
+        doc, number = both // size, both % size
         lens = self.pointer[number + 1] - self.pointer[number]
         at = spread(self.pointer[number], lens)
-        names, place = np.unique(self.pairs[at], return_inverse=True)
-        key, links = sum_by(np.repeat(doc, lens) * max(len(names), 1) + place, np.repeat(times, lens) * self.links[at])
-        pointer = pointers(np.bincount(key // max(len(names), 1), minlength=len(texts)))
-        return sizes, digests, pointer, names[key % max(len(names), 1)], links
+        names = self.a_size * self.b_size
+        key, links = sum_by(np.repeat(doc, lens) * names + self.pairs[at], np.repeat(times, lens) * self.links[at])
+        return sizes, digests, pointers(np.bincount(key // names, minlength=len(texts))), key % names, links
 
 
 @cache
