@@ -29,7 +29,7 @@ from vitrine.plans import cells, charts, ext, genre, macro, platform, pricing
 from vitrine.plans.pipeline import build_catalog, build_silver, catalog_for, genres_of
 from vitrine.plans.refresh import refresh_silver
 from vitrine.session import shared_dir
-from vitrine.sources.catalog import catalog_from_tables, read_catalog, read_silver
+from vitrine.sources.catalog import catalog_from_tables, read_catalog, read_silver, silver_extremes
 from vitrine.sources.variant import field_types, read_variant, variant_records
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -134,6 +134,28 @@ def _silver_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(read_silver(spark, path).select(*SCANNED))
 
 
+def _silver_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and extremes per release year, from the footers of a silver table."""
+    path = _scratch(spark, "extremes")
+    build_silver(_catalog(spark, sf_dir).select("app_id", "price", "total_reviews", "release_year"), path)
+    return _round_doubles(silver_extremes(spark, path, ["price", "total_reviews"]))
+
+
+def _price_by_genre_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices stored in two loads, and the report over both."""
+    path, genres, first = _scratch(spark, "genre-prices"), _genres(spark, sf_dir), F.col("app_id") % 3 == 0
+    for load in (first, ~first):
+        pricing.store_genre_prices(genres.filter(load), path)
+    return _round_doubles(pricing.price_by_genre_stored(spark, path))
+
+
+def _price_summary_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, catalog, first = _scratch(spark, "prices"), _catalog(spark, sf_dir), F.col("app_id") % 3 == 0
+    for load in (first, ~first):
+        pricing.store_prices(catalog.filter(load), path)
+    return _round_doubles(pricing.price_summary_stored(spark, path))
+
+
 def _on_cells(fn: Callable[[cells.Cells], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _round_doubles(fn(cells.store_cells(_catalog(spark, sf_dir))))
 
@@ -207,6 +229,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "discount_share": _on_catalog(pricing.discount_share),
         "price_by_genre": _on_genres(pricing.price_by_genre),
         "price_by_period": _on_catalog(pricing.price_by_period),
+        "price_by_genre_stored": _price_by_genre_stored,
+        "price_summary_stored": _price_summary_stored,
         # chart feeds
         "chart_platforms": _on_catalog(charts.chart_platforms),
         "chart_prices": _on_catalog(charts.chart_prices),
@@ -215,6 +239,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "price_points": _on_catalog(charts.price_points),
         "promotion_sample": _on_catalog(charts.promotion_sample),
         "chart_dates": _on_catalog(charts.chart_dates),
+        "price_density": _on_catalog(lambda c: charts.price_density(c).cells),
+        "price_density_sample": _on_catalog(lambda c: charts.price_density(c).sample),
+        "promotion_sample_by_profile": _on_catalog(charts.promotion_sample_by_profile),
         # genres
         "genre_counts": _on_genres(genre.genre_counts),
         "genre_reviews": _on_genres(genre.genre_reviews),
@@ -250,6 +277,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "variant_scan": _variant_scan,
         "variant_field_types": lambda spark, sf_dir: field_types(_variant_lines(spark, sf_dir)),
         "silver_refresh": _silver_refresh,
+        "silver_extremes": _silver_extremes,
     }
 
 
@@ -404,6 +432,37 @@ SELECT count(*) AS n_pairs, round(corr(rx, ry), 6) AS rank_correlation FROM (
                + CAST(coalesce(platform_linux, false) AS INTEGER) AS x, positive_ratio AS y
         FROM cat WHERE positive_ratio IS NOT NULL))"""
 
+_BOTTOM_K_SQL = """
+SELECT platform_profile, app_id, name, round(price_eur, 6) AS price_eur, round(discount, 6) AS discount,
+       round(coalesce(next, 1.0), 6) AS inclusion
+FROM (SELECT *, row_number() OVER w AS place, max(luck) FILTER (WHERE k = 21) OVER (PARTITION BY platform_profile) AS next
+      FROM (SELECT *, CAST(('0x' || substr(md5(CAST(app_id AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS luck,
+                   row_number() OVER (PARTITION BY platform_profile ORDER BY substr(md5(CAST(app_id AS VARCHAR)), 1, 13), app_id) AS k
+            FROM cat WHERE discount > 0)
+      WINDOW w AS (PARTITION BY platform_profile ORDER BY k))
+WHERE place <= 20"""
+
+
+def _density_sql(body: str) -> str:
+    """Quartered cells of the price and review logarithms: 8 levels, at most 400 cells."""
+    levels = ",\n".join(
+        f"l{d} AS (SELECT *, count(*) OVER (PARTITION BY gx >> {8 - d}, gy >> {8 - d}) AS c{d} FROM {f'l{d - 1}' if d else 'grid'})"
+        for d in range(9)
+    )
+    depth = "CASE " + " ".join(f"WHEN c{d} <= most THEN {d}" for d in range(8)) + " ELSE 8 END"
+    return f"""pts AS (
+  SELECT app_id, round(log2(price_eur), 9) AS x, round(log2(total_reviews), 9) AS y FROM cat WHERE total_reviews > 0 AND price_eur > 0
+),
+b AS (SELECT count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
+             greatest(1, CAST(ceil(24 * count(*) / 399.0) AS BIGINT)) AS most FROM pts),
+grid AS (SELECT pts.*, b.most, CAST(least(floor((x - x0) / (x1 - x0) * 256), 255) AS INTEGER) AS gx,
+                CAST(least(floor((y - y0) / (y1 - y0) * 256), 255) AS INTEGER) AS gy FROM pts, b),
+{levels},
+deep AS (SELECT *, {depth} AS depth FROM l8),
+leaf AS (SELECT *, gx >> (8 - depth) AS ix, gy >> (8 - depth) AS iy FROM deep)
+{body}"""
+
+
 _VARIANT_SCAN_SQL = """
 SELECT app_id, name, publisher, round(price, 6) AS price, positive, negative, ccu, required_age, total_reviews, num_languages,
        platform_profile, release_year,
@@ -547,6 +606,26 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["top_publishers_heavy"] = sql["top_publishers"]
     sql["top_names_heavy"] = sql["top_publishers"].replace("publisher", "name")
+    sql["price_by_genre_stored"] = sql["price_by_genre"]
+    sql["price_summary_stored"] = sql["price_summary_minor"]
+    sql["silver_extremes"] = (
+        "SELECT release_year, count(*) AS n_rows, count(price) AS n_price, round(min(price), 6) AS min_price, round(max(price), 6) AS max_price, "
+        "count(total_reviews) AS n_total_reviews, min(total_reviews) AS min_total_reviews, max(total_reviews) AS max_total_reviews "
+        "FROM cat GROUP BY release_year"
+    )
+    sql["promotion_sample_by_profile"] = _BOTTOM_K_SQL
+    sql["price_density"] = _density_sql(
+        "SELECT CAST(depth AS INTEGER) AS depth, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, "
+        "round(x0 + (x1 - x0) * ix / pow(2.0, depth), 6) AS x_from, round(x0 + (x1 - x0) * (ix + 1) / pow(2.0, depth), 6) AS x_to, "
+        "round(y0 + (y1 - y0) * iy / pow(2.0, depth), 6) AS y_from, round(y0 + (y1 - y0) * (iy + 1) / pow(2.0, depth), 6) AS y_to, "
+        "count(*) AS n FROM leaf, b GROUP BY ALL"
+    )
+    sql["price_density_sample"] = _density_sql(
+        "SELECT CAST(depth AS INTEGER) AS depth, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, "
+        "min(struct_pack(luck := md5(CAST(app_id AS VARCHAR)), app_id := app_id)).app_id AS app_id, "
+        "round(arg_min(x, md5(CAST(app_id AS VARCHAR))), 6) AS log_price, round(arg_min(y, md5(CAST(app_id AS VARCHAR))), 6) AS log_reviews, "
+        "count(*) AS weight FROM leaf GROUP BY depth, ix, iy"
+    )
     sql["ext_platform_rank_corr"] = _RANK_CORR_SQL
     sql["variant_scan"] = _VARIANT_SCAN_SQL
     sql["variant_field_types"] = _field_types_sql()
@@ -558,7 +637,7 @@ def oracle_sql() -> dict[str, str]:
     for name, body in sql.items():
         if body.startswith("WITH "):
             out[name] = body
-        elif body.startswith(("paid AS", "counts AS")):
+        elif body.startswith(("paid AS", "counts AS", "pts AS")):
             out[name] = "WITH " + _FLAT_SQL + _CATALOG_SQL + ",\n" + body
         else:
             out[name] = _with_catalog(body)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators.flatten import FLAT_MAPPING, flatten_catalog
 from vitrine.plans.pipeline import build_catalog, build_silver, catalog_from_json
+from vitrine.sources.catalog import silver_extremes
 from vitrine.sources import (
     CATALOG_SCHEMA,
     EXPECTED_COLUMNS,
@@ -166,3 +167,18 @@ def test_huge_numbers_never_raise(spark, ansi):
     assert {r.bucket: r["count"] for r in histogram(df, "price", 500).collect()} == {500: 1, None: 4}
     big = spark.createDataFrame([((1 << 63) - 1, 1), (9, 1)], "positive long, negative long")
     assert [r.total_reviews for r in with_review_features(big).collect()] == [None, 10]
+
+
+def test_counts_and_extremes_come_from_footers(spark, catalog, tmp_path):
+    path = str(tmp_path / "silver")
+    build_silver(catalog.select("app_id", "price", "total_reviews", "release_year"), path)
+    for partition in ("release_year", None):
+        found = silver_extremes(spark, path, ["price", "total_reviews"], partition)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PushedAggregation: [COUNT(*)" in plan
+        keys = [partition] if partition else []
+        want = catalog.groupBy(*keys).agg(
+            F.count(F.lit(1)), *[f(c) for c in ("price", "total_reviews") for f in (F.count, F.min, F.max)]
+        )
+        assert sorted(map(lambda r: str(tuple(r)), found.collect())) == sorted(map(lambda r: str(tuple(r)), want.collect()))
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"

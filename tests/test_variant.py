@@ -8,7 +8,9 @@ from vitrine.operators.features import prepare_catalog
 from vitrine.operators.flatten import flatten_catalog
 from vitrine.plans.pipeline import build_catalog
 from vitrine.sources import read_catalog
-from vitrine.sources.variant import field_types, read_variant, variant_records, variant_schema
+from vitrine.sources.variant import (
+    field_types, file_fields, file_fingerprints, files_without, merged_fields, read_variant, variant_records, variant_schema,
+)
 
 RECORDS = [
     {"id": "1", "data": {"appid": 1, "price": 90, "platforms": {"linux": "true", "mac": False, "console": 1}, "new": [1, {"a": 2}]}},
@@ -72,3 +74,31 @@ def test_schema_of_the_source(spark, tmp_path):
     empty = tmp_path / "empty.json"
     empty.write_text("")
     assert variant_records(read_variant(spark, str(empty))).count() == 0
+
+
+def drift_folder(folder):
+    layouts = {
+        "a.json": [{"id": 1, "data": {"price": 1, "name": "x"}}, {"id": 2, "data": {"price": None}}],
+        "b.json": [{"id": 3, "data": {"price": 1.5, "name": "y"}, "tags": ["t"]}],
+        "c.json": [{"id": "4", "data": {"price": "6", "name": "z"}, "tags": "t"}, {"id": "5"}],
+        "d.json": [{"id": 6, "data": {"price": 2, "name": "w"}}],
+    }
+    for name, records in layouts.items():
+        (folder / name).write_text("\n".join(map(json.dumps, records)) + "\nbroken {\n")
+    return str(folder)
+
+
+def test_drift_across_files(spark, tmp_path):
+    fields = file_fields(spark, drift_folder(tmp_path)).cache()
+    prints = {r["file"].rsplit("/", 1)[1]: (r["fingerprint"], r["n_fields"]) for r in file_fingerprints(fields).collect()}
+    assert set(prints) == {"a.json", "b.json", "c.json", "d.json"} and len(set(prints.values())) == 4
+    merged = {r["path"]: (r["type"], r["n_files"]) for r in merged_fields(fields).collect()}
+    assert merged == {
+        "id": ("STRING", 4), "data": ("OBJECT", 4), "data.price": ("STRING", 4), "data.name": ("STRING", 4), "tags": ("VARIANT", 2),
+    }
+    numbers = merged_fields(fields.filter("file not like '%c.json'")).collect()
+    assert {r["path"]: r["type"] for r in numbers}["data.price"] == "DECIMAL"
+    missing = sorted((r["file"].rsplit("/", 1)[1], r["path"]) for r in files_without(fields, ["id", "tags", "data.genre"]).collect())
+    assert missing == [("a.json", "data.genre"), ("a.json", "tags"), ("b.json", "data.genre"), ("c.json", "data.genre"), ("d.json", "data.genre"), ("d.json", "tags")]
+    assert files_without(fields, []).count() == 0
+    fields.unpersist()

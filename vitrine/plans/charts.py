@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.flatten import platform_view
+from ..operators.sampling import Density, bottom_k, density
 from ..operators.topk import top_k
 from .pricing import paid_prices
 
@@ -56,3 +57,22 @@ def chart_dates(catalog: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
     """Date cleaning sample: raw, cleaned and parsed text of ``n`` products."""
     cols = catalog.select("app_id", "release_date_raw", "release_date_clean", "release_date_parsed")
     return top_k(cols, ["app_id"], n)
+
+
+DENSITY_CELLS = 400
+
+
+def price_density(catalog: DataFrame, max_cells: int = DENSITY_CELLS, per_cell: int = 1) -> Density:
+    """The price and success scatter at a bounded size: cells with counts, and a few products of each
+    (:func:`~vitrine.operators.sampling.density`). Both axes are logarithms, of the price and of the reviews."""
+    points = price_points(catalog).select(
+        "app_id", F.round(F.log2("price_eur"), 9).alias("log_price"), F.round(F.log2("total_reviews"), 9).alias("log_reviews")
+    )
+    return density(points, "log_price", "log_reviews", "app_id", max_cells, per_cell)
+
+
+def promotion_sample_by_profile(catalog: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
+    """``n`` discounted products of each platform profile, drawn by hash, with the chance each had: not the oldest ids, and the same
+    whatever the files."""
+    discounted = catalog.filter(F.col("discount") > 0).select("platform_profile", "app_id", "name", "price_eur", "discount")
+    return bottom_k(discounted, ["platform_profile"], "app_id", n)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import share_percent
-from ..operators.stats import DEFAULT_ACCURACY, grouped_median, histogram, numeric_summary
+from ..operators.stats import DEFAULT_ACCURACY, SUMMARY_STATS, grouped_median, histogram, numeric_summary
+from ..operators.value_cells import CELL, store_values, stored_moments, stored_quantiles
 
 
 def paid_prices(catalog: DataFrame, c: str = "price") -> DataFrame:
@@ -67,3 +68,36 @@ def price_by_period(catalog: DataFrame, period_col: str = "covid_period") -> Dat
         .orderBy(period_col)
     )
 
+
+
+def store_genre_prices(genres: DataFrame, path: str) -> None:
+    """Appends a load of (product, genre) rows to the stored price cells per genre and release year."""
+    store_values(genres, ["genre", "release_year"], "price_eur", path)
+
+
+def price_by_genre_stored(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`price_by_genre` of all loads, from the stored cells: totals, and the values of the cells that hold a median."""
+    stats = stored_moments(spark, path, ["genre"]).select("genre", F.col("n_rows").alias("nb_games"), F.col("mean").alias("avg_price_eur"))
+    medians = stored_quantiles(spark, path, [0.5], ["median_price_eur"], ["genre"])
+    return (
+        stats.join(medians, stats["genre"].eqNullSafe(medians["genre"]), "left")
+        .select(stats["genre"], "nb_games", "avg_price_eur", "median_price_eur")
+        .orderBy(F.col("median_price_eur").desc_nulls_last(), F.col("genre").asc())
+    )
+
+
+def store_prices(catalog: DataFrame, path: str) -> None:
+    """Appends a load of products to the stored price cells (minor units) per release year."""
+    store_values(catalog, ["release_year"], "price", path)
+
+
+def price_summary_stored(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`price_summary_minor` (paid prices) of all loads, from the stored cells."""
+    paid = F.col(CELL) > 0  # the cells of values above zero
+    quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+    exact = stored_quantiles(spark, path, list(quartiles.values()), list(quartiles), discrete=True, keep=paid)
+    moments = stored_moments(spark, path, keep=paid).select(
+        F.col("n").cast("double").alias("count"), "mean", "stddev", F.col("least").alias("min"), F.col("most").alias("max")
+    )
+    wide = moments.unionByName(exact, allowMissingColumns=True).agg(*[F.max(F.col(f"`{s}`")).alias(s) for s in SUMMARY_STATS])
+    return wide.unpivot([], [F.col(f"`{s}`") for s in SUMMARY_STATS], "statistic", "value")

@@ -193,3 +193,32 @@ def catalog_from_frames(orders: DataFrame, customer: DataFrame, lineitem: DataFr
         release_date.alias("release_date"),
     )
     return joined.select(k.cast("string").alias("id"), data.alias("data"))
+
+
+def read_with_footers(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose counts, minima and maxima (whole or per partition value) are taken from file footers: the
+    second-version source pushes such aggregates down. Settings are those of a session of its own."""
+    own = spark.newSession()
+    for key in spark.conf.getAll:
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, spark.conf.get(key))
+    listed = own.conf.get("spark.sql.sources.useV1SourceList").split(",")
+    own.conf.set("spark.sql.sources.useV1SourceList", ",".join(s for s in listed if s != "parquet"))
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path)
+
+
+def silver_extremes(spark: SparkSession, path: str, columns: list[str], partition: str | None = "release_year") -> DataFrame:
+    """Rows, and for each of ``columns`` its values, minimum and maximum, per partition value (or of the whole table with
+    None), without reading a column. Columns must be of a type whose footers are exact: numbers, dates, booleans."""
+    table = read_with_footers(spark, path)
+    aggregates = [F.count(F.lit(1)).alias("n_rows")]
+    for c in columns:
+        aggregates += [F.count(c).alias(f"n_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
+    found = table.groupBy(partition).agg(*aggregates) if partition else table.agg(*aggregates)
+    # a footer writes the minimum zero as minus zero
+    zeros = {
+        f"{end}_{c}": F.col(f"{end}_{c}") + F.lit(0.0)
+        for c in columns for end in ("min", "max") if table.schema[c].dataType.typeName() in ("double", "float")
+    }
+    return found.withColumns(zeros)

@@ -88,24 +88,67 @@ def variant_schema(df: DataFrame, record: str = RECORD) -> DataFrame:
     return df.agg(F.schema_of_variant_agg(record).alias("schema"))
 
 
-def field_types(df: DataFrame, record: str = RECORD) -> DataFrame:
-    """``path, type, n_records``: how often each field of the records, one object deep, has each type.
+def field_types(df: DataFrame, record: str = RECORD, keys: list[str] | None = None) -> DataFrame:
+    """``keys, path, type, n_records``: how often each field of the records, one object deep, has each type.
 
     What a merged schema hides: a field that is a number in most records and text in a few has two rows. Numbers
     are told apart as ``BIGINT``, ``DECIMAL`` and ``DOUBLE`` without their digits. Partial counts per
     (path, type) are combined in the map tasks, so the shuffle is as small as the list of fields.
     """
     top = F.try_variant_get(record, "$", "map<string,variant>")
-    rows = df.filter(F.col(record).isNotNull()).select(F.explode(top).alias("key", "value"))
+    keys = keys or []
+    rows = df.filter(F.col(record).isNotNull()).select(*keys, F.explode(top).alias("key", "value"))
     inside = F.coalesce(F.schema_of_variant("value").startswith("OBJECT"), F.lit(False))
     below = F.transform(
         F.map_entries(F.try_variant_get(F.when(inside, F.col("value")), "$", "map<string,variant>")),
         lambda e: F.struct(F.concat(F.col("key"), F.lit("."), e["key"]).alias("path"), e["value"].alias("value")),
     )
     itself = F.array(F.struct(F.col("key").alias("path"), F.col("value").alias("value")))
-    cells = rows.select(F.explode(F.when(inside, F.concat(itself, below)).otherwise(itself)).alias("cell"))
+    cells = rows.select(*keys, F.explode(F.when(inside, F.concat(itself, below)).otherwise(itself)).alias("cell"))
     kind = F.regexp_extract(F.schema_of_variant("cell.value"), r"^(\w+)", 1)
     return (
-        cells.groupBy(F.col("cell.path").alias("path"), kind.alias("type"))
+        cells.groupBy(*keys, F.col("cell.path").alias("path"), kind.alias("type"))
         .agg(F.count(F.lit(1)).alias("n_records"))
     )
+
+
+# ---------------------------------------------------------------- drift across files
+
+# Numbers widen to the right of this list; other types that differ widen to text.
+NUMBERS = ["BIGINT", "DECIMAL", "DOUBLE"]
+
+
+def file_fields(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, path, type, n_records``: :func:`field_types` of every file, in one job over all of them."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias(RECORD))
+    is_record = F.coalesce(F.schema_of_variant(RECORD).startswith("OBJECT"), F.lit(False))
+    return field_types(lines.filter(is_record), keys=["file"])
+
+
+def file_fingerprints(fields: DataFrame) -> DataFrame:
+    """``file, fingerprint, n_fields``: files with equal fingerprints have the same fields with the same types."""
+    listed = F.array_sort(F.collect_list(F.concat_ws(":", "path", "type")))
+    return fields.groupBy("file").agg(F.md5(F.array_join(listed, ";")).alias("fingerprint"), F.count_distinct("path").alias("n_fields"))
+
+
+def merged_fields(fields: DataFrame) -> DataFrame:
+    """``path, type, n_files, types``: one type for each field over all files. Null values say nothing; numbers widen to the
+    widest kind met, an object or array beside anything else stays ``VARIANT``, other mixtures are text."""
+    known = fields.filter(F.col("type") != "VOID")
+    met = known.groupBy("path").agg(
+        F.array_sort(F.collect_set("type")).alias("types"), F.count_distinct("file").alias("n_files")
+    )
+    numbers = F.array(*[F.lit(t) for t in NUMBERS])
+    all_numbers = F.size(F.array_except("types", numbers)) == 0
+    nested = F.exists("types", lambda t: t.isin("OBJECT", "ARRAY"))
+    widest = F.element_at(F.filter(numbers, lambda t: F.array_contains("types", t)), -1)
+    one = F.size("types") == 1
+    kind = F.when(one, F.col("types")[0]).when(all_numbers, widest).when(nested, F.lit("VARIANT")).otherwise(F.lit("STRING"))
+    return met.select("path", kind.alias("type"), "n_files", "types")
+
+
+def files_without(fields: DataFrame, expected: list[str]) -> DataFrame:
+    """``file, path``: the expected fields that no record of a file has."""
+    names = F.array(*[F.lit(p) for p in expected]).cast("array<string>")
+    wanted = fields.select("file").distinct().select("file", F.explode(names).alias("path"))
+    return wanted.join(fields.select("file", "path").distinct(), ["file", "path"], "left_anti")
