@@ -4,12 +4,10 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from vitrine.llm import collocations
-from vitrine.llm.collocations import FOLD, HatTrie, PhraseTable, WordNumbers, mine_collocations, phrase_table
+from vitrine.llm.collocations import FOLD, HatTrie, Phrases, PhraseTable, WordNumbers, mine_collocations, sift
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -74,7 +72,7 @@ def test_set_phrases(phrases):
 
 
 def test_spills_bursts_and_cut_pieces_change_nothing(phrases, monkeypatch):
-    for name, value in (("HELD", 60), ("BURST", 3), ("SLICE", 90), ("HOT_SHARE", 0.05)):
+    for name, value in (("HELD", 60), ("BURST", 3), ("SLICE", 90), ("GATHERED", 50), ("NUMBERED", 20), ("GROUP", 2000), ("RANKED", 9)):
         monkeypatch.setattr(collocations, name, value)
     assert check(phrases.repartition(3), 5)
 
@@ -112,14 +110,26 @@ def test_trie_counts_like_a_table(monkeypatch):
     assert got == dict(want) and trie.entries == 0
 
 
-def test_table_has_every_phrase_of_its_level(spark):
-    rows = [("en" if i % 2 else "fr", f"w{i} é{i}") for i in range(500)]
-    table = PhraseTable(phrase_table(spark, spark.createDataFrame(rows, "lang string, phrase string")))
-    for lang in ("en", "fr"):
-        assert table.has(lang, [p.encode() for g, p in rows if g == lang]).all()
-    assert table.has("en", [b"never %d" % i for i in range(1000)]).sum() < 5
+def test_no_frequent_phrase_is_sifted_out(phrases, spark):
+    texts = phrases.selectExpr("coalesce(lang, 'und') lang", "text")
+    share, tables = spark.sparkContext.broadcast, []
+    for level in (1, 2, 3):
+        tables.append(share(sift(texts, level, tables, 8, 3)))
+    reader = Phrases([PhraseTable(t.value) for t in tables])
+    found = {1: 0, 2: 0, 3: 0, 4: 0}
+    for r in texts.collect():
+        for n, _, at, _ in reader.read(r["lang"], (r["text"] or "").encode().translate(FOLD), 0):
+            found[n] += len(at)
+    counts = Counter()
+    for r in texts.collect():
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", re.sub("[A-Z]", lambda m: m.group().lower(), r["text"])):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            counts.update((r["lang"], *words[i : i + k]) for k in range(1, 5) for i in range(len(words) - k + 1))
+    for k in range(1, 5):
+        frequent = sum(n for p, n in counts.items() if len(p) == k + 1 and n >= 8)
+        assert frequent <= found[k] <= frequent * 1.01
 
 
 def test_folding_keeps_other_characters():
-    text = "A,É z\tİ"
-    assert WordNumbers().read(text.encode().translate(FOLD)).tolist() == [1, 0, 2, 3, 4]
+    text = "A,É z\tİ \x00 \x00\n"
+    assert WordNumbers("en").read(text.encode().translate(FOLD)).tolist() == [1, 0, 2, 3, 4, 5, 5, 0]

@@ -2,10 +2,13 @@
 
 A task counts phrases in a shallow trie over word numbers whose leaves are hash containers; a container that grows too
 large bursts into a node with one container per next word. When the trie holds too much, whole
-subtrees leave it as runs sorted by phrase. The runs of all tasks meet by prefix, so a prefix partition merges its subtrees.
+subtrees leave it as runs sorted by phrase. The runs of all tasks meet by prefix (the first two words, as one word alone may begin
+a large part of all phrases), and a prefix partition merges its subtrees.
 
-Phrases are counted level by level: a phrase can only be frequent if both its parts of one word less are. What was
-frequent on the level before reaches the tasks as a bit table of fixed size, which lets a few more through and loses none.
+Most phrases are found once or twice and never matter. They are sifted out first, level by level: a phrase can only be frequent if
+its parts are. Tasks count hashes of a level's phrases, and what reaches the least count becomes a bit table of
+fixed size. A phrase that shares its bits with a frequent one comes through for nothing; none is lost, and
+the counts are the trie's.
 """
 
 from __future__ import annotations
@@ -16,24 +19,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from vitrine.llm.common import materialize
+from vitrine.llm.alignment import sum_by
+from vitrine.llm.common import materialize, parts_for
+from vitrine.operators.ranks import dense_numbers
 
 # Words of a phrase at most, and the bits a word's number takes in a packed phrase.
 LONGEST, WORD_BITS = 4, 21
 # Entries that burst a container, entries a trie holds before subtrees are spilled, and the share that stays.
 BURST, HELD, STAYS = 2_048, 1_200_000, 0.5
-# Text counted at once, in bytes.
-SLICE = 1_000_000
+# Words that a task numbers before it begins anew, and hashes or phrases it gathers before they are counted.
+NUMBERED, GATHERED = 600_000, 3_000_000
+# Text read at once, and text whose hashes meet in one group, in bytes.
+SLICE, GROUP = 1_000_000, 16_000_000
 # Bits of the table of frequent phrases (8 MB), in rows of 32,768 bits.
 TABLE_BITS, ROW_BITS = 26, 15
-# A word with more than this share of all words is no prefix by itself; there are at most 1/HOT_SHARE of them.
-HOT_SHARE = 0.001
-# Runs of a language's ranked phrases are cut in so many parts first.
-RANK_PARTS = 64
+# A hash's first bits choose its group, the next 32 name it there.
+GROUP_BITS = 20
+# Up to so many languages (a few dozen bytes each) are sent to every task.
+LANGUAGES_SENT = 100_000
+# Phrases that are ranked in one task.
+RANKED = 20_000
 
 # A-Z to lower case, the marks that end a piece to a line feed, tabs to spaces.
 FOLD = bytes(
@@ -41,14 +49,19 @@ FOLD = bytes(
 )
 # The words after a cut inside a piece, which only finish phrases there.
 AHEAD = re.compile(rb" +[^ \n]+(?: +[^ \n]+){0,%d}" % (LONGEST - 2))
+# The end of a piece, as a word that no UTF-8 text holds.
+END = b"\xff"
+U = np.uint64
 
 
 class WordNumbers(dict):
-    """Numbers of words (bytes), from 1 on in order of appearance; the end of a piece is 0."""
+    """Numbers of words (bytes) of a language, from 1 on in order of appearance, and their hashes; the end of a piece is 0."""
 
-    def __init__(self):
-        super().__init__({b"\n": 0})
+    def __init__(self, lang: str):
+        super().__init__({END: 0})
         self.names = [b""]
+        self.seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+        self.hashed = np.zeros(1, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self.names.append(word)
@@ -57,8 +70,22 @@ class WordNumbers(dict):
 
     def read(self, data: bytes) -> np.ndarray:
         """Word numbers of folded text, 0 at the end of every piece."""
-        words = data.replace(b"\n", b" \n ").split(b" ")
-        return np.fromiter((self[w] for w in words if w), np.int64)
+        words = data.replace(b"\n", b" " + END + b" ").split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self) -> np.ndarray:
+        new = self.names[len(self.hashed) :]
+        if new:
+            found = np.fromiter((xxhash.xxh64_intdigest(w, self.seed) for w in new), np.uint64, len(new))
+            self.hashed = np.concatenate([self.hashed, found])
+        return self.hashed
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a phrase of hash ``a`` and a word of hash ``b`` behind it."""
+    x = (a ^ (a >> U(31))) * U(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(32))
 
 
 class HatTrie:
@@ -144,33 +171,173 @@ class HatTrie:
 
 
 class PhraseTable:
-    """Bits of the phrases of one level that may be frequent."""
+    """Bits of the hashes of one level's phrases that may be frequent."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
-    def has(self, lang: str, phrases: list[bytes]) -> np.ndarray:
-        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-        at = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in phrases), np.uint64, len(phrases))
-        at &= np.uint64((1 << TABLE_BITS) - 1)
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def phrase_table(spark: SparkSession, frequent: DataFrame) -> np.ndarray:
-    """The bit table of ``lang, phrase``: at most 2,048 rows of 4 KB reach the driver, however many phrases there are."""
-    place = F.xxhash64("lang", "phrase").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
-    rows = (
-        frequent.select(F.shiftright(place, ROW_BITS).alias("row"), place.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("bit"))
-        .groupBy("row")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
-        .collect()
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> U(32 - GROUP_BITS)) & U((1 << TABLE_BITS) - 1)
+        return (self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
+
+
+class Phrases:
+    """The phrases of folded text that pass the tables so far, at the places where they begin."""
+
+    def __init__(self, tables: list[PhraseTable]):
+        self.tables = tables
+        self.numbers: dict[str, WordNumbers] = {}
+        self.passed: dict[str, np.ndarray] = {}
+
+    def begin_anew(self) -> None:
+        self.numbers.clear()
+        self.passed.clear()
+
+    def many(self) -> bool:
+        words = [len(n.names) for n in self.numbers.values()]
+        return sum(words) > NUMBERED or max(words, default=0) + SLICE >= 1 << WORD_BITS
+
+    def read(self, lang: str, data: bytes, ahead: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(words, ids, places, hashes)`` for each length whose level's table is there, and for one level more; the last
+        ``ahead`` words begin nothing."""
+        numbers = self.numbers.get(lang)
+        if numbers is None:
+            numbers = self.numbers[lang] = WordNumbers(lang)
+        ids = numbers.read(data)
+        here, hashes = len(ids) - ahead, numbers.hashes()
+        known = self.passed.get(lang)
+        if known is None or len(known) < len(hashes):
+            known = self.tables[0].has(hashes) if self.tables else np.ones(len(hashes), bool)
+            known[0] = False
+            self.passed[lang] = known
+        ok, hashes = known[ids], hashes[ids]
+        at = np.flatnonzero(ok[:here])
+        yield 1, ids, at, hashes[at]
+        if len(self.tables) < 1:
+            return
+        # Pairs of frequent words, then runs of frequent pairs.
+        starts = np.flatnonzero(ok[:-1] & ok[1:])
+        pairs = _mix(hashes[starts], hashes[starts + 1])
+        if len(self.tables) > 1:
+            fits = self.tables[1].has(pairs)
+            starts, pairs = starts[fits], pairs[fits]
+        chosen = starts < here
+        yield 2, ids, starts[chosen], pairs[chosen]
+        if len(self.tables) < 2:
+            return
+        linked = np.zeros(len(ids) + LONGEST, bool)
+        linked[starts] = True
+        run, found = starts, pairs
+        for n in range(3, LONGEST + 1):
+            goes_on = linked[run + n - 2]
+            run, found = run[goes_on], found[goes_on]
+            found = _mix(found, hashes[run + n - 1])
+            fits = run < here
+            if len(self.tables) > 2:
+                fits &= self.tables[2].has(found)
+            run, found = run[fits], found[fits]
+            yield n, ids, run, found
+
+
+def _group(hashes: np.ndarray, groups: int) -> np.ndarray:
+    return ((hashes >> U(64 - GROUP_BITS)) * U(groups)) >> U(GROUP_BITS)
+
+
+def _spans(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(group, first, end)`` of the runs of a sorted array."""
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    return list(zip(group[start].tolist(), start.tolist(), [*start[1:].tolist(), len(group)]))
+
+
+# ---------------------------------------------------------------- sifting
+
+
+def _blobs(level: int, tables: list, groups: int):
+    """Counts the hashes of a level's phrases; a row has those of one group, in order, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases([PhraseTable(t.value) for t in tables])
+        held: list[np.ndarray] = []
+        gathered = 0
+
+        def release() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            count = np.diff(np.append(first, len(h))).astype("<u4")
+            h = h[first]
+            name = ((h >> U(32 - GROUP_BITS)) & U(0xFFFFFFFF)).astype("<u4")
+            spans = _spans(_group(h, groups))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([g for g, _, _ in spans], pa.int32()), pa.array([name[i:j].tobytes() for _, i, j in spans], pa.binary()),
+                    pa.array([count[i:j].tobytes() for _, i, j in spans], pa.binary()),
+                ],
+                ["part", "names", "counts"],
+            )
+
+        for batch in batches:
+            for lang, data, ahead in _blocks(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                for n, _, _, hashes in phrases.read(lang, data, ahead):
+                    if n == level or n > level == 3:
+                        held.append(hashes)
+                        gathered += len(hashes)
+                if phrases.many():
+                    phrases.begin_anew()
+                if gathered >= GATHERED:
+                    yield release()
+                    held.clear()
+                    gathered = 0
+        if gathered:
+            yield release()
+
+    return run
+
+
+def _reaching(least: int):
+    """Rows sorted by group: the table places of the hashes that reach ``least`` over all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, names, counts = None, [], []
+
+        def settle() -> pa.RecordBatch:
+            name, total = sum_by(np.concatenate(names), np.concatenate(counts).astype(np.int64))
+            at = np.unique(name[total >= least].astype(np.int64) & ((1 << TABLE_BITS) - 1))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(at >> ROW_BITS), pa.array(at & ((1 << ROW_BITS) - 1))], ["row", "bit"]
+            )
+
+        for batch in batches:
+            for p, name, count in zip(*(batch.column(c) for c in ("part", "names", "counts"))):
+                if p.as_py() != part and names:
+                    yield settle()
+                    names, counts = [], []
+                part = p.as_py()
+                names.append(np.frombuffer(name.as_buffer(), "<u4"))
+                counts.append(np.frombuffer(count.as_buffer(), "<u4"))
+        if names:
+            yield settle()
+
+    return run
+
+
+def sift(texts: DataFrame, level: int, tables: list, least: int, groups: int) -> np.ndarray:
+    """The bit table of a level (1 words, 2 pairs, 3 longer): at most 2,048 rows of 4 KB reach the driver, however many phrases
+    there are. A group's hashes, about ``GROUP`` bytes of text, meet in one task."""
+    places = (
+        texts.mapInArrow(_blobs(level, tables, groups), "part int, names binary, counts binary")
+        .repartition(groups, "part")
+        .sortWithinPartitions("part")
+        .mapInArrow(_reaching(least), "row long, bit long")
     )
     bits = np.zeros((1 << TABLE_BITS - ROW_BITS, 1 << ROW_BITS - 3), np.uint8)
-    for r in rows:
+    for r in places.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
         bits[r["row"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits.ravel()
 
 
+# ---------------------------------------------------------------- counting
+
+
 def _join(names: list[bytes], first: int, rest: int) -> bytes:
     words, mask = [names[first]], (1 << WORD_BITS) - 1
     while rest:
@@ -180,101 +347,77 @@ def _join(names: list[bytes], first: int, rest: int) -> bytes:
 
 
 class Counter:
-    """One task's count of one level. ``level`` 1 counts words, 2 pairs of frequent words, 3 all phrases of three to
-    ``LONGEST`` words whose pairs are all frequent."""
+    """One task's count of the phrases that pass the tables, and of all words."""
 
-    def __init__(self, level: int, table: PhraseTable | None):
-        self.level, self.table = level, table
+    def __init__(self, tables: list[PhraseTable]):
+        self.phrases = Phrases(tables)
         self.tries: dict[str, HatTrie] = {}
-        self.numbers: dict[str, WordNumbers] = {}
-        self.words: dict[str, np.ndarray] = {}  # level 1: counts by word number
-        self.passed: dict[str, np.ndarray] = {}  # level 2: by word number, 1 frequent, 0 not
-        self.pairs: dict[str, dict[int, bool]] = {}  # level 3: whether a pair is frequent
+        self.words: dict[str, int] = {}
+        self.held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.gathered = 0
 
     def count(self, lang: str, data: bytes, ahead: int = 0) -> None:
-        """Counts what begins in folded text, but for its last ``ahead`` words."""
-        numbers = self.numbers.get(lang)
-        if numbers is None:
-            numbers = self.numbers[lang] = WordNumbers()
-        ids = numbers.read(data)
-        here = len(ids) - ahead
-        if self.level == 1:
-            found = np.bincount(ids[:here], minlength=len(numbers.names))
-            found[: len(self.words.get(lang, ()))] += self.words.get(lang, np.zeros(0, np.int64))
-            self.words[lang] = found
-            return
-        trie = self.tries.setdefault(lang, HatTrie())
-        if self.level == 2:
-            known = self.passed.get(lang, np.zeros(1, bool))
-            if len(known) < len(numbers.names):
-                known = np.concatenate([known, self.table.has(lang, numbers.names[len(known) :])])
-                self.passed[lang] = known
-            ok = known[ids]
-            at = np.flatnonzero((ok[:-1] & ok[1:])[:here])
-            self._insert(trie, ids[at], ids[at + 1])
-            return
-        linked = self._linked(lang, numbers, ids)
-        run = linked
-        rest = ids[1:]
-        for n in range(2, LONGEST):
-            # Phrases of n + 1 words: the pair at their last two words is frequent too.
-            run = run[:-1] & linked[n - 1 :] if len(run) else run
-            at = np.flatnonzero(run[:here])
-            rest = rest[: max(len(rest) - 1, 0)] | ids[n:] << (n - 1) * WORD_BITS
-            self._insert(trie, ids[at], rest[at])
-
-    def _linked(self, lang: str, numbers: WordNumbers, ids: np.ndarray) -> np.ndarray:
-        """Whether the pair from each place on lies in a piece and may be frequent."""
-        inside = (ids[:-1] > 0) & (ids[1:] > 0)
-        pairs, place = np.unique(ids[:-1][inside] << WORD_BITS | ids[1:][inside], return_inverse=True)
-        known = self.pairs.setdefault(lang, {})
-        if len(known) > HELD:
-            known.clear()
-        new = [p for p in pairs.tolist() if p not in known]
-        if new:
-            names, mask = numbers.names, (1 << WORD_BITS) - 1
-            known.update(zip(new, self.table.has(lang, [names[p >> WORD_BITS] + b" " + names[p & mask] for p in new]).tolist()))
-        out = np.zeros(len(inside), bool)
-        out[inside] = np.fromiter(map(known.__getitem__, pairs.tolist()), bool, len(pairs))[place]
-        return out
-
-    def _insert(self, trie: HatTrie, first: np.ndarray, rest: np.ndarray) -> None:
-        if not len(first):
-            return
-        order = np.lexsort((rest, first))
-        first, rest = first[order], rest[order]
-        starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])]))
-        counts = np.diff(np.append(starts, len(first)))
-        first, rest = first[starts], rest[starts]
-        heads = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])).tolist()
-        rests, counts, firsts = rest.tolist(), counts.tolist(), first[heads].tolist()
-        for word, i, j in zip(firsts, heads, [*heads[1:], len(rests)]):
-            trie.add(word, rests[i:j], counts[i:j])
+        for n, ids, at, _ in self.phrases.read(lang, data, ahead):
+            if n == 1:
+                self.words[lang] = self.words.get(lang, 0) + int(np.count_nonzero(ids[: len(ids) - ahead]))
+            if len(at):
+                rest = np.zeros(len(at), np.int64)
+                for k in range(n - 1, 0, -1):
+                    rest = rest << WORD_BITS | ids[at + k]
+                self.held.setdefault((lang, n), []).append((ids[at], rest))
+                self.gathered += len(at)
+        if self.gathered >= GATHERED:
+            self.gather()
+
+    def gather(self) -> None:
+        """Puts what was met since into the tries, equal phrases at once."""
+        for (lang, _), parts in self.held.items():
+            first, rest = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((rest, first))
+            first, rest = first[order], rest[order]
+            starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])]))
+            counts = np.diff(np.append(starts, len(first)))
+            first, rest = first[starts], rest[starts]
+            heads = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])).tolist()
+            rests, counts, firsts = rest.tolist(), counts.tolist(), first[heads].tolist()
+            trie = self.tries.get(lang)
+            if trie is None:
+                trie = self.tries[lang] = HatTrie()
+            for word, i, j in zip(firsts, heads, [*heads[1:], len(rests)]):
+                trie.add(word, rests[i:j], counts[i:j])
+        self.held.clear()
+        self.gathered = 0
 
     def full(self) -> bool:
-        return (
-            sum(t.entries for t in self.tries.values()) + sum(len(n) for n in self.numbers.values()) > HELD
-            or max((len(n.names) for n in self.numbers.values()), default=0) + SLICE >= 1 << WORD_BITS
-        )
-
-    def spill(self, everything: bool) -> Iterator[tuple[str, list[bytes], list[int]]]:
-        """Sorted runs ``(lang, phrases, counts)`` of the subtrees that go: all, or the largest until ``STAYS`` of ``HELD`` are left. The word
-        numbers are given anew where they are what fills the memory."""
-        words = sum(len(n) for n in self.numbers.values())
-        everything = everything or words > STAYS * HELD or max(len(n.names) for n in self.numbers.values()) + SLICE >= 1 << WORD_BITS
+        return sum(t.entries for t in self.tries.values()) > HELD or self.phrases.many()
+
+    def spill(self, everything: bool, groups: int) -> Iterator[tuple[str, int, list[bytes], list[int]]]:
+        """``(lang, prefix partition, phrases, counts)``: sorted runs of the subtrees that go, which are all (also when words have to be
+        numbered anew), or the largest until ``STAYS`` of ``HELD`` are left. All words of a language are the count of the empty phrase."""
+        everything = everything or self.phrases.many()
+        if everything:
+            self.gather()
         entries = sum(t.entries for t in self.tries.values())
         for lang, trie in self.tries.items():
-            names = self.numbers[lang].names
+            numbers = self.phrases.numbers[lang]
             goes = list(trie.root) if everything else trie.largest(int(trie.entries * STAYS * HELD / max(entries, 1)))
-            for firsts in (goes[i : i + 256] for i in range(0, len(goes), 256)):
-                run = sorted((_join(names, first, rest), n) for first in firsts for rest, n in trie.take(first))
-                yield lang, [p for p, _ in run], [n for _, n in run]
-        for lang, found in self.words.items():
-            names, at = self.numbers[lang].names, (np.flatnonzero(found[1:]) + 1).tolist()
-            run = sorted((names[i], int(found[i])) for i in at)
-            yield lang, [p for p, _ in run], [n for _, n in run]
+            found = [(first, rest, n) for first in goes for rest, n in trie.take(first)]
+            if not found:
+                continue
+            first, rest, count = (np.array(x, np.int64) for x in zip(*found))
+            hashed = numbers.hashes()
+            part = _group(_mix(hashed[first], hashed[rest & ((1 << WORD_BITS) - 1)]), groups)
+            order = np.argsort(part, kind="stable")
+            chosen = [found[k] for k in order.tolist()]
+            for group, i, j in _spans(part[order]):
+                run = sorted((_join(numbers.names, first, rest), n) for first, rest, n in chosen[i:j])
+                yield lang, group, [p for p, _ in run], [n for _, n in run]
         if everything:
-            self.__init__(self.level, self.table)
+            for lang, n in self.words.items():
+                yield lang, 0, [b""], [n]
+            self.words.clear()
+            self.tries.clear()
+            self.phrases.begin_anew()
 
 
 def _blocks(langs: list, texts: list) -> Iterator[tuple[str, bytes, int]]:
@@ -302,46 +445,67 @@ def _blocks(langs: list, texts: list) -> Iterator[tuple[str, bytes, int]]:
         yield lang, b"\n".join(parts), 0
 
 
-def _depth(phrase: bytes, hot: set[bytes]) -> int:
-    """Words of a phrase up to the first that is not hot."""
-    words = phrase.split(b" ")
-    return next((i for i, w in enumerate(words, 1) if w not in hot), len(words))
-
-
-def _counts(texts: DataFrame, level: int, table: np.ndarray | None, hot: dict[str, set[bytes]]) -> DataFrame:
-    """``lang, phrase, n`` of one level. Runs meet by prefix: the words up to the first that is not hot."""
-    shared = texts.sparkSession.sparkContext.broadcast(table) if table is not None else None
+def _runs(tables: list, groups: int):
+    """Counts the phrases that pass the tables; a row is a sorted run of one prefix partition, its phrases between line feeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(level, PhraseTable(shared.value) if shared else None)
+        counter = Counter([PhraseTable(t.value) for t in tables])
 
         def out(everything: bool) -> Iterator[pa.RecordBatch]:
-            for lang, phrases, counts in counter.spill(everything):
-                stops = hot.get(lang)
-                depths = [_depth(p, stops) for p in phrases] if stops else [1] * len(phrases)
+            for lang, part, phrases, counts in counter.spill(everything, groups):
+                columns = [[lang], [part], [b"\n".join(phrases)], [np.array(counts, "<i8").tobytes()]]
+                kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(phrases), pa.string()),
-                        pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(depths, pa.int32()), pa.array(counts, pa.int64()),
-                    ],
-                    ["lang", "phrase", "depth", "n"],
-                )
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "part", "phrases", "counts"]
+                )
 
         for batch in batches:
             for lang, data, ahead in _blocks(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 counter.count(lang, data, ahead)
                 if counter.full():
                     yield from out(False)
-        yield from out(True) if counter.numbers else ()
+        yield from out(True)
 
-    runs = texts.mapInArrow(run, "lang string, phrase string, depth int, n long")
-    prefix = F.expr("substring_index(phrase, ' ', depth)")
+    return run
+
+
+def _merged(least: int):
+    """Rows sorted by prefix partition and language: the phrases of their runs that reach ``least``, and all words as the
+    empty phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, {}
+
+        def settle() -> pa.RecordBatch:
+            kept = [(p, n) for p, n in total.items() if n >= least or not p]
+            phrases = pa.array([p for p, _ in kept], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[1]] * len(kept), pa.string()), phrases, pa.array([n for _, n in kept], pa.int64())],
+                ["lang", "phrase", "n"],
+            )
+
+        for batch in batches:
+            for part, lang, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "phrases", "counts"))):
+                if (part, lang) != key and total:
+                    yield settle()
+                    total = {}
+                key = part, lang
+                get = total.get
+                for p, n in zip(phrases.split(b"\n"), np.frombuffer(counts, "<i8").tolist()):
+                    total[p] = get(p, 0) + n
+        if total:
+            yield settle()
+
+    return run
+
+
+def _counts(texts: DataFrame, tables: list, least: int, groups: int) -> DataFrame:
+    """``lang, phrase, n`` of the phrases that pass the tables and reach ``least``, and of all words as the empty phrase."""
     return (
-        runs.withColumn("prefix", prefix)
-        .repartition("lang", "prefix")
-        .groupBy("lang", "prefix", "phrase")
-        .agg(F.sum("n").alias("n"))
-        .select("lang", "phrase", "n")
+        texts.mapInArrow(_runs(tables, groups), "lang string, part int, phrases binary, counts binary")
+        .repartition(groups, "part")
+        .sortWithinPartitions("part", "lang")
+        .mapInArrow(_merged(least), "lang string, phrase string, n long")
     )
 
 
@@ -349,23 +513,19 @@ def frequent_phrases(docs: DataFrame, least: int, text_col: str = "text", lang_c
     """``lang, phrase, words, n`` of every phrase of one to ``LONGEST`` words found ``least`` times or more in its
     language, and ``lang, n`` of all words. Both are tables in the shared folder.
 
-    The texts are read three times; rows that leave a task are its own distinct phrases.
+    The texts are read five times: for their size, to sift words, pairs and longer phrases, and to count what is left.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    words = materialize(_counts(texts, 1, None, {}), "words")
-    totals = materialize(words.groupBy("lang").agg(F.sum("n").cast("long").alias("n")), "word-totals")
-    held = words.where(F.col("n") >= least)
-    hot: dict[str, set[bytes]] = {}
-    every = totals.agg(F.sum("n")).first()[0] or 0
-    for r in held.where(F.col("n") > HOT_SHARE * every).select("lang", "phrase").collect():
-        hot.setdefault(r["lang"], set()).add(r["phrase"].encode())
-    kept = [held]
-    for level, name in ((2, "word-pairs"), (3, "phrases")):
-        table = phrase_table(spark, kept[-1])
-        kept.append(materialize(_counts(texts, level, table, hot).where(F.col("n") >= least), name))
-    out = kept[0].unionAll(kept[1]).unionAll(kept[2])
-    return out.withColumn("words", F.size(F.split("phrase", " ", -1))), totals
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = min(parts_for(size, GROUP), 1 << GROUP_BITS)
+    tables: list = []
+    for level in (1, 2, 3):
+        tables.append(spark.sparkContext.broadcast(sift(texts, level, tables, least, groups)))
+    counted = materialize(_counts(texts, tables, least, groups), "phrases")
+    totals = counted.where("phrase = ''").select("lang", "n")
+    found = counted.where("phrase <> ''").withColumn("words", F.size(F.split("phrase", " ", -1)))
+    return found, totals
 
 
 def mine_collocations(
@@ -382,8 +542,8 @@ def mine_collocations(
     A null language is ``und``; a null or empty text has no words; repeated rows count as often as they come, other columns are
     ignored, an empty table gives no rows. Arithmetic is in 38-digit decimals and whole division.
 
-    All that follows the counts works on frequent phrases alone. A hot language is ranked in parts first, so no task
-    sorts more than its part and ``RANK_PARTS * top`` rows.
+    All that follows the counts works on frequent phrases alone. Phrases are ranked by ranges of the order of all
+    languages, so a hot language is no task of its own.
     """
     phrases, totals = frequent_phrases(docs, least, text_col, lang_col)
     exact = lambda c: F.col(c).cast("decimal(20,0)")
@@ -416,9 +576,12 @@ def mine_collocations(
     )
     covered = F.col("longer").isNotNull() & (exact("longer") * 100 >= exact("a") * part_of)
     kept = scored.join(covers, ["lang", "phrase"], "left").where(~covered).select("lang", "phrase", "a", "cut.*")
-    kept = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    for keys in (["lang", "part"], ["lang"]):
-        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
-    kept = kept.join(totals, "lang").withColumn("rank", F.col("rank").cast("long"))
-    return kept.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    order = ["lang", "down", "rarely", "phrase"]
+    kept = kept.withColumns({"down": -F.col("score"), "rarely": -F.col("a")})
+    placed = materialize(dense_numbers(kept, order, "place", range_rows=RANKED), "ranked")
+    first = placed.groupBy(F.col("lang").alias("its")).agg(F.min("place").alias("first"))
+    few = totals.count() <= LANGUAGES_SENT
+    sent = F.broadcast if few else (lambda df: df)
+    ranked = placed.join(sent(first), F.col("lang") == F.col("its")).withColumn("rank", F.col("place") - F.col("first") + 1)
+    ranked = ranked.where(F.col("rank") <= top).join(sent(totals), "lang")
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
