@@ -61,6 +61,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names`` for columns of one's own beside ``columns``: with as many ``_`` before them as it takes to be new."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name)
+    return out
+
+
 def null_safe(left: str, right: str, *columns: str) -> Column:
     """Equality of ``columns`` between the two aliases, nulls equal."""
     cond = F.lit(True)

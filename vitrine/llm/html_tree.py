@@ -3,8 +3,8 @@
 The pages of a host are merged into one tree: a node is a path of presentation labels (tag, classes, id). A node's presentation importance is the
 entropy of its children's sequences over the host's pages, a text's content importance one minus the entropy of its
 occurrences: what every page repeats is worth nothing. Branches with low importance are removed from each page, and so are texts that most
-pages of the host repeat under one node. Elements that are furniture by their tag go too, and those that are by their
-name, unless the tree finds them important; the rest of the main element is the text.
+pages of the host repeat under one node. Elements that are furniture by their tag or by their name go whatever the tree
+says; the tree adds to them. The rest of the main element is the text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vitrine.llm.common import materialize
+from vitrine.llm.common import free_names, materialize
 from vitrine.llm.url_rules import url_host
 
 # A branch below this composite importance is removed, on hosts with so many pages that have the branch.
@@ -29,6 +29,8 @@ MIN_PAGES = 8
 MIN_REPEATS = 3
 # How much a node's own presentation counts against what is beneath it, by its number of children.
 DAMPING = 0.9
+# A text counts for its own node and so many nodes above it, so a page's features grow with the page and not with its depth.
+ABOVE = 3
 # Features a task adds up before it lets them go.
 GATHERED = 400_000
 
@@ -61,6 +63,8 @@ NAMES = frozenset(
     " subscribe subscription comment comments disqus replies related recommended share sharing social widget widgets login signup"
     " search pagination pager masthead copyright toolbar alert alerts topbar complementary contentinfo skip hidden".split()
 )
+# Names that go even where they hold most of a page's text.
+COMMENTS = frozenset("comment comments disqus replies".split())
 MAIN = frozenset(("article", "main"))
 ARTICLE = frozenset(("article",))
 # Plain text elements of a main element are never branches to remove.
@@ -70,11 +74,13 @@ DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "path", "parent", "children", "furniture", "suspect", "named")
+    __slots__ = ("tag", "label", "path", "parent", "children", "furniture", "suspect", "comments", "named")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, furniture: bool, suspect: bool = False):
+    def __init__(
+        self, tag: str, label: str, parent: Node | None, furniture: bool, suspect: bool = False, comments: bool = False
+    ):
         self.tag, self.label, self.parent, self.furniture = tag, label, parent, furniture
-        self.suspect = suspect  # furniture by its name only
+        self.suspect, self.comments = suspect, comments  # furniture by its name only; named as comments
         self.named = label != tag
         self.children: list = []
         self.path = xxh64_intdigest(f"{parent.path if parent else 0}/{label}") >> 1
@@ -126,26 +132,31 @@ def parse(html: str) -> Node:
 
 def _clear_suspects(root: Node) -> None:
     """No article or main element is furniture by its name, nor is what holds one (at least half as long as the longest: teasers
-    do not count), nor, on a page without them, what holds more than half of the page's text. Articles
-    inside an article (comments) do not count."""
+    do not count), nor, unless it is named as comments, what holds more than half of the plain text (outside links) of its main
+    element, or of a page without one. Articles inside an article (comments) do not count."""
     nodes = list(_nodes(root))
     if not any(n.suspect for n in nodes):
         return
-    mains = [n for n in nodes if n.tag in MAIN and not _inside(n.parent, ARTICLE)]
-    for n in mains:
-        n.suspect = False
+    size = _plain_sizes(nodes)
+    within: dict[int, Node | None] = {}  # the main element, not inside another article, that a node lies in
+    mains = []
+    for n in nodes:
+        up = within.get(id(n.parent)) if n.parent else None
+        if n.tag in MAIN and not (up and _inside(n.parent, ARTICLE)):
+            mains.append(n)
+            n.suspect = False
+            up = n
+        within[id(n)] = up
     holders = {id(up) for n in mains for up in _above(n)}
-    inner = [(n, _size(n)) for n in mains if id(n) not in holders]
-    longest = max((size for _, size in inner), default=0)
-    for n, size in inner:
-        if 2 * size >= longest:
+    longest = max((size[id(n)] for n in mains if id(n) not in holders), default=0)
+    for n in mains:
+        if id(n) not in holders and 2 * size[id(n)] >= longest:
             for up in _above(n):
                 up.suspect = False
-    if not longest:
-        whole = _size(root)
-        for n in nodes:
-            if n.suspect and 2 * _size(n) > whole:
-                n.suspect = False
+    for n in nodes:
+        whole = within[id(n)] or (None if longest else root)
+        if n.suspect and not n.comments and whole and 2 * size[id(n)] > size[id(whole)]:
+            n.suspect = False
 
 
 def _above(node: Node) -> Iterator[Node]:
@@ -153,9 +164,13 @@ def _above(node: Node) -> Iterator[Node]:
         yield node
 
 
-def _size(node: Node) -> int:
-    """Characters of text beneath a node, furniture by tag left out."""
-    return sum(len(c.strip()) for n in _nodes(node) for c in n.children if isinstance(c, str))
+def _plain_sizes(nodes: list[Node]) -> dict[int, int]:
+    """Characters of text beneath each node, links and furniture by tag left out. ``nodes`` has parents first."""
+    size = {id(n): 0 if n.tag == "a" else sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in nodes}
+    for n in reversed(nodes):
+        if n.parent and n.tag != "a":
+            size[id(n.parent)] += size[id(n)]
+    return size
 
 
 def _open(node: Node, name: str, attributes: str | None) -> Node:
@@ -163,20 +178,21 @@ def _open(node: Node, name: str, attributes: str | None) -> Node:
         node = _leave(node, {"p"}, {"article", "div", "section", "td", "th", "li", "button", "main", "aside"})
     if name in SIBLINGS:
         node = _leave(node, SIBLINGS[name], SIBLING_LIMIT[name])
-    label, furniture, suspect = name, name in FURNITURE, name == "form"
+    label, furniture, suspect, comments = name, name in FURNITURE, name == "form", False
     if attributes and attributes.strip(" /\n\t"):
         found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes)}
         named = DIGITS.sub("", f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower()).strip()
         if named:
             label = f"{name}.{' '.join(sorted(named.split()))}"
-            if name not in ("html", "body") and NAMES.intersection(WORDS.findall(named)):
-                suspect = True
+            words = NAMES.intersection(WORDS.findall(named))
+            if name not in ("html", "body") and words:
+                suspect, comments = True, not COMMENTS.isdisjoint(words)
         style = found.get("style", "").replace(" ", "").lower()
         if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style:
             furniture = True
     if name == "header" and not _inside(node, MAIN):
         furniture = True
-    return Node(name, label, node, furniture, suspect)
+    return Node(name, label, node, furniture, suspect, comments)
 
 
 def _leave(node: Node, tags: set[str], limit: set[str]) -> Node:
@@ -248,7 +264,7 @@ def _nodes(root: Node) -> Iterator[Node]:
 
 def page_features(html: str) -> set[tuple[int, int, int, int, int]]:
     """What a page adds to its host's tree: ``(path, 0, number of children, suspect, hash of their sequence)`` for every node, and
-    ``(path, 1, 0, own, hash of the text)`` for every text beneath a node (``own``: in the node itself). Furniture by tag is left
+    ``(path, 1, 0, own, hash of the text)`` for every text of a node (``own``) or up to ``ABOVE`` nodes beneath it. Furniture by tag is left
     out; what is in a suspect node counts for the nodes up to that one."""
     root = parse(html)
     out = set()
@@ -259,10 +275,12 @@ def page_features(html: str) -> set[tuple[int, int, int, int, int]]:
     beneath: dict[tuple[int, int], int] = {}
     for owner, text in _texts(root, lambda n: n.furniture):
         feature, own = xxh64_intdigest(text) >> 1, 1
-        while owner:
+        for _ in range(ABOVE + 1):
             beneath[owner.path, feature] = own or beneath.get((owner.path, feature), 0)
             own = 0
-            owner = None if owner.suspect else owner.parent
+            if owner.suspect or not owner.parent:
+                break
+            owner = owner.parent
     out.update((path, 1, 0, own, feature) for (path, feature), own in beneath.items())
     return out
 
@@ -339,32 +357,28 @@ def low_branches(tree: DataFrame, threshold: float = LOW_IMPORTANCE, min_pages:
 
 
 def _judged(sums: DataFrame) -> DataFrame:
-    """``_host, _low, _high, _common``: each host's paths with low importance, its suspect paths without, and the
-    texts (path xor hash) that more than half of its pages have under one node."""
-    tree = _importance(sums).where(F.col("pages") >= MIN_PAGES)
-    is_low, none = F.col("importance") < LOW_IMPORTANCE, F.lit(None).cast("long")
-    paths = tree.where(is_low | F.col("suspect")).select(
-        "host", F.when(is_low, F.col("path")).alias("low"), F.when(~is_low, F.col("path")).alias("high"), none.alias("common")
-    )
+    """``_host, _low, _common``: each host's paths with low importance, and the texts (path xor hash) that more than
+    half of its pages have under one node."""
+    none = F.lit(None).cast("long")
+    low = _importance(sums).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW_IMPORTANCE))
+    paths = low.select("host", F.col("path").alias("low"), none.alias("common"))
     whole = sums.where(F.col("path") == ROOT_PATH).groupBy(F.col("host").alias("h")).agg(F.sum("pages").alias("all"))
     texts = sums.where("text is not null").select("host", F.col("path").bitwiseXOR(F.col("text")).alias("common"), "times")
     common = texts.join(whole, F.col("host") == F.col("h")).where(F.col("times") * 2 > F.col("all"))
-    rows = paths.unionAll(common.select("host", none.alias("low"), none.alias("high"), "common"))
-    return rows.groupBy(F.col("host").alias("_host")).agg(*(F.collect_set(c).alias(f"_{c}") for c in ("low", "high", "common")))
+    rows = paths.unionAll(common.select("host", none.alias("low"), "common"))
+    return rows.groupBy(F.col("host").alias("_host")).agg(*(F.collect_set(c).alias(f"_{c}") for c in ("low", "common")))
 
 
-def main_text(
-    html: str | None, low: set[int] = frozenset(), high: set[int] = frozenset(), common: set[int] = frozenset()
-) -> str:
-    """The main text of a page: its blocks joined by an empty line. ``low``, ``high`` and ``common`` are what its
-    host's tree says: branches of low importance, suspect branches that are important, and texts most pages have."""
+def main_text(html: str | None, low: set[int] = frozenset(), common: set[int] = frozenset()) -> str:
+    """The main text of a page: its blocks joined by an empty line. ``low`` and ``common`` are what its host's tree says: branches of low
+    importance, and texts most pages have."""
     if not html:
         return ""
     root = parse(html)
     mains = [n for n in _nodes(root) if n.tag in MAIN and not _inside(n.parent, MAIN)]
 
     def dropped(node: Node) -> bool:
-        if node.furniture or (node.suspect and node.path not in high):
+        if node.furniture or node.suspect:
             return True
         if node.path not in low or node.tag in MAIN or node.tag in ("html", "body"):
             return False
@@ -377,12 +391,13 @@ def main_text(
     if mains:
         # Of articles and main elements those are taken whose longest has more text.
         size = dict.fromkeys(map(id, mains), 0)
+        holder = _holders(size)
         for node, text in blocks:
-            if found := _under(node, size):
+            if found := holder(node):
                 size[found] += len(text)
         longest = max(mains, key=lambda n: (size[id(n)], n.tag == "article"))
-        chosen = {id(n) for n in mains if n.tag == longest.tag}
-        blocks = [(n, t) for n, t in blocks if _under(n, chosen)]
+        holder = _holders({id(n) for n in mains if n.tag == longest.tag})
+        blocks = [(n, t) for n, t in blocks if holder(n)]
     elif not blocks:
         # Repeated pages make their own text look like furniture: a page does not lose all it has.
         blocks = _texts(root, lambda n: n.furniture or n.suspect) or _texts(root, lambda n: n.furniture)
@@ -391,13 +406,20 @@ def main_text(
     return "\n\n".join(t for _, t in rest or blocks)
 
 
-def _under(node: Node | None, chosen) -> int:
-    """The id of the innermost node of ``chosen`` that holds the node, or 0."""
-    while node:
-        if id(node) in chosen:
-            return id(node)
-        node = node.parent
-    return 0
+def _holders(chosen):
+    """A function that gives the id of the innermost node of ``chosen`` that holds a node, or 0; it climbs each node once."""
+    known: dict[int, int] = {}
+
+    def holder(node: Node) -> int:
+        climbed, up = [], node
+        while up and id(up) not in known and id(up) not in chosen:
+            climbed.append(id(up))
+            up = up.parent
+        found = 0 if not up else id(up) if id(up) in chosen else known[id(up)]
+        known.update(dict.fromkeys(climbed, found))
+        return found
+
+    return holder
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -417,15 +439,17 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     columns = pages.columns
     sums = materialize(tree_sums(pages, url_col, html_col), "tree")
     low = materialize(_judged(sums), "branches")
-    joined = pages.withColumn("_h", url_host(F.col(url_col))).join(low, F.col("_h") == F.col("_host"), "left")
+    h, host, low_col, common_col = free_names(columns, "h", "host", "low", "common")
+    low = low.toDF(host, low_col, common_col)
+    joined = pages.withColumn(h, url_host(F.col(url_col))).join(low, F.col(h) == F.col(host), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            judged = zip(*(batch.column(c).to_pylist() for c in (html_col, "_low", "_high", "_common")))
+            judged = zip(*(batch.column(c).to_pylist() for c in (html_col, low_col, common_col)))
             texts = [main_text(html, *(set(found or ()) for found in sets)) for html, *sets in judged]
             out = [batch.column(i) for i in range(len(columns))]
             out += [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(out, [*columns, "text", "n_chars"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return joined.select(*columns, "_low", "_high", "_common").mapInArrow(run, f"{schema}, text string, n_chars long")
+    return joined.select(*(F.col(f"`{c}`") for c in columns), low_col, common_col).mapInArrow(run, f"{schema}, text string, n_chars long")
