@@ -40,12 +40,12 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
-def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Array of ``host_suffix || path_prefix`` for every suffix that starts at a
-    label and every prefix length that some rule has."""
-    labels = F.split(host, r"\.")
-    count = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(labels, i, count), "."))
+def _expressions(host: Column, path: Column, labels: int, lengths: list[int]) -> Column:
+    """Array of ``host_suffix || path_prefix`` for every suffix of at most ``labels`` labels (those of the longest rule) and
+    every prefix length that some rule has, so the rules bound a row's expressions, however long its URL."""
+    end = F.split(F.substring_index(host, ".", -labels), r"\.")
+    count = F.size(end)
+    suffixes = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(end, i, count), "."))
     suffixes = F.when(host == "", F.array().cast("array<string>")).otherwise(suffixes)
     kept = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     prefixes = F.transform(kept, lambda n: F.substring(path, F.lit(1), n))
@@ -70,42 +70,43 @@ def match_url_rules(
     a fitting rule ``rule`` is null and the verdict is ``default``.
 
     Null URLs and URLs without ``://`` have empty host and path and get the default.
-    Repeated rows are judged once and returned as often as they came; other
+    Repeated rows are returned as often as they came; other
     columns are ignored; empty tables give no rows; an empty rule
     table gives the default everywhere. Rules with a null field are ignored.
 
-    Scale: rows are first pre-aggregated by (id, URL), so a repeated URL is one row
-    a task before the only shuffle; the expressions never leave their task while the rules
-    fit a broadcast (checked count), because the second grouping has the keys of the first.
+    Scale: rows are numbered where they are read; expressions, digests and, while the rules fit a broadcast (checked
+    count), the join run in the scan's tasks, and each row leaves them as one partial aggregate. The only shuffle is by
+    row number, so no URL is too frequent.
     """
     rule = (
         rules.where("host is not null and path is not null and verdict is not null")
         .select(
             F.concat("host", "path").alias("rule"), F.length("host").alias("host_len"),
-            F.length("path").alias("path_len"), "verdict",
+            F.length("path").alias("path_len"), F.size(F.split("host", r"\.")).alias("labels"), "verdict",
         )
-        .groupBy("rule", "host_len", "path_len")
+        .groupBy("rule", "host_len", "path_len", "labels")
         .agg(F.max("verdict").alias("verdict"))  # "block" sorts after "allow"
     )
     # One row: the distinct path lengths, at most as many as the longest path has characters.
-    stats = rule.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("path_len")).alias("lens")).first()
+    stats = rule.agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_set("path_len")).alias("lens"), F.max("labels").alias("labels")
+    ).first()
     hashed = rule.withColumn("digest", F.sha2("rule", 256)).withColumn(
         "short", F.substring("digest", 1, PREFIX_DIGITS)
     )
-    rows = (
-        pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
-        .groupBy("_id", "_url")
-        .agg(F.count("*").alias("_n"))
+    rows = pages.select(
+        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"),
+        url_host(F.col(url_col)).alias("_host"), url_path(F.col(url_col)).alias("_path"),
     )
-    expr = _expressions(url_host(F.col("_url")), url_path(F.col("_url")), list(stats["lens"]) or [0])
+    expr = _expressions(F.col("_host"), F.col("_path"), stats["labels"] or 1, list(stats["lens"]) or [0])
     asked = rows.select(
-        "_id", "_url", "_n", F.explode_outer(F.transform(expr, lambda e: F.sha2(e, 256))).alias("_digest")
+        "_row", "_id", "_host", "_path", F.explode_outer(F.transform(expr, lambda e: F.sha2(e, 256))).alias("_digest")
     ).withColumn("_short", F.substring("_digest", 1, PREFIX_DIGITS))
     if stats["n"] <= BROADCAST_RULES:
         joined = asked.join(F.broadcast(hashed), F.col("_short") == F.col("short"), "left")
     else:
         salted = hashed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        asked = asked.withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(SALTS)).cast("int"))
+        asked = asked.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
         joined = asked.join(
             salted, (F.col("_short") == F.col("short")) & (F.col("_salt") == F.col("salt")), "left"
         )
@@ -115,12 +116,13 @@ def match_url_rules(
             F.length("rule").alias("length"), F.col("host_len"), F.col("rule").alias("rule"), F.col("verdict")
         ),
     )
-    best = joined.groupBy("_id", "_url", "_n").agg(F.max(confirmed).alias("_best"))
+    best = joined.groupBy("_row").agg(
+        *(F.any_value(c).alias(c) for c in ("_id", "_host", "_path")), F.max(confirmed).alias("_best")
+    )
     return best.select(
         F.col("_id").alias(id_col),
-        url_host(F.col("_url")).alias("host"),
-        url_path(F.col("_url")).alias("path"),
+        F.col("_host").alias("host"),
+        F.col("_path").alias("path"),
         F.col("_best.rule").alias("rule"),
         F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"),
-    ).drop("_copy")
+    )
