@@ -3,9 +3,9 @@
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens. The pieces are dealt
 to partitions; each packs its own by best-fit decreasing and compares its bin
 count with a lower bound from dual feasible functions. A partition whose count
-meets the bound is certified. Pieces in bins with room left are exchanged between
-partitions and packed again, in ever fewer partitions, while the corpus as
-a whole has more bins than its own bound.
+meets the bound is certified and keeps its bins, but the emptiest. Those with a gap exchange the pieces of
+their bins with room left and pack again, in ever fewer partitions, while the corpus as
+a whole has more bins than its own bound; if that gains nothing more, certified partitions give up their bins with room too.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.bpe import word_encoder
-from vitrine.llm.common import materialize, parts_for
+from vitrine.llm.common import free_names, materialize, parts_for
 
 # Pieces a packing task holds (about 100 bytes each in Python).
 PIECES_PER_PARTITION = 50_000
-# Exchanges at most; every one works on the pieces of bins with room left.
-EXCHANGES = 6
+# Bits of a bin's and a partition's number in a sequence id; the round stands above them.
+BIN_BITS, PART_BITS = 28, 26
 
 
 def token_pieces(
@@ -127,92 +127,127 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _packer(round_no: int, capacity: int):
+FULL, CERTIFIED, LOOSE = 2, 1, 0
+
+
+def _packer(round_no: int, capacity: int, certify: bool):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_row", ignore_index=True)
         size = pdf["length"].to_numpy()
         bins, offsets, fills = best_fit_decreasing(size, capacity)
         part = int(pdf["_part"].iloc[0])
+        bound = dual_feasible_bound(np.bincount(size, minlength=capacity + 1), capacity)
+        state = np.where(fills == capacity, FULL, LOOSE)
+        if certify and len(fills) == bound:
+            state[(state == LOOSE) & (np.arange(len(fills)) != np.argmin(fills))] = CERTIFIED
         # Negative, so that they differ from the row numbers that whole pieces use as ids.
-        ids = -1 - ((np.int64(round_no) << 58) | (np.int64(part) << 30) | bins)
+        ids = -1 - ((np.int64(round_no) << BIN_BITS + PART_BITS) | (np.int64(part) << BIN_BITS) | bins)
         return pd.DataFrame(
             {
-                "_row": pdf["_row"], "length": size, "sequence_id": ids, "offset": offsets, "_fill": fills[bins],
-                "_part": np.int32(part), "_bound": dual_feasible_bound(np.bincount(size, minlength=capacity + 1), capacity),
+                "_row": pdf["_row"], "length": size, "sequence_id": ids, "offset": offsets, "_state": state[bins].astype(np.int32),
+                "_part": np.int32(part), "_bound": bound,
             }
         )
 
     return pack
 
 
-def _summary(packed: DataFrame, capacity: int):
-    """One row: bins, bins with room left, pieces in them, and partitions that miss their bound."""
-    first, room = F.col("offset") == 0, F.col("_fill") < capacity
+def _summary(packed: DataFrame):
+    """One row: bins, loose and certified bins, pieces in loose ones, and partitions that miss their bound."""
+    first, loose = F.col("offset") == 0, F.col("_state") == LOOSE
     return (
         packed.groupBy("_part")
         .agg(
-            F.count_if(first).alias("bins"),
-            F.max("_bound").alias("bound"),
-            F.count_if(first & room).alias("open_bins"),
-            F.count_if(room).alias("open_pieces"),
+            F.count_if(first).alias("bins"), F.max("_bound").alias("bound"),
+            F.count_if(first & loose).alias("open_bins"), F.count_if(loose).alias("open_pieces"),
+            F.count_if(first & (F.col("_state") == CERTIFIED)).alias("certified_bins"),
         )
         .agg(
-            F.coalesce(F.sum("bins"), F.lit(0)).alias("bins"),
-            F.coalesce(F.sum("open_bins"), F.lit(0)).alias("open_bins"),
-            F.coalesce(F.sum("open_pieces"), F.lit(0)).alias("open_pieces"),
+            *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bins", "open_bins", "open_pieces", "certified_bins")),
             F.count_if(F.col("bins") > F.col("bound")).alias("uncertified"),
         )
         .first()
-    )
+    )
 
 
-def pack_best_fit(pieces: DataFrame, capacity: int, exchanges: int = EXCHANGES) -> DataFrame:
+def pack_best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` (with ``length``, 1 to ``capacity``) plus ``sequence_id`` and ``offset``: every piece once, the
     offsets of a sequence gapless from 0.
 
     A piece that fills a sequence alone needs no packing. The others are dealt evenly to partitions of about
     ``PIECES_PER_PARTITION``; each packs by best-fit decreasing and states its bin count and its dual feasible bound.
-    The counts of lengths (at most ``capacity`` rows) give the bound of the whole corpus. While the corpus has more bins
-    than that, the pieces of all bins with room left are exchanged: dealt out anew, to the fewest partitions
-    that the limit allows, and packed again. An exchange is taken over if it needs fewer bins; full bins cannot be
-    improved and stay. It ends at the bound, after ``exchanges``, or when packing all that is open in
-    one partition gains nothing.
+    Full bins are final. A partition that meets its bound keeps its bins but the emptiest. The counts of lengths (at most
+    ``capacity`` rows) give the bound of the whole corpus. While the corpus has more bins than that, the pieces of the other
+    bins are exchanged: dealt out anew, to half as many partitions (as few as the limit allows), and packed again. An exchange is taken over if
+    it needs fewer bins. When one into the fewest partitions gains nothing, the certified partitions give up their bins with
+    room as well, and exchanges go on until one gains nothing or the bound is met; :func:`packing_gap` states what is left.
 
     The best-fit loop runs inside tasks on bounded partitions; the driver sees counts and at most ``capacity`` sums.
-    Repeated rows are packed as often as they come; an empty table gives no rows.
+    Repeated rows are packed as often as they come; other columns are kept; an empty table gives no rows.
     """
     names = pieces.columns
-    base = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    counts = np.zeros(capacity + 1, np.int64)
-    for r in base.groupBy("length").agg(F.count("*").alias("n")).collect():
-        counts[r["length"]] = r["n"]
+    (row,) = free_names(names, "row")
+    base = materialize(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    counts = _length_counts(base, capacity)
     bound = dual_feasible_bound(counts, capacity)
     full = F.col("length") == capacity
-    result = base.where(full).select(*names, F.col("_row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    schema = "_row long, length long, sequence_id long, offset long, _fill long, _part int, _bound long"
+    result = base.where(full).select(*names, F.col(row).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    schema = "_row long, length long, sequence_id long, offset long, _state int, _part int, _bound long"
     closed_bins, left = int(counts[capacity]), int(counts[:capacity].sum())
     if left == 0:
         return result
-    loose, kept, open_bins, placed = base.where(~full).select("_row", "length"), None, None, []
-    for round_no in range(exchanges + 1):
-        parts = parts_for(left, PIECES_PER_PARTITION)
+    loose, kept, open_bins = base.where(~full).select(F.col(row).alias("_row"), "length"), None, None
+    placed, aside, aside_bins, certify, round_no = [], [], 0, True, 0
+    parts = parts_for(left, PIECES_PER_PARTITION)
+    while True:
         dealt = loose.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(round_no)), F.lit(parts)).cast("int"))
         packed = materialize(
-            dealt.groupBy("_part").applyInPandas(_packer(round_no, capacity), schema), f"packed{round_no}"
+            dealt.groupBy("_part").applyInPandas(_packer(round_no, capacity, certify), schema), f"packed{round_no}"
         )
-        s = _summary(packed, capacity)
+        s = _summary(packed)
+        fewest = parts_for(left, PIECES_PER_PARTITION)
         if open_bins is None or s["bins"] < open_bins:
-            placed.append(packed.where(F.col("_fill") == capacity))
-            kept = packed.where(F.col("_fill") < capacity)
-            loose = kept.select("_row", "length")
-            closed_bins += s["bins"] - s["open_bins"]
+            placed.append(packed.where(F.col("_state") == FULL))
+            if s["certified_bins"]:
+                aside.append(packed.where(F.col("_state") == CERTIFIED))
+                aside_bins += s["certified_bins"]
+            kept = packed.where(F.col("_state") == LOOSE)
+            closed_bins += s["bins"] - s["open_bins"] - s["certified_bins"]
             open_bins, left = s["open_bins"], s["open_pieces"]
-            if left == 0 or closed_bins + open_bins <= bound:
-                break
-        elif parts == 1:
+            gained = left > 0
+        else:
+            gained = parts > fewest
+        if closed_bins + aside_bins + open_bins <= bound:
             break
-    placed.append(kept)
+        if not gained:
+            if not aside:
+                break
+            for more in aside:
+                kept = kept.unionAll(more)
+            left, open_bins = kept.count(), open_bins + aside_bins
+            aside, aside_bins, certify = [], 0, False
+            parts = 2 * parts_for(left, PIECES_PER_PARTITION)
+        loose = kept.select("_row", "length")
+        parts = max(parts_for(left, PIECES_PER_PARTITION), parts // 2)
+        round_no += 1
+    placed += [kept, *aside]
     plan = placed[0].select("_row", "sequence_id", "offset")
     for more in placed[1:]:
         plan = plan.unionAll(more.select("_row", "sequence_id", "offset"))
-    return result.unionAll(base.where(~full).join(plan, "_row").select(*names, "sequence_id", "offset"))
+    at = plan.withColumnRenamed("_row", f"{row}_placed")
+    joined = base.where(~full).join(at, F.col(row) == F.col(f"{row}_placed"))
+    return result.unionAll(joined.select(*names, "sequence_id", "offset"))
+
+
+def _length_counts(pieces: DataFrame, capacity: int) -> np.ndarray:
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():
+        counts[r["length"]] = r["n"]
+    return counts
+
+
+def packing_gap(packed: DataFrame, capacity: int) -> dict[str, int]:
+    """``sequences``, ``bound`` and ``gap`` of a result of :func:`pack_best_fit`: no packing has fewer than ``bound``."""
+    sequences = packed.where(F.col("offset") == 0).count()
+    bound = dual_feasible_bound(_length_counts(packed, capacity), capacity)
+    return {"sequences": sequences, "bound": bound, "gap": sequences - bound}
