@@ -118,6 +118,33 @@ def test_exchange_between_partitions(spark, monkeypatch):
     assert len({r["sequence_id"] for r in got}) <= 1.05 * bound
 
 
+def test_certified_partitions_keep_their_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_PARTITION", 40)
+    dealt = []
+    monkeypatch.setattr(packing, "_summary", lambda packed, keep=packing._summary: dealt.append(packed.collect()) or keep(packed))
+    rnd = random.Random(2)
+    pieces = spark.createDataFrame([(i, rnd.choice([30, 35, 50, 51, 70])) for i in range(500)], "n long, length long")
+    packed = packing.pack_best_fit(pieces, 100)
+    gap = packing.packing_gap(packed, 100)
+    assert gap["sequences"] == len({r["sequence_id"] for r in packed.collect()}) and gap["gap"] >= 0
+    # Of a certified partition one bin at most takes part in the next exchange.
+    again, parts = {r["_row"] for r in dealt[1]}, {}
+    for r in dealt[0]:
+        parts.setdefault(r["_part"], []).append(r)
+    certified = [rows for rows in parts.values() if len({r["sequence_id"] for r in rows}) == rows[0]["_bound"]]
+    assert certified
+    for rows in certified:
+        assert len({r["sequence_id"] for r in rows if r["_row"] in again}) <= 1
+
+
+def test_one_partition_ends_the_exchange(spark):
+    rnd = random.Random(4)
+    pieces = spark.createDataFrame([(i, rnd.randint(34, 66)) for i in range(300)], "n long, length long")
+    packed = packing.pack_best_fit(pieces, 100)
+    _, _, fills = packing.best_fit_decreasing(np.array([r["length"] for r in pieces.collect()]), 100)
+    assert packing.packing_gap(packed, 100)["sequences"] == len(fills)
+
+
 def test_dual_feasible_bound_is_a_lower_bound():
     for seed in range(30):
         rnd = random.Random(seed)
@@ -222,6 +249,14 @@ def test_repeats(documents, hostile, nothing, monkeypatch, hot):
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+def test_texts_forced_to_one_number_lose_nothing(documents, monkeypatch):
+    monkeypatch.setattr(repeats, "NUMBER_DIGITS", 1)
+    pairs = texts_of(documents)
+    want = sorted((str(i), *w) for (i, _), w in zip(pairs, brute_repeats(pairs)))
+    got = rows_of(repeats.remove_repeats(documents))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
 def test_strings_of_a_hot_anchor_are_never_held_as_a_bucket(monkeypatch):
     """A line in many contexts that differ in a few bytes at its edges: one row a string, nothing to refine."""
     import pyarrow as pa
@@ -238,7 +273,7 @@ def test_strings_of_a_hot_anchor_are_never_held_as_a_bucket(monkeypatch):
     tasks = [pa.RecordBatch.from_pydict({n: c[at : at + 100] for n, c in columns.items()}) for at in range(0, 400, 100)]
     rows = [r for task in tasks for b in repeats._context_rows(100, 40)(iter([task])) for r in b.to_pylist()]
     strings = [r["bytes"] for r in rows if r["bytes"] is not None]
-    assert all(len(b) == 16 for b in strings)
+    assert all(len(b) == 100 for b in strings)
     assert max(map(strings.count, set(strings))) <= 8  # a partial row each time a task lets its strings go
     monkeypatch.setattr(repeats, "refine", lambda *a: pytest.fail("a bucket was held"))
     rows.sort(key=lambda r: r["key"])
@@ -472,16 +507,6 @@ def test_no_article_is_furniture_by_its_name(html, want):
     assert main_text(f"<html><body>{html}</body></html>") == want
 
 
-def test_the_tree_confirms_a_name(spark):
-    def page(i):
-        return f"<body><article><p>Story {i}</p><div class='search-tips'><p>Tip {i}</p></div><div class='share'><p>Share it</p></div></article></body>"
-
-    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(20, "http://one.example/1", page(20))]
-    got = {r["page_id"]: r["text"] for r in rows_of(extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
-    assert all(got[i] == f"Story {i}\n\nTip {i}" for i in range(12))
-    assert got[20] == "Story 20"
-
-
 def test_pages_of_the_fixture(spark):
     from html import unescape
     from re import S, search, split, sub

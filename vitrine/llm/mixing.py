@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import WORD, materialize
+from vitrine.llm.common import WORD, free_names, materialize
 
 DIMS = ["source", "lang", "topic"]
 # Tokens to keep, as a share of all, and the power that flattens the corpus's own shares into targets (1 keeps
@@ -126,9 +126,10 @@ def sampled_mixture(
 def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that :func:`sampled_mixture` samples, all columns as they are.
 
-    Joined by id and length in words; rows that share both share one decision (the first by cell order).
+    Joined by id and length in words; rows that share both stay together if one of them is sampled.
     """
     found = sampled_mixture(docs, id_col, text_col, **options)
-    keep = found.groupBy(F.col(id_col).alias("_k"), F.col("n_tokens").alias("_n")).agg(F.max("sampled").alias("_s")).where("_s")
+    k, n, s = free_names(docs.columns, "k", "n", "s")
+    keep = found.groupBy(F.col(id_col).alias(k), F.col("n_tokens").alias(n)).agg(F.max("sampled").alias(s)).where(s)
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_k")) & (words == F.col("_n")), "left_semi")
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(k)) & (words == F.col(n)), "left_semi")

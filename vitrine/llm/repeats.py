@@ -8,7 +8,7 @@ alone in its bucket is settled and takes no further part.
 Only content-defined suffixes are dealt out: of each string of ``span`` bytes the smallest q-gram (by hash, the
 leftmost of equals) is its anchor, so equal strings have equal anchors at equal places. Anchors seen once are
 settled. The others ship the bytes around them, and every string they own is refined in its anchor's bucket. Anchors
-that very many texts share would be one unbounded bucket; their strings are compared by 128-bit digests instead.
+that very many texts share would be one unbounded bucket; each of their strings is a bucket of its own, by its bytes.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from vitrine.llm.common import materialize
+from vitrine.llm.common import free_names, materialize
+from vitrine.operators.ranks import dense_numbers
 
 SPAN = 100
 GRAM = 40
@@ -32,13 +34,15 @@ GATHERED = 500_000
 AROUND = 80_000
 BATCH = 20_000
 # A bucket of so many places (up to span - gram + 1 strings each) is refined in one task. Of an anchor with more, every string is
-# keyed by a digest of its own bytes, and only the first place of each string that a task meets is shipped.
+# keyed by its own bytes, and only the first place of each string that a task meets is shipped.
 HOT = 20_000
 # Distinct strings of hot anchors that a task gathers, and the mark of their rows.
 STRINGS = 200_000
 STRING = -2
 # Up to so many hot anchors (9 bytes each) are sent to every task; more are joined by a shuffle.
 HOT_SENT = 500_000
+# Hex digits of a text's digest that are its number, and up to how many texts with another number are sent to every task.
+NUMBER_DIGITS, OTHERS_SENT = 15, 100_000
 # Windows refined at once in a task, and those whose bytes are compared at once.
 REFINED = 150_000
 COMPARED = 8_000
@@ -210,12 +214,12 @@ def _context_rows(span: int, gram: int):
         strings: dict[bytes, tuple[int, int, int]] = {}  # the first place of each string of a hot anchor
         repeats: dict[tuple[int, int], list[list[int]]] = {}
 
-        def add(i: int, doc: int, at: int, digest: bytes) -> None:
-            new, old = (i, doc, at), strings.setdefault(digest, (i, doc, at))
+        def add(i: int, doc: int, at: int, string: bytes) -> None:
+            new, old = (i, doc, at), strings.setdefault(string, (i, doc, at))
             if new == old:
                 return
             if new < old:
-                strings[digest], new = new, old
+                strings[string], new = new, old
             spans = repeats.setdefault(new[:2], [])
             if spans and spans[-1][0] <= new[2] <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], new[2] + span)
@@ -232,7 +236,7 @@ def _context_rows(span: int, gram: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         def release_strings() -> Iterator[pa.RecordBatch]:
-            rows = [(int.from_bytes(d[:8], "little", signed=True), i, doc, STRING, at, at, d) for d, (i, doc, at) in strings.items()]
+            rows = [(xxh64_intdigest(x) - (1 << 63), i, doc, STRING, at, at, x) for x, (i, doc, at) in strings.items()]
             yield from batches_of(rows, repeats)
             strings.clear()
             repeats.clear()
@@ -258,7 +262,7 @@ def _context_rows(span: int, gram: int):
                     for p, h, a, b in zip(*(x[chosen].tolist() for x in (place, bucket.view(np.int64), first, last))):
                         if p in hot:
                             for at in range(a, b + 1):
-                                add(i, doc, at, hashlib.blake2b(data[at : at + span], digest_size=16).digest())
+                                add(i, doc, at, data[at : at + span])
                         else:
                             held.setdefault((h, p - a, data[a : b + span]), []).append((i, doc, p, a, b))
                             count += 1
@@ -409,6 +413,31 @@ def _repeat_rows(span: int):
 # ---------------------------------------------------------------- operator
 
 
+def _digest_number(digest: str) -> Column:
+    return F.conv(F.substring(digest, 1, NUMBER_DIGITS), 16, 10).cast("long")
+
+
+def other_numbers(texts: DataFrame) -> DataFrame | None:
+    """``digest, other`` of the texts whose ``_digest_number`` an earlier text (by digest) has, numbered from 2^60 on; None if there
+    are none, as is nearly always so. With these, numbers tell all texts apart."""
+    number = _digest_number("digest")
+    shared = texts.groupBy(number.alias("number")).agg(F.count("*").alias("n"), F.min("digest").alias("first")).where("n > 1")
+    shared = materialize(shared, "numbers-shared")
+    if shared.isEmpty():
+        return None
+    later = texts.select("digest", number.alias("number")).join(shared, "number").where("digest <> first").select("digest")
+    return materialize(dense_numbers(later, ["digest"], "other", start=1 << 60), "numbers-other")
+
+
+def _numbered(df: DataFrame, others: DataFrame | None) -> DataFrame:
+    """``df`` plus ``doc``, the number of its ``digest``."""
+    if others is None:
+        return df.withColumn("doc", _digest_number("digest"))
+    others = F.broadcast(others) if others.count() <= OTHERS_SENT else others
+    joined = df.join(others, "digest", "left").withColumn("doc", F.coalesce("other", _digest_number("digest")))
+    return joined.drop("other")
+
+
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM
 ) -> DataFrame:
@@ -425,12 +454,13 @@ def repeated_spans(
         F.coalesce(F.col(id_col), F.lit(low)).cast("long").alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).withColumn("digest", F.sha2("text", 256))
-    # The document's number in all steps: 63 bits of its digest.
-    base = base.withColumn("doc", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
     meta = materialize(
         base.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).distinct(), "texts"
     )
     first = meta.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("n_bytes").alias("n_bytes"))
+    # The document's number in all steps.
+    others = other_numbers(first)
+    base, meta = _numbered(base, others), _numbered(meta, others)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = base.select("text", "doc").mapInArrow(
@@ -451,8 +481,7 @@ def repeated_spans(
         .groupBy("doc")
         .agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("is_hot"), F.col("place"))).alias("hot"))
     )
-    number = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
-    asked = first.withColumn("doc", number).join(places, "doc").select(
+    asked = _numbered(first, others).join(places, "doc").select(
         F.col("first_id").alias("id"), F.col("digest"), "places", "hot"
     )
     contexts = (
@@ -468,7 +497,7 @@ def repeated_spans(
         .groupBy("id", "doc")
         .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     )
-    status = meta.withColumn("doc", number).join(first.select("digest", "first_id"), "digest")
+    status = meta.join(first.select("digest", "first_id"), "digest")
     found = status.join(spans, ["id", "doc"], "left").select(
         F.col("id").alias("_id"), F.col("digest").alias("_digest"), "n_bytes",
         (F.col("id") != F.col("first_id")).alias("is_copy"), "spans",
@@ -495,17 +524,19 @@ def remove_repeats(
     docs = docs.drop(*added)
     columns = docs.columns
     spans = repeated_spans(docs, id_col, text_col, span)
-    rows = docs.select("*", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_d"))
+    d, i, digest, size, copied, found = free_names(columns, "d", "id", "digest", "n_bytes", "copy", "spans")
+    rows = docs.select("*", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias(d))
     low = F.lit(-(1 << 63))
-    joined = rows.join(
-        spans, (F.coalesce(F.col(id_col), low) == F.col("_id")) & (F.col("_d") == F.col("_digest"))
-    ).select(*columns, "_d", "n_bytes", F.col("is_copy").alias("_copy"), F.col("spans").alias("_spans"))
+    spans = spans.toDF(i, digest, size, copied, found)
+    joined = rows.join(spans, (F.coalesce(F.col(id_col), low) == F.col(i)) & (F.col(d) == F.col(digest)))
+    joined = joined.select(*(F.col(f"`{c}`") for c in columns), d, size, copied, found)
     place = columns.index(text_col)
+    added_names = (d, size, copied, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed, runs, kept = [], [], [], []
-            extra = [batch.column(n).to_pylist() for n in ("_d", "n_bytes", "_copy", "_spans")]
+            extra = [batch.column(n).to_pylist() for n in added_names]
             for text, digest, size, copy, found in zip(batch.column(text_col).to_pylist(), *extra):
                 if copy and size >= span:
                     cuts = [(0, size)]
@@ -524,7 +555,7 @@ def remove_repeats(
                 kept.append(digest)
             out = [batch.column(i) for i in range(len(columns))]
             out[place] = pa.array(texts, pa.string())
-            out += [batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())]
+            out += [batch.column(added_names[1]), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(out, [*columns, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
