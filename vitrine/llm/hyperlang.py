@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1024
 GRAM = 3
 SEED = 20240607
-# Letters are code points modulo this; the first planes, which hold the letters of most scripts, have a row each.
-LETTERS = 1 << 14
+# Letters are code points, all of them below this.
+LETTERS = 1 << 21
 # Training uses about so many texts of each language (all, if it has fewer), chosen by a hash of the id.
 TRAIN_PER_LANGUAGE = 5000
 # More labels than this are not languages; training stops with an error. It bounds what the driver
@@ -33,11 +33,19 @@ class Profiles:
     """Letter vectors and text vectors."""
 
     def __init__(self, dimensions: int = DIMENSIONS, gram: int = GRAM, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        letters = (2 * rng.integers(0, 2, (LETTERS, dimensions), dtype=np.int8) - 1).astype(np.int8)
-        self.places = [np.roll(letters, gram - 1 - k, axis=1) for k in range(gram)]
-        self.gram = gram
-        self.dimensions = dimensions
+        if LETTERS**gram > 1 << 63 or dimensions % 64:
+            raise ValueError("n-grams of up to three letters, dimensions in multiples of 64")
+        self.seed, self.gram, self.dimensions = seed, gram, dimensions
+
+    def letters(self, points: np.ndarray) -> np.ndarray:
+        """The random vector of each code point: the bits of a hash of the point and the place, so every letter has its own and no
+        table of them is held."""
+        words = np.arange(self.dimensions // 64, dtype=np.uint64)
+        z = (points.astype(np.uint64)[:, None] << np.uint64(16)) + words + np.uint64(self.seed * 0x9E3779B97F4A7C15 % 2**64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        bits = np.unpackbits((z ^ (z >> np.uint64(32))).view(np.uint8), axis=1)
+        return (2 * bits.astype(np.int8) - 1).astype(np.int8)
 
     def codes(self, text: str) -> np.ndarray:
         """The n-grams of a text as numbers, one for each occurrence: lower case, runs of other characters than letters
@@ -48,7 +56,7 @@ class Profiles:
         words = " ".join(words.split())
         if not words:
             return np.zeros(0, np.int64)
-        points = np.frombuffer(f" {words} ".encode("utf-32-le"), np.uint32).astype(np.int64) % LETTERS
+        points = np.frombuffer(f" {words} ".encode("utf-32-le"), np.uint32).astype(np.int64)
         n = len(points) - self.gram + 1
         code = np.zeros(max(n, 0), np.int64)
         for k in range(self.gram):
@@ -58,9 +66,11 @@ class Profiles:
     def vectors(self, codes: np.ndarray) -> np.ndarray:
         """Bound vectors of n-grams."""
         out = np.ones((len(codes), self.dimensions), np.int8)
-        for k in reversed(range(self.gram)):
-            out *= self.places[k][codes % LETTERS]
-            codes = codes // LETTERS
+        points = [(codes // LETTERS ** (self.gram - 1 - k)) % LETTERS for k in range(self.gram)]
+        met, place = np.unique(np.concatenate(points), return_inverse=True)
+        letters = self.letters(met)
+        for k, at in enumerate(np.split(place, self.gram)):
+            out *= np.roll(letters, self.gram - 1 - k, axis=1)[at]
         return out
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
