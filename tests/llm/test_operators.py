@@ -334,6 +334,40 @@ def test_concentration_steps_match_numpy(spark):
     assert d[900:].min() > d[:900].max()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_smallest_determinant_against_every_subset(spark, seed):
+    """Of 12 rows the estimate covers the 8 with the smallest determinant of all 495 subsets."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(seed)
+    spread = np.array([9.0, 4.0, 1.0, 1.0, 1.0])
+    data = np.concatenate([rng.normal(size=(8, 5)) * spread, rng.normal(size=(4, 5)) * spread + rng.choice([-90, 90], (4, 5))])
+    floor = np.diag(np.square(outliers.FLOOR))
+    logdet = lambda rows: np.linalg.slogdet(np.cov(data[list(rows)].T, bias=True) + floor)[1]
+    best = min(combinations(range(12), 8), key=logdet)
+    rows = [(0, *map(float, r)) for r in data]
+    r = outliers.robust_estimates(spark.createDataFrame(rows, "g int, z0 double, z1 double, z2 double, z3 double, z4 double"), ["g"]).first()
+    assert abs(r["logdet"] - logdet(best)) < 1e-6
+    assert np.allclose([r[f"m{i}"] for i in range(5)], data[list(best)].mean(axis=0))
+
+
+def test_the_best_start_wins(spark):
+    """Two clusters: from some starts the steps settle on the wide one, the tight one has the smaller determinant."""
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.normal(size=(640, 5)) * 0.5, rng.normal(size=(360, 5)) * 6 + 25])
+    df = spark.createDataFrame([(0, *map(float, r)) for r in data], "g int, z0 double, z1 double, z2 double, z3 double, z4 double")
+    r = outliers.robust_estimates(df, ["g"]).first()
+    assert max(abs(r[f"m{i}"]) for i in range(5)) < 0.2
+    steps = outliers._starts(df, ["g"])
+    found = []
+    for _ in range(8):
+        steps = outliers._estimate(outliers._concentrate(df, steps, ["g"]), ["g", "_start"])
+        steps = outliers.materialize(steps, "steps")
+        found.append({x["_start"]: x["logdet"] for x in steps.collect()})
+    assert set(found[-1]) == {0, 1, 2}
+    assert r["logdet"] <= min(found[-1].values()) + 5 * outliers.SETTLED
+
+
 def test_a_small_source_is_judged_by_its_own_texts(spark):
     rnd = random.Random(8)
 

@@ -2,7 +2,8 @@
 
 Each text gives a vector of transformed statistics. For every (language, source) the minimum-covariance-
 determinant estimate (the mean and covariance of the part of the rows with the smallest determinant) is
-found by concentration steps over all rows; a text far from it in Mahalanobis distance is rejected.
+found by concentration steps over all rows from three starts, until no determinant falls; the smallest is kept. A text far from it in
+Mahalanobis distance is rejected.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 # The share of a group's rows that the estimate rests on, at least.
 COVERAGE = 0.6
-STEPS = 4
+# Steps end when no start's log determinant falls by more than this, and in any case after MOST_STEPS (a step covers whole
+# bins of distance, so determinants may go to and fro by less than a bin).
+SETTLED, MOST_STEPS = 0.01, 12
 # Rows that carry a covariance of five statistics. The estimate of a group with fewer is shrunk to its
 # language's, and that of a language with fewer to that of all rows; the weight reaches 1 at this size.
 FULL_ROWS = 25
@@ -129,7 +132,7 @@ ESTIMATE = [*(f"m{i}" for i in range(5)), *(f"p{i}{j}" for i, j in PAIRS)]
 
 
 def _estimate(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and inverse covariance of each row of moments (one row a group)."""
+    """Mean, inverse covariance and its log determinant of each row of moments (one row a group and start)."""
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in moments.schema.fields if f.name in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,37 +146,52 @@ def _estimate(moments: DataFrame, keys: list[str]) -> DataFrame:
                 cov[:, i, j] = cov[:, j, i] = q
             if len(n):
                 # The floor keeps statistics that are all alike from making any other value infinitely far.
-                inverse = np.linalg.inv(cov + np.diag(np.square(FLOOR)))
+                cov = cov + np.diag(np.square(FLOOR))
+                inverse = np.linalg.inv(cov)
+            logdet = np.linalg.slogdet(cov)[1] if len(n) else n
             columns = [batch.column(k) for k in keys]
             columns += [pa.array(mean[:, i]) for i in range(5)] + [pa.array(inverse[:, i, j]) for i, j in PAIRS]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, *ESTIMATE])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(logdet)], [*keys, *ESTIMATE, "logdet"])
 
-    return moments.mapInArrow(run, ", ".join([*kinds, *(f"{c} double" for c in ESTIMATE)]))
+    return moments.mapInArrow(run, ", ".join([*kinds, *(f"{c} double" for c in ESTIMATE), "logdet double"]))
 
 
-def _start(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """First estimate of each group: coordinate medians and scaled quartile ranges (a sketch's, so mergeable)."""
+def _starts(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Three first estimates of each group, told apart by ``_start``: coordinate medians and scaled quartile ranges (a sketch's, so
+    mergeable); the moments of the rows drawn in towards these medians (the hyperbolic tangent of the scaled statistics); and the moments
+    of all rows."""
     quart = [F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"r{i}") for i, d in enumerate(DIMS)]
     rows = vectors.groupBy(*keys).agg(*quart)
     scale = [F.pow((F.col(f"r{i}")[2] - F.col(f"r{i}")[0]) / 1.349, 2) + FLOOR[i] ** 2 for i in range(5)]
     inverse = [(1.0 / scale[i] if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in PAIRS]
-    return rows.select(*keys, *(F.col(f"r{i}")[1].alias(f"m{i}") for i in range(5)), *inverse)
-
-
-def _concentrate(vectors: DataFrame, estimate: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One concentration step: the moments of each group's rows within the smallest bin edge that covers
-    ``COVERAGE`` of them, and that edge. Rows are pre-aggregated into (group, distance bin) first."""
+    medians = rows.select(*keys, *(F.col(f"r{i}")[1].alias(f"m{i}") for i in range(5)), *inverse)
+    medians = materialize(medians.withColumn("_start", F.lit(0)), "start")
+    near = _join(vectors, medians, keys)
+    drawn = [
+        (F.col(f"m{i}") + F.tanh((F.col(d) - F.col(f"m{i}")) * F.sqrt(f"p{i}{i}")) / F.sqrt(f"p{i}{i}")).alias(d)
+        for i, d in enumerate(DIMS)
+    ]
+    near = near.select(*keys, *drawn, F.lit(1).alias("_start"))
+    both = near.unionAll(vectors.select(*keys, *DIMS, F.lit(2).alias("_start")))
+    found = _estimate(both.groupBy(*keys, "_start").agg(*_moments()), [*keys, "_start"]).drop("logdet")
+    return materialize(medians.unionByName(found), "starts")
+
+
+def _concentrate(vectors: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
+    """One concentration step of every start: the moments of each group's rows within the smallest bin edge that covers
+    ``COVERAGE`` of them, and that edge. Rows are pre-aggregated into (group, start, distance bin) first."""
     dist = _join(vectors, estimate, keys).withColumn("_d2", _distance())
     bin_ = F.floor(F.log(F.greatest(F.col("_d2"), F.lit(1e-3))) * BINS_PER_UNIT).cast("int")
-    binned = dist.groupBy(*keys, bin_.alias("_bin")).agg(*_moments())
-    order = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    by = [*keys, "_start"]
+    binned = dist.groupBy(*by, bin_.alias("_bin")).agg(*_moments())
+    order = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
     kept = binned.withColumn("_before", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn(
         "_all", F.sum("n").over(whole)
     )
     kept = kept.where(F.col("_before") < F.lit(COVERAGE) * F.col("_all"))
     sums = [F.sum(c).alias(c) for c in ["n", *MOMENTS]]
-    return kept.groupBy(*keys).agg(*sums, F.exp((F.max("_bin") + 1) / float(BINS_PER_UNIT)).alias("edge"))
+    return kept.groupBy(*by).agg(*sums, F.exp((F.max("_bin") + 1) / float(BINS_PER_UNIT)).alias("edge"))
 
 
 def _join(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
@@ -185,14 +203,27 @@ def _join(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(named, cond).drop(*(f"_e_{k}" for k in keys))
 
 
-def robust_estimates(vectors: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """``keys, m0.., p00.., edge``: mean and inverse covariance of the covered rows of each group, and the squared distance
-    that covers ``COVERAGE`` of the group."""
-    estimate = _start(vectors, keys)
-    for _ in range(steps):
-        estimate = materialize(_estimate(_concentrate(vectors, estimate, keys), keys), "estimate")
-    edge = _concentrate(vectors, estimate, keys).select(*keys, "edge")
-    return materialize(_join(estimate, edge, keys), "estimate")
+def robust_estimates(vectors: DataFrame, keys: list[str], most_steps: int = MOST_STEPS) -> DataFrame:
+    """``keys, m0.., p00.., logdet, edge``: mean and inverse covariance of the covered rows of each group, the log of the covariance's
+    determinant, and the squared distance that covers ``COVERAGE`` of the group.
+
+    All starts take their steps together, a step is one aggregate of all rows; the driver sees one number a step, the
+    largest fall of a determinant. The start with the smallest determinant is the group's estimate.
+    """
+    by = [*keys, "_start"]
+    estimate, before = _starts(vectors, keys), None
+    for _ in range(most_steps):
+        estimate = materialize(_estimate(_concentrate(vectors, estimate, keys), by), "estimate")
+        if before is not None:
+            was = before.select(*keys, "_start", F.col("logdet").alias("_was"))
+            fall = _join(estimate, was, by).agg(F.max(F.col("_was") - F.col("logdet"))).first()[0]
+            if fall is None or fall <= SETTLED:
+                break
+        before = estimate
+    best = estimate.groupBy(*keys).agg(F.min_by(F.struct(*ESTIMATE, "logdet", "_start"), F.struct("logdet", "_start")).alias("e"))
+    best = materialize(best.select(*keys, "e.*"), "estimate")
+    edge = _concentrate(vectors, best, keys).select(*keys, "edge")
+    return materialize(_join(best.drop("_start"), edge, keys), "estimate")
 
 
 def own_weight(n: np.ndarray) -> np.ndarray:
@@ -282,8 +313,12 @@ def quality_verdicts(
     used = F.when(F.col("_least") >= FULL_ROWS, F.array(F.lit(0))).when(F.col("_nl") >= FULL_ROWS, F.array(F.lit(0), F.lit(1)))
     used = used.otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
     needed = groups.select(F.explode(used).alias("_level"), "_lang", "_source").select("_level", *group_keys).distinct()
-    levels = passed.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_level"), "_lang", "_source", *DIMS)
-    vectors = _join(levels.select("_level", *group_keys, *DIMS), needed, keys)
+    # A row takes part in the wider levels only where a group needs them.
+    vectors = None
+    for level in sorted(r[0] for r in needed.select("_level").distinct().collect()) or [0]:
+        rows = passed.select(F.lit(level).alias("_level"), "_lang", "_source", *DIMS).select("_level", *group_keys, *DIMS)
+        rows = _join(rows, needed.where(F.col("_level") == level), keys) if level else rows
+        vectors = rows if vectors is None else vectors.unionAll(rows)
     estimates = _shrunk(groups, robust_estimates(vectors, keys))
     named = estimates.select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), *ESTIMATE, "edge")
     cond = F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))
