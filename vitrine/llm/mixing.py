@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import WORD, free_names, materialize
+from vitrine.llm.common import WORD, materialize
 
 DIMS = ["source", "lang", "topic"]
 # Tokens to keep, as a share of all, and the power that flattens the corpus's own shares into targets (1 keeps
@@ -41,11 +41,14 @@ def topic_of(text: Column, topics: dict[str, str] = TOPICS) -> Column:
 
 
 def document_cells(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: bool = False
 ) -> DataFrame:
-    """``id_col, n_tokens`` (words) and the cell ``source, lang, topic`` of every row (null values become a cell value)."""
+    """``id_col, n_tokens`` (words) and the cell ``source, lang, topic`` of every row (null values become a cell value); with ``carry``
+    the whole row too, as ``doc``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []
     return docs.select(
+        *whole,
         F.col(id_col).alias("id"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"),
         F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)).alias("source"),
@@ -104,9 +107,14 @@ def sampled_mixture(
     Documents are pre-aggregated to cells; the raking works on the cells' table alone. The driver sees one number
     a step.
     """
-    rows = materialize(
-        document_cells(docs, id_col, text_col, source_col, lang_col).withColumnRenamed(id_col, "_id"), "mixture"
-    )
+    shown = [F.when(F.col(d) != NONE, F.col(d)).alias(d) for d in DIMS]
+    judged = _judged(document_cells(docs, id_col, text_col, source_col, lang_col), id_col, budget, flatten, seed)
+    return judged.select(F.col("_id").alias(id_col), "n_tokens", *shown, "probability", "sampled")
+
+
+def _judged(rows: DataFrame, id_col: str, budget: float, flatten: dict[str, float], seed: int) -> DataFrame:
+    """``rows`` (of :func:`document_cells`, the id named ``_id``) plus ``probability`` and ``sampled``."""
+    rows = materialize(rows.withColumnRenamed(id_col, "_id"), "mixture")
     cells = materialize(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0) * budget
     targets = {d: materialize(flattened_targets(cells, d, flatten[d], total), "targets") for d in DIMS}
@@ -117,19 +125,17 @@ def sampled_mixture(
     )
     same = (F.col("source") == F.col("_source")) & (F.col("lang") == F.col("_lang")) & (F.col("topic") == F.col("_topic"))
     luck = F.pmod(F.xxhash64("_id", *DIMS, "n_tokens", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    shown = [F.when(F.col(d) != NONE, F.col(d)).alias(d) for d in DIMS]
-    return rows.join(raked, same).select(
-        F.col("_id").alias(id_col), "n_tokens", *shown, "probability", (luck < F.col("probability")).alias("sampled")
-    )
+    return rows.join(raked, same).withColumn("sampled", luck < F.col("probability"))
 
 
-def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def sample_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    budget: float = BUDGET, flatten: dict[str, float] = FLATTEN, seed: int = SEED,
+) -> DataFrame:
     """The rows of ``docs`` that :func:`sampled_mixture` samples, all columns as they are.
 
-    Joined by id and length in words; rows that share both stay together if one of them is sampled.
+    The rows are written once with their cells beside them; the raking reads the cells' columns alone, and the join with the raked
+    cells, a small table, decides each row where it is read.
     """
-    found = sampled_mixture(docs, id_col, text_col, **options)
-    k, n, s = free_names(docs.columns, "k", "n", "s")
-    keep = found.groupBy(F.col(id_col).alias(k), F.col("n_tokens").alias(n)).agg(F.max("sampled").alias(s)).where(s)
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(k)) & (words == F.col(n)), "left_semi")
+    rows = document_cells(docs, id_col, text_col, source_col, lang_col, carry=True)
+    return _judged(rows, id_col, budget, flatten, seed).where("sampled").select("doc.*")

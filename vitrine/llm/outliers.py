@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.llm.common import materialize
 
@@ -80,20 +81,21 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), symbols, sum(lines.values()) - len(lines), repeats
 
 
-def with_statistics(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``keys`` and the statistics of every row; one narrow pass."""
+def with_statistics(docs: DataFrame, keys: list[str], text_col: str = "text", inside: str | None = None) -> DataFrame:
+    """``keys`` and the statistics of every row; one narrow pass. ``text_col`` is a field of the key ``inside``, if that is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_statistics(t) for t in batch.column("_text").to_pylist()]
+            texts = batch.column(inside).field(text_col) if inside else batch.column("_text")
+            found = [text_statistics(t) for t in texts.to_pylist()]
             columns = np.array(found, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keys), *(pa.array(c) for c in columns)], [*keys, *STATS]
             )
 
-    src = docs.select(*keys, F.col(text_col).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
-    return src.mapInArrow(run, ", ".join([*kinds, *(f"{s} long" for s in STATS)]))
+    src = docs.select(*keys) if inside else docs.select(*keys, F.col(text_col).alias("_text"))
+    schema = T.StructType([src.schema[k] for k in keys] + [T.StructField(s, T.LongType()) for s in STATS])
+    return src.mapInArrow(run, schema)
 
 
 def _with_vector(stats: DataFrame) -> DataFrame:
@@ -278,9 +280,10 @@ def _shrunk(groups: DataFrame, estimates: DataFrame) -> DataFrame:
 
 def quality_verdicts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    source_col: str = "source", cutoff: float = CUTOFF,
+    source_col: str = "source", cutoff: float = CUTOFF, carry: bool = False,
 ) -> DataFrame:
-    """``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept`` for every row.
+    """``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept`` for every row; with
+    ``carry`` the whole row too, as ``doc``, so that a filter on the verdict needs no join.
 
     ``base_failed``: fewer than 10 words, or over a fifth of the words in five-word windows that occur
     twice. Other rows are kept unless their squared Mahalanobis distance from the robust estimate of
@@ -293,9 +296,10 @@ def quality_verdicts(
     """
     src = docs.select(
         F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"),
-        F.col(text_col).alias("text"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc") if carry else F.col(text_col).alias("text"),
     )
-    stats = with_statistics(src, ["_id", "_lang", "_source"])
+    whole = ["doc"] if carry else []
+    stats = with_statistics(src, ["_id", "_lang", "_source", *whole], text_col if carry else "text", "doc" if carry else None)
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words")
     )
@@ -324,6 +328,6 @@ def quality_verdicts(
     cond = F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))
     scored = stats.join(named, cond, "left").withColumn("distance", _distance() / F.greatest(F.col("edge") / COVERED, F.lit(1.0)))
     return scored.select(
-        F.col("_id").alias(id_col), *STATS, "base_failed", "distance",
+        *whole, F.col("_id").alias(id_col), *STATS, "base_failed", "distance",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"),
     )
