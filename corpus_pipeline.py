@@ -22,11 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Rows of one id are judged each by its own text, language and source."""
-    docs = docs.select(*COLUMNS)
-    digest = F.xxhash64("text", "lang", "source")
-    judged = quality_verdicts(docs.withColumn("row", F.struct("doc_id", digest.alias("digest"))), "row")
-    kept = judged.where("kept").select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
+    return quality_verdicts(docs.select(*COLUMNS), carry=True).where("kept").select("doc.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
