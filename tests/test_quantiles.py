@@ -92,3 +92,21 @@ def test_infinite_and_constant_values(spark):
         assert _ours(df, discrete, ["g"], sketch_k=8) == {
             k: v for k, v in _builtin(df, discrete, ["g"]).items()
         }
+
+
+def test_counts_and_means_from_the_counting_pass(spark, monkeypatch):
+    from vitrine.operators import quantiles
+
+    rows = [(g, v) for g in ("a", "b", None) for v in (1.0, 2.0, 2.0, 7.5, None)] + [("empty", None)] * 3
+    df = spark.createDataFrame(rows, "g string, v double")
+    for groups_sent in (10, 0):
+        got = exact_quantiles(df, "v", [0.5], ["m"], ["g"], broadcast_groups=groups_sent, count_col="n", mean_col="avg")
+        found = {r["g"]: (r["n"], r["avg"], r["m"]) for r in got.collect()}
+        assert found == {"a": (5, 3.125, 2.0), "b": (5, 3.125, 2.0), None: (5, 3.125, 2.0), "empty": (3, None, None)}
+    # the rows are read for the cuts, the counts and the values: each scan of the source is one of three jobs
+    reads = []
+    keep = quantiles.materialize
+    monkeypatch.setattr(quantiles, "materialize", lambda d, name, *a: reads.append(d._jdf.queryExecution().executedPlan().toString()) or keep(d, name, *a))
+    last = exact_quantiles(df, "v", [0.5], ["m"], ["g"], count_col="n", mean_col="avg")
+    plans = [*reads, last._jdf.queryExecution().executedPlan().toString()]
+    assert len(plans) == 3 and [p.count("Scan ExistingRDD") for p in plans] == [1, 1, 1]

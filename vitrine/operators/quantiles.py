@@ -113,6 +113,8 @@ def exact_quantiles(
     merge_fanout: int = DEFAULT_MERGE_FANOUT,
     bracket_margin: float | None = None,
     broadcast_groups: int = DEFAULT_BROADCAST_GROUPS,
+    count_col: str | None = None,
+    mean_col: str | None = None,
 ) -> DataFrame:
     """``groups`` + one double column per name in ``names`` (quantile
     ``probs[i]`` of ``value``). Grouped: one row per group having a non-NULL
@@ -126,13 +128,19 @@ def exact_quantiles(
     is built, and counted: up to ``broadcast_groups`` groups are broadcast.
     Beyond that the rows are aggregated per (group, value) before they are
     joined. Global cut points are one row, read as a scalar subquery.
+
+    ``count_col`` and ``mean_col`` add a group's rows (those without a value
+    too) and the mean of its values, from the counting pass, whose sums are
+    then written to the shared folder; the result has a row for every group.
     """
     if len(probs) != len(names) or not probs:
         raise ValueError("probs and names must be non-empty and of equal length")
     if any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("probabilities must be within [0, 1]")
     groups = list(groups or [])
-    base = df.select(*groups, F.col(value).cast("double").alias(_X)).filter(F.col(_X).isNotNull())
+    every = df.select(*groups, F.col(value).cast("double").alias(_X))
+    base = every.filter(F.col(_X).isNotNull())
+    counted = base if count_col is None else every
     margin = 2.0 * kll_rank_error(sketch_k) if bracket_margin is None else bracket_margin
 
     # 1. cut points; a row's bucket is the number of cuts below its value
@@ -141,20 +149,22 @@ def exact_quantiles(
     if groups:
         cuts = materialize(cuts, "quantile_cuts")
         small = cuts.count() <= broadcast_groups
-        rows = base.withColumn(_N, F.lit(1)) if small else base.groupBy(*groups, _X).agg(F.count(F.lit(1)).alias(_N))
+        rows = counted.withColumn(_N, F.lit(1)) if small else counted.groupBy(*groups, _X).agg(F.count(F.lit(1)).alias(_N))
         rows = _null_safe_join(rows, F.broadcast(cuts) if small else cuts, groups, "left", not_null=())
     else:
-        rows = base.withColumn(_N, F.lit(1)).withColumn(_CUTS, cuts.scalar())
+        rows = counted.withColumn(_N, F.lit(1)).withColumn(_CUTS, cuts.scalar())
     below = F.size(F.filter(F.coalesce(F.col(_CUTS), F.array().cast("array<double>")), lambda c: c < F.col(_X)))
-    rows = rows.select(*groups, _X, _N, below.alias(_J))
+    rows = rows.select(*groups, _X, _N, F.when(F.col(_X).isNotNull(), below).alias(_J))
 
     # 2. exact counts per bucket, and the bucket and rank inside it of every
     # target (a few rows per group)
     in_group = Window.partitionBy(*groups)
     before = in_group.orderBy(_J).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*groups, _J).agg(F.sum(_N).alias("c"), F.sum(F.col(_X) * F.col(_N)).alias("s"))
+    if count_col is not None:
+        totals = materialize(totals, "quantile_counts")
     counts = (
-        rows.groupBy(*groups, _J)
-        .agg(F.sum(_N).alias("c"))
+        totals.filter(F.col(_J).isNotNull())
         .select(*groups, _J, "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"), F.sum("c").over(in_group).alias("n"))
     )
     targets = []
@@ -188,7 +198,14 @@ def exact_quantiles(
             for i in range(len(probs))
         ]
     )
-    return ends.select(*groups, *[_between(F.col(f"__q_{i}")).alias(name) for i, name in enumerate(names)])
+    result = ends.select(*groups, *[_between(F.col(f"__q_{i}")).alias(name) for i, name in enumerate(names)])
+    if count_col is None:
+        return result
+    whole = totals.groupBy(*groups).agg(
+        F.sum("c").alias(count_col), (F.sum("s") / F.sum(F.when(F.col(_J).isNotNull(), F.col("c")))).alias(mean_col or "__q_mean")
+    )
+    joined = _null_safe_join(whole, result, groups, "left", not_null=()) if groups else whole.join(result)
+    return joined if mean_col else joined.drop("__q_mean")
 
 
 def _between(q: Column) -> Column:

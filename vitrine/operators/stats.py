@@ -26,15 +26,20 @@ def grouped_median(
     out: str,
     approx: bool = False,
     accuracy: int = DEFAULT_ACCURACY,
+    count_col: str | None = None,
+    mean_col: str | None = None,
 ) -> DataFrame:
-    """Per group: median of ``c`` (interpolated, like ``percentile(c, 0.5)``).
+    """Per group: median of ``c`` (interpolated, like ``percentile(c, 0.5)``),
+    and the group's rows and the mean of ``c`` where these columns are named.
 
     Exact by default through :func:`exact_quantiles` (no group is merged in
     one task); ``approx=True`` uses the sketch alone.
     """
     if approx:
-        return df.groupBy(*groups).agg(median(c, accuracy).alias(out))
-    return exact_quantiles(df, c, [0.5], [out], groups, discrete=False)
+        more = [F.count(F.lit(1)).alias(count_col)] if count_col else []
+        more += [F.avg(c).alias(mean_col)] if mean_col else []
+        return df.groupBy(*groups).agg(*more, median(c, accuracy).alias(out))
+    return exact_quantiles(df, c, [0.5], [out], groups, discrete=False, count_col=count_col, mean_col=mean_col)
 
 
 def numeric_summary(

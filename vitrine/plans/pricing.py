@@ -43,16 +43,13 @@ def price_by_genre(genres: DataFrame, approx: bool = False, accuracy: int = DEFA
     """Per genre: rows, mean and median price in euros, highest median
     first. ``nb_games`` counts (product, genre) rows, not distinct products.
     The exact median never merges a whole genre in one task
-    (:func:`~vitrine.operators.quantiles.exact_quantiles`)."""
-    stats = genres.groupBy("genre").agg(
-        F.count(F.lit(1)).alias("nb_games"),
-        F.avg("price_eur").alias("avg_price_eur"),
+    (:func:`~vitrine.operators.quantiles.exact_quantiles`), which reads the
+    rows three times; counts and means come from its counting pass."""
+    found = grouped_median(
+        genres, ["genre"], "price_eur", "median_price_eur", approx, accuracy, count_col="nb_games", mean_col="avg_price_eur"
     )
-    medians = grouped_median(genres, ["genre"], "price_eur", "median_price_eur", approx, accuracy)
-    return (
-        stats.join(medians, stats["genre"].eqNullSafe(medians["genre"]), "left")
-        .select(stats["genre"], "nb_games", "avg_price_eur", "median_price_eur")
-        .orderBy(F.col("median_price_eur").desc_nulls_last(), F.col("genre").asc())
+    return found.select("genre", "nb_games", "avg_price_eur", "median_price_eur").orderBy(
+        F.col("median_price_eur").desc_nulls_last(), F.col("genre").asc()
     )
 
 
