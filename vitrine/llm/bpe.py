@@ -14,8 +14,9 @@ from functools import cache
 
 import regex
 
-# Chunks remembered per worker process; the memory is emptied when it is full.
-REMEMBERED = 300_000
+# Bytes of chunks, and of words, that a worker process remembers (each memory is emptied when it is full), and what an
+# entry costs beside its text and ids.
+REMEMBERED, ENTRY = 64_000_000, 200
 
 # The split patterns of the two tokenizers.
 BYTE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,6 +34,11 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
+def _weight(chunks) -> int:
+    """Bytes that chunks and their ids take, about: five for each character."""
+    return ENTRY * len(chunks) + 5 * sum(map(len, chunks))
+
+
 class _Library:
     """The tokenizer as its library runs it, and the parts both readers need."""
 
@@ -46,6 +52,7 @@ class _Library:
         self.alphabet = byte_alphabet()
         self.unusual = regex.compile(f"[^{USUAL}]").search
         self.known: dict = {}
+        self.held = 0
 
     def plain(self, text: str) -> bool:
         return not self.unusual(text) and not any(s in text for s in self.special)
@@ -57,11 +64,13 @@ class _Library:
         return bytes(map(self.alphabet.__getitem__, token))
 
     def remember(self, chunks: set, encode) -> None:
+        """Encodes the chunks that are not known. A text's own chunks are held in any case, until the next text needs room."""
         new = chunks.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if self.held + _weight(new) > REMEMBERED:
             self.known.clear()
-            new = chunks
+            self.held, new = 0, chunks
         self.known.update(zip(new, map(encode, new)))
+        self.held += _weight(new)
 
 
 class ByteCounter(_Library):
@@ -161,6 +170,7 @@ class WordEncoder(_Library):
         merge = tiktoken.Encoding("own", pat_str=WORD_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.merge_one = merge._core_bpe.encode_single_piece
         self.words: dict[str, bytes] = {}
+        self.words_held = 0
         self.whole = self.prove(vocab)
 
     def prove(self, vocab: dict[str, int]) -> dict[str, bytes]:
@@ -179,9 +189,11 @@ class WordEncoder(_Library):
     def _piece(self, piece: str) -> bytes:
         ids = self.whole.get(piece) or self.words.get(piece)
         if ids is None:
-            if len(self.words) >= REMEMBERED:
+            if self.words_held > REMEMBERED:
                 self.words.clear()
+                self.words_held = 0
             ids = self.words[piece] = self._merge(piece)
+            self.words_held += ENTRY + 5 * len(piece)
         return ids
 
     def _merge(self, piece: str) -> bytes:
