@@ -23,6 +23,8 @@ from vitrine.llm.common import materialize, parts_for
 
 # Hashed coordinates of a document, the dimensions it is projected to, and the levels of each (as bits).
 HASHED, DIMENSIONS, BITS = 512, 4, 15
+# Documents whose vectors are made at once.
+TOGETHER = 256
 # Tokens a range partition holds (16 MB at two bytes a token); there are at most MAX_PARTS, so their offsets stay small.
 PART_TOKENS, MAX_PARTS = 8_000_000, 100_000
 SEED = 0x9E3779B97F4A7C15
@@ -78,15 +80,18 @@ class Projector:
         normal = np.sqrt(-2 * np.log(u[:half])) * np.cos(2 * np.pi * u[half:])
         self.matrix = normal.reshape(HASHED, DIMENSIONS)
 
-    def vector(self, ids: np.ndarray) -> np.ndarray:
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
         """Signed hashed counts, damped by the square root, at unit length (zero without ids)."""
-        v = np.bincount(self.bucket[ids], self.sign[ids], HASHED)
+        ids = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(docs)) * HASHED, [len(d) for d in docs])
+        v = np.bincount(row + self.bucket[ids], self.sign[ids], len(docs) * HASHED).reshape(len(docs), HASHED)
         v = np.sign(v) * np.sqrt(np.abs(v))
-        norm = np.sqrt(v @ v)
-        return v / norm if norm else v
+        norm = np.sqrt(np.square(v).sum(axis=1, keepdims=True))
+        return np.divide(v, norm, out=v, where=norm > 0)
 
     def keys(self, docs: list[np.ndarray]) -> np.ndarray:
-        z = np.array([self.vector(d) @ self.matrix for d in docs]).reshape(len(docs), DIMENSIONS)
+        parts = [self.vectors(docs[i : i + TOGETHER]) @ self.matrix for i in range(0, len(docs), TOGETHER)]
+        z = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS))
         share = 0.5 * (1 + np.tanh(0.7978845608 * (z + 0.044715 * z**3)))  # the normal distribution function, nearly
         level = np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
         return hilbert_key(level.T, BITS)
@@ -105,13 +110,14 @@ def tail_lengths(left: int) -> list[int]:
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, wide: bool) -> DataFrame:
     """``_row, id, key, n, ids`` of every row; ids are two bytes each where the vocabulary allows, else four."""
     kind = "<u4" if wide else "<u2"
+    end = np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         project = projector(encoder.tokenizer.get_vocab_size())
         for batch in batches:
             found = [np.frombuffer(encoder.encode(t or ""), "<u4") for t in batch.column("text").to_pylist()]
-            ids = [np.append(x, end_id).astype(kind).tobytes() for x in found]
+            ids = [x.astype(kind).tobytes() + end for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_row"), batch.column("id"), pa.array(project.keys(found), pa.int64()),
