@@ -1,8 +1,8 @@
 """Alignment of two tokenizers by products of token-byte incidence matrices.
 
 A token is a row over the bytes of the text that it covers. With the rows of both tokenizers as compressed sparse rows (CSR),
-the product A·Bᵀ holds the bytes that two tokens share: the overlap links. Offsets where tokens of both end cut the text into groups; the
-product of the two token-group incidences holds the links of tokens that share a group.
+the product A·Bᵀ holds the bytes that two tokens share: the overlap links. Where one link and the next share no token, tokens of both
+end: there the text is cut into groups. The product of the two token-group incidences holds the links of tokens that share a group.
 
 Texts are cut into chunks that neither tokenizer's tokens cross; an unknown chunk goes through both libraries
 and the products once per worker, a known one is looked up.
@@ -30,6 +30,8 @@ SLICE_CHARS, REMEMBERED_BYTES = 2_000_000, 128_000_000
 BLOCK = 2_000_000
 # Id pairs that a task counts before it hands them on, and the most frequent pairs that every task holds.
 COUNTED, HEAD = 2_000_000, 1_000_000
+# What is counted of a text.
+SIZES = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
 # A space after one of these characters starts a new chunk.
 CHUNK = re.compile("(?<=[!-~À-ɏ]) ")
 
@@ -74,10 +76,11 @@ def sum_by(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, and the sum of the values of each."""
     if not len(key):
         return key, value
-    order = np.argsort(key)
-    key = key[order]
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key)
+        key, value = key[order], value[order]
     first = np.concatenate([[True], key[1:] != key[:-1]])
-    return key[first], np.add.reduceat(value[order], np.flatnonzero(first))
+    return key[first], np.add.reduceat(value, np.flatnonzero(first))
 
 
 def pointers(lengths: np.ndarray) -> np.ndarray:
@@ -94,14 +97,15 @@ def overlap_links(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndar
     return csr_product(a, b_t, max(len(b_lengths), 1))
 
 
-def groups_of(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The group of every token of both runs, and the bytes at which groups end (where tokens of both end)."""
-    a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(b_lengths)
-    if not len(a_ends) or not len(b_ends):
-        return np.zeros(len(a_ends), np.int64), np.zeros(len(b_ends), np.int64), a_ends[:0]
-    common = b_ends[np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)] == a_ends
-    ends = a_ends[common]
-    return np.cumsum(common) - common, np.searchsorted(ends, b_ends), ends
+def groups_of(rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The group of every token of both runs, from their overlap links, and the number of groups. Links come in the order of the bytes; one
+    that shares neither token with the link before it begins a group."""
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    group = np.concatenate([[0], np.cumsum((rows[1:] != rows[:-1]) & (columns[1:] != columns[:-1]))])
+    a_group, b_group = np.zeros(rows[-1] + 1, np.int64), np.zeros(columns[-1] + 1, np.int64)
+    a_group[rows], b_group[columns] = group, group
+    return a_group, b_group, int(group[-1]) + 1
 
 
 def group_links(a_group: np.ndarray, b_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +184,7 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.held = 0
         self.fragments: list[str] = []  # the groups of a chunk, each ended by ";"
-        self.sizes = np.zeros((0, 5), np.int64)  # A tokens, B tokens, groups, links, whether the bytes agree
+        self.sizes = np.zeros((0, len(SIZES) + 1), np.int64)  # and whether the bytes agree
         self.pointer, self.pairs, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.uses = np.zeros(0, np.int64)
 
@@ -232,15 +236,18 @@ class Aligner:
                     a[k] = b[k] = ()
         a_n, b_n = np.array(list(map(len, a)), np.int64), np.array(list(map(len, b)), np.int64)
         a_ids, b_ids = np.array(list(chain.from_iterable(a)), np.int64), np.array(list(chain.from_iterable(b)), np.int64)
-        a_group, b_group, ends = groups_of(self.a_bytes[a_ids], self.b_bytes[b_ids])
-        owner = np.zeros(len(ends), np.int64)
-        owner[a_group] = np.repeat(np.arange(len(new)), a_n)
+        rows, columns, _ = overlap_links(self.a_bytes[a_ids], self.b_bytes[b_ids])
+        a_group, b_group, n = groups_of(rows, columns)
+        chunk = np.repeat(np.arange(len(new)), a_n)
+        owner = np.zeros(n, np.int64)
+        owner[a_group] = chunk
+        n_overlaps = np.bincount(chunk[rows], minlength=len(new))
         who, pair, links = id_pair_links(owner, a_ids, a_group, b_ids, b_group, self.b_size)
         n_links = np.bincount(who, links, len(new)).astype(np.int64)
         n_groups = np.bincount(owner, minlength=len(new))
         self.fragments += self._fragments(a_ids, a_group, b_ids, b_group, a_n + b_n)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.sizes = np.concatenate([self.sizes, np.array([a_n, b_n, n_groups, n_links, good], np.int64).T])
+        self.sizes = np.concatenate([self.sizes, np.array([a_n, b_n, n_groups, n_links, n_overlaps, good], np.int64).T])
         ends = self.pointer[-1] + np.cumsum(np.bincount(who, minlength=len(new)))
         self.pointer = np.concatenate([self.pointer, ends])
         self.pairs, self.links = np.concatenate([self.pairs, pair]), np.concatenate([self.links, links])
@@ -265,16 +272,16 @@ class Aligner:
         return ["".join(names[i:j]) for i, j in zip(at, at[1:])]
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: A tokens, B tokens, groups and links (zeros where the bytes differ), the digest of its groups, and its
-        id pairs, as ``(pointers, pairs, links of each)``."""
+        """Of each text: its ``SIZES`` (zeros where the bytes differ), the digest of its groups, and its id pairs, as
+        ``(pointers, pairs, links of each)``."""
         parts = [self.chunks(t) if t else [] for t in texts]
         number = self.look_up(parts)
         length = np.array([len(p) for p in parts], np.int64)
         doc = np.repeat(np.arange(len(texts)), length)
-        bad = np.bincount(doc, self.sizes[number, 4] == 0, len(texts)) > 0
+        bad = np.bincount(doc, self.sizes[number, -1] == 0, len(texts)) > 0
         keep = ~bad[doc]
         doc, number = doc[keep], number[keep]
-        sizes = np.stack([np.bincount(doc, self.sizes[number, k], len(texts)) for k in range(4)], axis=1).astype(np.int64)
+        sizes = np.stack([np.bincount(doc, self.sizes[number, k], len(texts)) for k in range(len(SIZES))], axis=1).astype(np.int64)
         bounds = pointers(np.bincount(doc, minlength=len(texts))).tolist()
         listed = list(map(self.fragments.__getitem__, number.tolist()))
         digests = [
@@ -306,11 +313,11 @@ def link_texts(text: str, byte_path: str, piece_path: str) -> dict:
     raw = (" " + text).encode() if text else b""
     if not b"".join(al.a_raw[i] for i in a) == raw == b"".join(al.b_raw[i] for i in b):
         a, b = [], []
-    a_len, b_len = al.a_bytes[np.array(a, np.int64)], al.b_bytes[np.array(b, np.int64)]
-    a_group, b_group, _ = groups_of(a_len, b_len)
+    rows, columns, shared = overlap_links(al.a_bytes[np.array(a, np.int64)], al.b_bytes[np.array(b, np.int64)])
+    a_group, b_group, _ = groups_of(rows, columns)
     return {
         "a": a, "b": b, "a_group": a_group.tolist(), "b_group": b_group.tolist(),
-        "overlaps": list(zip(*(x.tolist() for x in overlap_links(a_len, b_len)))),
+        "overlaps": list(zip(rows.tolist(), columns.tolist(), shared.tolist())),
         "links": list(zip(*(x.tolist() for x in group_links(a_group, b_group)))),
     }
 
@@ -344,17 +351,16 @@ def _aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_row").slice(i, j - i), batch.column("id").slice(i, j - i),
-                        *(pa.array(sizes[:, k]) for k in range(4)), pa.array(digests, pa.string()),
+                        *(pa.array(sizes[:, k]) for k in range(len(SIZES))), pa.array(digests, pa.string()),
                         pa.array([_narrow(pairs[x:y]) for x, y in bounds], pa.binary()),
                         pa.array([_narrow(links[x:y]) for x, y in bounds], pa.binary()),
                     ],
-                    ["_row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links"],
+                    ["_row", "id", *SIZES, "groups_sha256", "pairs", "links"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    schema = (
-        f"_row long, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, links binary"
-    )
+    sizes = ", ".join(f"{c} long" for c in SIZES)
+    schema = f"_row long, id {kind}, {sizes}, groups_sha256 string, pairs binary, links binary"
     return docs.mapInArrow(run, schema)
 
 
@@ -401,11 +407,11 @@ def _pair_counts(aligned: DataFrame) -> DataFrame:
 def align_tokenizers(
     docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD
 ) -> DataFrame:
-    """``id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` for every row of ``docs``.
+    """``id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_overlaps`` for every row of ``docs``.
 
     ``byte_path`` names a byte-level BPE in the ``tokenizers`` format (A), ``piece_path`` a sentencepiece model with a
     space put before the text (B); both lie on every executor. A reads space + text; special strings inside texts are plain
-    text. ``n_links`` counts the token pairs that share a group, ``count_sum`` adds up the corpus-wide count of each
+    text. ``n_overlaps`` counts the token pairs that share bytes, ``n_links`` those that share a group, ``count_sum`` adds up the corpus-wide count of each
     one's id pair (the rows that hold it), ``n_best`` counts those whose count is the highest of their A id. A text that is null or
     empty, or whose tokens' bytes are not those of space + text, has zeros and the digest ''. Repeated rows count as often as they come, other
     columns are ignored, an empty table gives no rows.
@@ -450,10 +456,10 @@ def align_tokenizers(
                 [*carried_names, "n_best", "count_sum", "rest"],
             )
 
-    carried_names = ["_row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    kind = aligned.schema["id"].dataType.simpleString()
+    carried_names = ["_row", "id", *SIZES, "groups_sha256"]
+    kind, sizes = aligned.schema["id"].dataType.simpleString(), ", ".join(f"{c} long" for c in SIZES)
     schema = (
-        f"_row long, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+        f"_row long, id {kind}, {sizes}, groups_sha256 string, "
         "n_best long, count_sum long, rest array<struct<pair: long, m: long>>"
     )
     scored = materialize(aligned.mapInArrow(run, schema), "scored")
@@ -470,7 +476,7 @@ def align_tokenizers(
     more = {c: F.col(c) + F.coalesce(F.col(m), F.lit(0)) for c, m in (("n_best", "more_best"), ("count_sum", "more_sum"))}
     return scored.drop("rest").join(rare, "_row", "left").select(
         F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links",
-        *(more[c].alias(c) for c in ("n_best", "count_sum")), "groups_sha256",
+        *(more[c].alias(c) for c in ("n_best", "count_sum")), "groups_sha256", "n_overlaps",
     )
 
 
