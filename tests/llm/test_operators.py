@@ -424,6 +424,25 @@ def test_raking_meets_the_targets(spark):
     assert got == pytest.approx(w, rel=1e-3)
 
 
+def test_gaps_of_targets_that_caps_make_impossible(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("b", "x", 900)], "source string, lang string, tokens long")
+    targets = {
+        "source": spark.createDataFrame([("a", 300.0), ("b", 300.0)], "source string, target double"),
+        "lang": spark.createDataFrame([("x", 400.0)], "lang string, target double"),
+    }
+    raked = mixing.rake(cells, targets)
+    gaps = {(r["dimension"], r["value"]): r["reached"] - r["target"] for r in mixing.marginal_gaps(raked, targets).collect()}
+    assert gaps["source", "a"] <= -200 + 1e-6 and abs(gaps["lang", "x"]) < 1
+
+
+def test_topic_labels_as_an_argument(spark):
+    rows = [(i, "one two three", "en", "s", "sport" if i % 3 else None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
+    got = {r["topic"] for r in mixing.sampled_mixture(docs, topic_col="subject").collect()}
+    assert got == {"sport", None}
+    assert set(mixing.sample_documents(docs, topic_col="subject").columns) == set(docs.columns)
+
+
 def test_mixture(documents, hostile, nothing):
     got = rows_of(mixing.sampled_mixture(documents))
     assert len(got) == documents.count() and all(0 <= r["probability"] <= 1 for r in got)

@@ -41,10 +41,12 @@ def topic_of(text: Column, topics: dict[str, str] = TOPICS) -> Column:
 
 
 def document_cells(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: bool = False,
+    topic_col: str | None = None,
 ) -> DataFrame:
     """``id_col, n_tokens`` (words) and the cell ``source, lang, topic`` of every row (null values become a cell value); with ``carry``
-    the whole row too, as ``doc``."""
+    the whole row too, as ``doc``. ``topic_col`` names a column of topic labels; without one the topic is the text's lexical register
+    (``TOPICS``)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []
     return docs.select(
@@ -53,7 +55,7 @@ def document_cells(
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"),
         F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)).alias("source"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)).alias("lang"),
-        topic_of(text).alias("topic"),
+        (F.coalesce(F.col(topic_col).cast("string"), F.lit(NONE)) if topic_col else topic_of(text)).alias("topic"),
     ).withColumnRenamed("id", id_col)
 
 
@@ -71,7 +73,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
 
     A sweep fits every dimension once and is written to the shared folder; it ends when the largest change of a
     weight, as a share of its cell's tokens, is at most ``tolerance``. Where caps make the targets impossible the weights
-    settle as near as the sweeps come. Values without a target keep their weights.
+    settle as near as the sweeps come; :func:`marginal_gaps` tells how near. Values without a target keep their weights.
     """
     state = cells if "weight" in cells.columns else cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(sweeps):
@@ -91,9 +93,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     return state
 
 
+def marginal_gaps(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """``dimension, value, target, reached``: how near the raked ``weight`` sums come to the targets, where caps or the last sweep
+    left a gap."""
+    parts = []
+    for dim, target in targets.items():
+        sums = raked.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("reached"))
+        named = target.select(F.col(dim).alias("value"), "target")
+        parts.append(sums.join(named, "value").select(F.lit(dim).alias("dimension"), "value", "target", "reached"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
 def sampled_mixture(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-    budget: float = BUDGET, flatten: dict[str, float] = FLATTEN, seed: int = SEED,
+    budget: float = BUDGET, flatten: dict[str, float] = FLATTEN, seed: int = SEED, topic_col: str | None = None,
 ) -> DataFrame:
     """``id_col, n_tokens, source, lang, topic, probability, sampled`` for every row of ``docs``.
 
@@ -108,7 +124,8 @@ def sampled_mixture(
     a step.
     """
     shown = [F.when(F.col(d) != NONE, F.col(d)).alias(d) for d in DIMS]
-    judged = _judged(document_cells(docs, id_col, text_col, source_col, lang_col), id_col, budget, flatten, seed)
+    cells = document_cells(docs, id_col, text_col, source_col, lang_col, topic_col=topic_col)
+    judged = _judged(cells, id_col, budget, flatten, seed)
     return judged.select(F.col("_id").alias(id_col), "n_tokens", *shown, "probability", "sampled")
 
 
@@ -130,12 +147,12 @@ def _judged(rows: DataFrame, id_col: str, budget: float, flatten: dict[str, floa
 
 def sample_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-    budget: float = BUDGET, flatten: dict[str, float] = FLATTEN, seed: int = SEED,
+    budget: float = BUDGET, flatten: dict[str, float] = FLATTEN, seed: int = SEED, topic_col: str | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`sampled_mixture` samples, all columns as they are.
 
     The rows are written once with their cells beside them; the raking reads the cells' columns alone, and the join with the raked
     cells, a small table, decides each row where it is read.
     """
-    rows = document_cells(docs, id_col, text_col, source_col, lang_col, carry=True)
+    rows = document_cells(docs, id_col, text_col, source_col, lang_col, carry=True, topic_col=topic_col)
     return _judged(rows, id_col, budget, flatten, seed).where("sampled").select("doc.*")
