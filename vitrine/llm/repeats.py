@@ -31,20 +31,20 @@ GRAM = 40
 SEGMENT = 1 << 20
 GATHERED = 500_000
 # Places around anchors that a task gathers, and rows in a batch that leaves it.
-AROUND = 80_000
+AROUND = 60_000
 BATCH = 20_000
 # A bucket of so many places (up to span - gram + 1 strings each) is refined in one task. Of an anchor with more, every string is
 # keyed by its own bytes, and only the first place of each string that a task meets is shipped.
 HOT = 20_000
 # Distinct strings of hot anchors that a task gathers, and the mark of their rows.
-STRINGS = 200_000
+STRINGS = 80_000
 STRING = -2
 # Up to so many hot anchors (9 bytes each) are sent to every task; more are joined by a shuffle.
 HOT_SENT = 500_000
 # Hex digits of a text's digest that are its number, and up to how many texts with another number are sent to every task.
 NUMBER_DIGITS, OTHERS_SENT = 15, 100_000
 # Windows refined at once in a task, and those whose bytes are compared at once.
-REFINED = 150_000
+REFINED = 100_000
 COMPARED = 8_000
 
 PLACE = np.uint64(0xFFFFFF)
