@@ -25,7 +25,7 @@ from vitrine.llm.bpe import byte_alphabet
 from vitrine.llm.common import materialize
 
 # Text a task works on at once, and the bytes of chunks that a worker remembers (those met least go when it is full).
-SLICE_CHARS, REMEMBERED_BYTES = 2_000_000, 128_000_000
+SLICE_CHARS, REMEMBERED_BYTES = 2_000_000, 160_000_000
 # Products of a row block that are held at once.
 BLOCK = 2_000_000
 # Id pairs that a task counts before it hands them on, and the most frequent pairs that every task holds.
@@ -34,6 +34,9 @@ COUNTED, HEAD = 2_000_000, 1_000_000
 SIZES = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
 # A space after one of these characters starts a new chunk.
 CHUNK = re.compile("(?<=[!-~À-ɏ]) ")
+# One of these marks behind one of these letters, at the end of a chunk, is a chunk of its own.
+MARKS, LETTERS = frozenset(".,;:!?"), frozenset(chr(c) for c in range(0x250) if chr(c).isalpha())
+MARKED = re.compile("[A-Za-zªµºÀ-ɏ][.,;:!?]")
 
 
 # ---------------------------------------------------------------- CSR products
@@ -165,7 +168,10 @@ class Aligner:
         self.space = self.b.piece_to_id("▁")
         # A token's text in the digest: its id and what follows inside a group, at the end of A's part and of the group.
         self.written = [f"{i}{end}" for end, n in ((",", self.a_size), ("|", self.a_size), (",", self.b_size), (";", self.b_size)) for i in range(n)]
-        self.cut = self._independent()
+        self.cut = self._independent(CHUNK)
+        a_ids, b_ids = ({m: find(m) for m in MARKS} for find in (self.a.token_to_id, self.b.piece_to_id))
+        known = self.cut and all(a_ids[m] is not None and self.b_raw[b_ids[m]] == m.encode() for m in MARKS)
+        self.marks = {m: (a_ids[m], b_ids[m]) for m in MARKS} if known and self._independent(MARKED) else {}
         self.forget()
 
     def _piece(self, i: int) -> bytes:
@@ -175,13 +181,14 @@ class Aligner:
             return b""
         return self.b.id_to_piece(i).replace("▁", " ").encode()
 
-    def _independent(self) -> bool:
-        """Whether no entry of either vocabulary has a space behind a character of ``CHUNK``: merges then never cross the start of a
-        chunk, and there the split pattern of the byte-level tokenizer always ends a pre-token. Else a text is one chunk."""
-        return not any(CHUNK.search(x.decode(errors="replace")) for x in chain(self.a_raw, self.b_raw))
+    def _independent(self, pattern: re.Pattern) -> bool:
+        """Whether no entry of either vocabulary has a space behind a character of ``CHUNK`` (or a mark behind a letter): merges then never
+        cross the start of a chunk (the mark), and there the split pattern of the byte-level tokenizer always ends a pre-token. Else a text is
+        one chunk (marks stay with their words)."""
+        return not any(pattern.search(x.decode(errors="replace")) for x in chain(self.a_raw, self.b_raw))
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str | tuple[str], int] = {}  # marks are known as tuples, apart from words of one mark
         self.held = 0
         self.fragments: list[str] = []  # the groups of a chunk, each ended by ";"
         self.sizes = np.zeros((0, len(SIZES) + 1), np.int64)  # and whether the bytes agree
@@ -207,9 +214,20 @@ class Aligner:
         """Bytes, about, of the last of the chunks held."""
         return 300 * len(chunks) + 2 * chars + 16 * pairs + sum(map(len, self.fragments[len(self.fragments) - len(chunks) :]))
 
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of space + text, each without its first character, a space."""
-        return CHUNK.split(text) if self.cut else [text]
+    def chunks(self, text: str) -> list:
+        """The chunks of space + text, each without its first character, a space; and the marks behind words, as tuples."""
+        if not self.cut:
+            return [text]
+        parts = CHUNK.split(text)
+        if not self.marks:
+            return parts
+        out = []
+        for p in parts:
+            if p[-1:] in MARKS and p[-2:-1] in LETTERS:
+                out += (p[:-1], (p[-1],))
+            else:
+                out.append(p)
+        return out
 
     def look_up(self, texts: list[list[str]]) -> np.ndarray:
         """The numbers of the chunks of some texts, in one array; chunks not seen yet are aligned first."""
@@ -224,14 +242,20 @@ class Aligner:
         self.uses += np.bincount(number, minlength=len(self.known))
         return number
 
-    def _align(self, new: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
-        b = [ids if c else [self.space] for c, ids in zip(new, self.b.encode(new, num_threads=1))]
+    def _align(self, new: list) -> None:
+        new.sort(key=lambda c: type(c) is tuple)
+        marks = [c[0] for c in new if type(c) is tuple]
+        words = new[: len(new) - len(marks)]
+        texts = [" " + c for c in words] + marks
+        a = [e.ids for e in self.a.encode_batch_fast(texts[: len(words)], add_special_tokens=False)]
+        b = [ids if c else [self.space] for c, ids in zip(words, self.b.encode(words, num_threads=1))]
+        a += [[self.marks[m][0]] for m in marks]
+        b += [[self.marks[m][1]] for m in marks]
         good = np.ones(len(new), bool)
-        whole = "".join(" " + c for c in new).encode()
+        whole = "".join(texts).encode()
         if not self._joined(a, self.a_raw) == whole == self._joined(b, self.b_raw):
-            for k, (c, x, y) in enumerate(zip(new, a, b)):
-                good[k] = self._joined([x], self.a_raw) == (" " + c).encode() == self._joined([y], self.b_raw)
+            for k, (t, x, y) in enumerate(zip(texts, a, b)):
+                good[k] = self._joined([x], self.a_raw) == t.encode() == self._joined([y], self.b_raw)
                 if not good[k]:
                     a[k] = b[k] = ()
         a_n, b_n = np.array(list(map(len, a)), np.int64), np.array(list(map(len, b)), np.int64)
