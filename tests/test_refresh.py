@@ -114,3 +114,10 @@ def test_two_snapshots_of_the_catalog(spark, tmp_path, catalog):
     assert again.written == [] and again.dropped == []
     assert spark.read.parquet(path).count() == now.count()
     assert spark.read.parquet(path).drop(DIGEST).select(*now.columns).exceptAll(now).count() == 0
+
+
+def test_the_snapshot_is_computed_once(spark, stored):
+    count = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (count.add(1), x)[1], "double").asNondeterministic()
+    done = refresh_silver(frame(spark, [*FIRST, (7, "g", 7.0, ["x"], 2003)]).withColumn("price", seen("price")), stored)
+    assert done.written == [2003] and count.value == len(FIRST) + 1

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.catalog import write_catalog
 
 DIGEST = "row_digest"
@@ -67,7 +68,8 @@ def refresh_silver(snapshot: DataFrame, path: str, partition: str = PARTITION) -
     Without a table the snapshot is written. Else the partitions that differ are overwritten, all of a
     partition at once, and those that the snapshot no longer has are removed. The driver sees one row per changed
     partition. The comparison is with what is stored, so a refresh that was interrupted is mended by the next one, and a
-    repeated one writes nothing. The snapshot must not read from ``path``, and has the table's columns.
+    repeated one writes nothing. The snapshot must not read from ``path``, and has the table's columns. Beside a table it is computed
+    once, into the shared folder; the comparison reads two of its columns, the write those partitions that differ.
     """
     spark = snapshot.sparkSession
     new = with_digest(snapshot)
@@ -78,6 +80,7 @@ def refresh_silver(snapshot: DataFrame, path: str, partition: str = PARTITION) -
         return Refresh(sorted((r[0] for r in rows), key=_nulls_first), [], sum(r["n"] for r in rows), 0)
     if set(stored.columns) != set(new.columns):
         raise ValueError(f"columns differ: {sorted(set(stored.columns) ^ set(new.columns))}; rebuild the table")
+    new = materialize(new, "snapshot")
     rows = changed_partitions(stored, new, partition).collect()
     written = [r[partition] for r in rows if r["n_left"] > 0]
     dropped = [r[partition] for r in rows if r["n_left"] == 0]
