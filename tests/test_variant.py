@@ -59,6 +59,22 @@ def test_one_read_of_the_source(spark, tmp_path):
     assert plan.count("Scan text") == 1 and plan.lower().count("parse_json") <= 1
 
 
+def test_a_record_is_read_at_once_and_copied_only_for_extras(spark, tmp_path):
+    df = variant_records(read_variant(spark, source(tmp_path)))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "$['data']['price']" not in plan and "schema_of_variant(parsed" not in plan
+
+
+def test_extras_of_odd_records(spark, tmp_path):
+    odd = ['{}', '{"id": null, "data": {"platforms": null, "name": {"a": 1}}}', '{"data": [1], "id": [2]}', '{"data": {"appid": {}, "x": {}}}']
+    rows = variant_records(read_variant(spark, source(tmp_path, odd))).filter("broken IS NULL").collect()
+    empty, nulls, wrong, inner = rows[-4:]
+    assert empty["id"] is None and empty["data"]["platforms"]["linux"] is None and empty["extras"] is None
+    assert nulls["data"]["name"] == '{"a":1}' and nulls["extras"] is None
+    assert wrong["id"] == "[2]" and wrong["data"]["appid"] is None and json.loads(wrong["extras"]) == {"data": [1]}
+    assert inner["data"]["appid"] == "{}" and json.loads(inner["extras"]) == {"data.x": {}}
+
+
 def test_field_types(spark, tmp_path):
     got = {(r["path"], r["type"]): r["n_records"] for r in field_types(read_variant(spark, source(tmp_path))).collect()}
     assert got["id", "STRING"] == 4 and got["id", "BIGINT"] == 1

@@ -26,7 +26,7 @@ def read_variant(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # the type is asked of the parsed value, so the line is parsed once
     lines = spark.read.text(path).filter(F.trim("value") != "")
     parsed = lines.select("value", F.try_parse_json("value").alias("parsed"))
-    is_record = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
+    is_record = _is_object("parsed")
     return parsed.select(
         F.when(is_record, F.col("parsed")).alias(RECORD), F.when(~is_record, F.col("value")).alias(BROKEN)
     )
@@ -36,12 +36,22 @@ def _path(keys: tuple[str, ...]) -> str:
     return "$" + "".join(f"['{k}']" for k in keys)
 
 
-def typed(schema: T.DataType, keys: tuple[str, ...] = (), record: str = RECORD) -> Column:
-    """The value at ``keys`` of the record as ``schema``: structs leaf by leaf, a leaf that cannot be cast
-    is NULL by itself and never its neighbours."""
+def _is_object(value: Column | str, keys: tuple[str, ...] = ()) -> Column:
+    """Whether there is an object; its fields are not looked into, as they are for the text of a schema."""
+    return F.try_variant_get(value, _path(keys), "struct<>").isNotNull()
+
+
+def _keys(value: Column | str, keys: tuple[str, ...] = ()) -> Column:
+    """The names of an object's fields, NULL for anything else; no value is copied (what is no array is NULL as one)."""
+    return F.map_keys(F.try_variant_get(value, _path(keys), "map<string,array<boolean>>"))
+
+
+def typed(schema: T.DataType, value: Column) -> Column:
+    """``value``, read from a record as ``schema`` at once, with a struct for every object that is missing or of the wrong type. A
+    leaf that cannot be cast is NULL by itself and never its neighbours."""
     if isinstance(schema, T.StructType):
-        return F.struct(*[typed(f.dataType, (*keys, f.name), record).alias(f.name) for f in schema.fields])
-    return F.try_variant_get(record, _path(keys), schema.simpleString())
+        return F.struct(*[typed(f.dataType, value[f.name]).alias(f.name) for f in schema.fields])
+    return value
 
 
 def _unknown(schema: T.StructType, keys: tuple[str, ...], record: str) -> tuple[Column, list[Column]]:
@@ -67,8 +77,20 @@ def variant_records(df: DataFrame, schema: T.StructType = CATALOG_SCHEMA, record
     first, inner = _unknown(schema, (), record)
     empty = F.create_map().cast("map<string,variant>")
     extras = F.map_concat(*[F.coalesce(m, empty) for m in (first, *inner, *_misplaced(schema, (), record))])
-    fields = [typed(f.dataType, (f.name,), record).alias(f.name) for f in schema.fields]
-    return df.select(*fields, F.when(F.size(extras) > 0, F.to_json(extras)).alias(EXTRAS), BROKEN)
+    # few records have extras: the values are copied into maps only where names or types say so
+    extras = F.when(_differs(schema, (), record), F.when(F.size(extras) > 0, F.to_json(extras)))
+    read = df.select(F.try_variant_get(record, "$", schema.simpleString()).alias("whole"), extras.alias(EXTRAS), BROKEN)
+    return read.select(*[typed(f.dataType, F.col("whole")[f.name]).alias(f.name) for f in schema.fields], EXTRAS, BROKEN)
+
+
+def _differs(schema: T.StructType, keys: tuple[str, ...], record: str) -> Column:
+    """Whether the object at ``keys`` or one in it has a field that ``schema`` lacks, or is none."""
+    names = F.array(*[F.lit(f.name) for f in schema.fields])
+    out = F.coalesce(F.size(F.array_except(_keys(record, keys), names)) > 0, F.lit(True))
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            out = out | _differs(f.dataType, (*keys, f.name), record)
+    return out
 
 
 def _misplaced(schema: T.StructType, keys: tuple[str, ...], record: str) -> list[Column]:
@@ -121,8 +143,7 @@ NUMBERS = ["BIGINT", "DECIMAL", "DOUBLE"]
 def file_fields(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, path, type, n_records``: :func:`field_types` of every file, in one job over all of them."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias(RECORD))
-    is_record = F.coalesce(F.schema_of_variant(RECORD).startswith("OBJECT"), F.lit(False))
-    return field_types(lines.filter(is_record), keys=["file"])
+    return field_types(lines.filter(_is_object(RECORD)), keys=["file"])
 
 
 def file_fingerprints(fields: DataFrame) -> DataFrame:
