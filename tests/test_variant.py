@@ -75,6 +75,18 @@ def test_extras_of_odd_records(spark, tmp_path):
     assert inner["data"]["appid"] == "{}" and json.loads(inner["extras"]) == {"data.x": {}}
 
 
+def test_field_types_copy_no_values(spark, tmp_path):
+    odd = ['{}', '{"a": {}, "b": {"c": {"d": 1}, "e": [1.5]}, "f": null, "g": {"h": null}}']
+    df = field_types(read_variant(spark, source(tmp_path, odd)))
+    assert "MapType(StringType,VariantType" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["path"], r["type"]): r["n_records"] for r in df.collect()}
+    want = {("a", "OBJECT"), ("b", "OBJECT"), ("b.c", "OBJECT"), ("b.e", "ARRAY"), ("f", "VOID"), ("g", "OBJECT"), ("g.h", "VOID")}
+    assert all(got[x] == 1 for x in want) and got["data", "VOID"] == 1
+    assert {x for x in got if x[0][0] in "abefg"} == want
+    keyed = field_types(read_variant(spark, source(tmp_path, odd)).selectExpr("record", "1 AS pos", "2 AS value"), keys=["pos", "value"])
+    assert {(r["path"], r["type"]): r["n_records"] for r in keyed.filter("pos = 1 AND value = 2").collect()} == got
+
+
 def test_field_types(spark, tmp_path):
     got = {(r["path"], r["type"]): r["n_records"] for r in field_types(read_variant(spark, source(tmp_path))).collect()}
     assert got["id", "STRING"] == 4 and got["id", "BIGINT"] == 1

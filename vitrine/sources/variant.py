@@ -117,23 +117,28 @@ def field_types(df: DataFrame, record: str = RECORD, keys: list[str] | None = No
     are told apart as ``BIGINT``, ``DECIMAL`` and ``DOUBLE`` without their digits. Partial counts per
     (path, type) are combined in the map tasks, so the shuffle is as small as the list of fields.
     """
-    top = F.try_variant_get(record, "$", "map<string,variant>")
-    keys = keys or []
-    rows = df.filter(F.col(record).isNotNull()).select(*keys, F.explode(top).alias("key", "value"))
-    inside = F.coalesce(F.schema_of_variant("value").startswith("OBJECT"), F.lit(False))
-    below = F.transform(
-        F.map_entries(F.try_variant_get(F.when(inside, F.col("value")), "$", "map<string,variant>")),
-        lambda e: F.struct(F.concat(F.col("key"), F.lit("."), e["key"]).alias("path"), e["value"].alias("value")),
+    keys, tvf = keys or [], df.sparkSession.tvf
+    own = [F.struct(*keys).alias("own")] if keys else []
+    records = df.filter(_is_object(record)).select(*own, F.col(record).alias("all"))
+    top = records.lateralJoin(tvf.variant_explode(F.col("all").outer())).select(
+        *(["own"] if keys else []), F.col("key").alias("at"), F.col("value").alias("whole"), _is_object("value").alias("inside")
     )
-    itself = F.array(F.struct(F.col("key").alias("path"), F.col("value").alias("value")))
-    cells = rows.select(*keys, F.explode(F.when(inside, F.concat(itself, below)).otherwise(itself)).alias("cell"))
-    kind = F.regexp_extract(F.schema_of_variant("cell.value"), r"^(\w+)", 1)
-    return (
-        cells.groupBy(*keys, F.col("cell.path").alias("path"), kind.alias("type"))
-        .agg(F.count(F.lit(1)).alias("n_records"))
+    # an object counts with the first of its fields; other values have none
+    below = top.lateralJoin(tvf.variant_explode_outer(F.when(F.col("inside").outer(), F.col("whole").outer())))
+    itself = F.struct(F.col("at").alias("path"), F.when(F.col("inside"), F.lit("OBJECT")).otherwise(_kind("whole")).alias("type"))
+    field = F.struct(F.concat("at", F.lit("."), "key").alias("path"), _kind("value").alias("type"))
+    met = F.when(F.col("key").isNull(), F.array(itself)).when(F.col("pos") == 0, F.array(itself, field)).otherwise(F.array(field))
+    cells = below.select(*[F.col("own")[k].alias(k) for k in keys], F.explode(met).alias("cell"))
+    return cells.groupBy(*keys, F.col("cell.path").alias("path"), F.col("cell.type").alias("type")).agg(
+        F.count(F.lit(1)).alias("n_records")
     )
 
 
+def _kind(value: str) -> Column:
+    """The type's name without digits, fields or elements."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "(", 1), "<", 1)
+
+
 # ---------------------------------------------------------------- drift across files
 
 # Numbers widen to the right of this list; other types that differ widen to text.
