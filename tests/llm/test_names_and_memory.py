@@ -6,6 +6,7 @@ import pytest
 from vitrine.llm import bpe, queries
 from vitrine.llm.alignment import align_tokenizers
 from vitrine.llm.collocations import mine_collocations
+from vitrine.llm.common import released
 from vitrine.llm.curve_packing import pack_along_curve
 from vitrine.llm.hyperlang import identify_languages, train_prototypes
 from vitrine.llm.mixing import sample_documents, sampled_mixture
@@ -59,3 +60,15 @@ def test_chunk_memories_are_bounded_in_bytes(monkeypatch):
         assert sum(map(len, reader.known)) <= 500_000
         if hasattr(reader, "words"):
             assert sum(map(len, reader.words)) <= 500_000
+
+
+def test_a_task_leaves_its_memories_empty(spark, odd_documents):
+    encoder = bpe.WordEncoder(WORD)
+    ids = encoder.encode("some words and somewhatlongerwordsxyz")
+    assert encoder.held and encoder.words_held
+    assert list(released(iter, encoder.forget)([1, 2])) == [1, 2]
+    assert not encoder.known and not encoder.words and not encoder.held and not encoder.words_held
+    assert encoder.encode("some words and somewhatlongerwordsxyz") == ids
+    token_pieces(odd_documents, WORD, 2048).count()
+    held = spark.sparkContext.parallelize(range(8), 8).map(lambda _: bpe.word_encoder(WORD).held).collect()
+    assert not any(held)

@@ -63,6 +63,11 @@ class _Library:
     def raw(self, token: str) -> bytes:
         return bytes(map(self.alphabet.__getitem__, token))
 
+    def forget(self) -> None:
+        """Drops what is remembered; the next text encodes its chunks anew."""
+        self.known.clear()
+        self.held = 0
+
     def remember(self, chunks: set, encode) -> None:
         """Encodes the chunks that are not known. A text's own chunks are held in any case, until the next text needs room."""
         new = chunks.difference(self.known)
@@ -186,6 +191,11 @@ class WordEncoder(_Library):
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return {w: array("I", e.ids).tobytes() for w, e in zip(words, found) if len(e) == 1}
 
+    def forget(self) -> None:
+        super().forget()
+        self.words.clear()
+        self.words_held = 0
+
     def _piece(self, piece: str) -> bytes:
         ids = self.whole.get(piece) or self.words.get(piece)
         if ids is None:

@@ -22,29 +22,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vitrine.llm.common import free_names, materialize
+from vitrine.llm.common import free_names, materialize, released
 from vitrine.operators.ranks import dense_numbers
 
 SPAN = 100
 GRAM = 40
 # Bytes of text that are hashed at once in a task, and anchors it gathers before it lets them go.
 SEGMENT = 1 << 20
-GATHERED = 500_000
+GATHERED = 250_000
 # Places around anchors that a task gathers, and rows in a batch that leaves it.
-AROUND = 60_000
-BATCH = 20_000
+AROUND = 40_000
+BATCH = 10_000
 # A bucket of so many places (up to span - gram + 1 strings each) is refined in one task. Of an anchor with more, every string is
 # keyed by its own bytes, and only the first place of each string that a task meets is shipped.
 HOT = 20_000
 # Distinct strings of hot anchors that a task gathers, and the mark of their rows.
-STRINGS = 80_000
+STRINGS = 40_000
 STRING = -2
 # Up to so many hot anchors (9 bytes each) are sent to every task; more are joined by a shuffle.
 HOT_SENT = 500_000
 # Hex digits of a text's digest that are its number, and up to how many texts with another number are sent to every task.
 NUMBER_DIGITS, OTHERS_SENT = 15, 100_000
 # Windows refined at once in a task, and those whose bytes are compared at once.
-REFINED = 100_000
+REFINED = 60_000
 COMPARED = 8_000
 
 PLACE = np.uint64(0xFFFFFF)
@@ -464,12 +464,12 @@ def repeated_spans(
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = base.select("text", "doc").mapInArrow(
-        _anchor_rows(span, gram), "key long, h long, doc long, place long, kind byte, n long"
+        released(_anchor_rows(span, gram)), "key long, h long, doc long, place long, kind byte, n long"
     )
     repeated = materialize(
         anchors.repartition(parts, "key")
         .sortWithinPartitions("key")
-        .mapInArrow(_repeated_rows, "h long, doc long, place long, total long"),
+        .mapInArrow(released(_repeated_rows), "h long, doc long, place long, total long"),
         "anchors",
     )
     # A bucket's size stands in one of its rows, so the hot anchors are a filter of the table.
@@ -488,12 +488,12 @@ def repeated_spans(
         base.where(F.octet_length("text") >= span)
         .join(asked, ["id", "digest"])
         .select("id", "doc", "text", "places", "hot")
-        .mapInArrow(_context_rows(span, gram), "key long, id long, doc long, place long, first long, last long, bytes binary")
+        .mapInArrow(released(_context_rows(span, gram)), "key long, id long, doc long, place long, first long, last long, bytes binary")
     )
     spans = (
         contexts.repartition(parts, "key")
         .sortWithinPartitions("key")
-        .mapInArrow(_repeat_rows(span), "id long, doc long, start long, end long")
+        .mapInArrow(released(_repeat_rows(span)), "id long, doc long, start long, end long")
         .groupBy("id", "doc")
         .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     )
@@ -559,4 +559,4 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays(out, [*columns, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(released(run), schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string")
