@@ -28,7 +28,7 @@ from vitrine.operators.flatten import flatten_catalog
 from vitrine.plans import cells, charts, ext, genre, macro, platform, pricing
 from vitrine.plans.pipeline import build_catalog, build_silver, catalog_for, genres_of
 from vitrine.plans.refresh import refresh_silver
-from vitrine.session import materialize, shared_dir
+from vitrine.session import materialize, shared_dir, wide_rows
 from vitrine.sources.catalog import catalog_from_tables, read_catalog, read_silver, silver_extremes
 from vitrine.sources.variant import field_types, read_variant, variant_records
 
@@ -125,7 +125,8 @@ def _silver_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A silver table of an earlier snapshot (products missing, prices and release dates different), refreshed from the
     present one, and read back. Both snapshots come from one catalog, computed once."""
     path = _scratch(spark, "refreshed")
-    now = materialize(_catalog(spark, sf_dir).drop("languages_array", "genre_array"), "now")
+    with wide_rows(spark):
+        now = materialize(_catalog(spark, sf_dir).drop("languages_array", "genre_array"), "now")
     moved = F.when(F.col("app_id") % 29 == 0, F.col("release_year") + 1).otherwise(F.col("release_year"))
     lower = F.when(F.col("app_id") % 31 == 0, F.col("price") - 1).otherwise(F.col("price"))
     earlier = now.filter(F.col("app_id") % 37 != 0).withColumns({"release_year": moved, "price": lower})

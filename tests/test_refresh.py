@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine import session
 from vitrine.plans.refresh import DIGEST, refresh_silver
 
 SCHEMA = "app_id long, name string, price double, tags array<string>, release_year int"
@@ -121,3 +122,16 @@ def test_the_snapshot_is_computed_once(spark, stored):
     seen = F.udf(lambda x: (count.add(1), x)[1], "double").asNondeterministic()
     done = refresh_silver(frame(spark, [*FIRST, (7, "g", 7.0, ["x"], 2003)]).withColumn("price", seen("price")), stored)
     assert done.written == [2003] and count.value == len(FIRST) + 1
+
+
+def test_wide_jobs_run_without_one_large_method(spark, stored):
+    key = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key)
+    seen = []
+    with pytest.raises(ZeroDivisionError), session.wide_rows(spark):
+        seen.append(spark.conf.get(key))
+        1 / 0
+    assert seen == ["false"] and spark.conf.get(key) == before
+    with pytest.raises(ValueError):
+        refresh_silver(frame(spark, FIRST).drop("name"), stored)
+    assert spark.conf.get(key) == before

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, wide_rows
 from ..sources.catalog import write_catalog
 
 DIGEST = "row_digest"
@@ -71,8 +71,11 @@ def refresh_silver(snapshot: DataFrame, path: str, partition: str = PARTITION) -
     repeated one writes nothing. The snapshot must not read from ``path``, and has the table's columns. Beside a table it is computed
     once, into the shared folder; the comparison reads two of its columns, the write those partitions that differ.
     """
-    spark = snapshot.sparkSession
-    new = with_digest(snapshot)
+    with wide_rows(snapshot.sparkSession):
+        return _refresh(snapshot.sparkSession, with_digest(snapshot), path, partition)
+
+
+def _refresh(spark: SparkSession, new: DataFrame, path: str, partition: str) -> Refresh:
     stored = _stored(spark, path)
     if stored is None:
         write_catalog(new, path, partition_by=[partition], mode="append")

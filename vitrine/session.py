@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,6 +92,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def wide_rows(spark: SparkSession) -> Iterator[None]:
+    """For jobs that write rows of many columns: whole-stage code for them is one method larger than HotSpot compiles, which then
+    runs interpreted. Without it an operator's columns are split over small methods. The setting is put back at the end."""
+    before = spark.conf.get("spark.sql.codegen.wholeStage")
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", before)
+
+
 def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:
     """Write ``df`` as Parquet to a new sub-folder of the shared folder and
     return its path (never reused, so concurrent runs cannot collide)."""
