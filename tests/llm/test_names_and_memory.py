@@ -1,12 +1,13 @@
 """One table whose extra columns are names used inside, through every operator and stage; bounded memories."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
 from vitrine.llm import bpe, queries
 from vitrine.llm.alignment import align_tokenizers
 from vitrine.llm.collocations import mine_collocations
-from vitrine.llm.common import released
+from vitrine.llm.common import BATCH_BYTES, TEXT_BATCH, released, small_batches
 from vitrine.llm.curve_packing import pack_along_curve
 from vitrine.llm.hyperlang import identify_languages, train_prototypes
 from vitrine.llm.mixing import sample_documents, sampled_mixture
@@ -72,3 +73,28 @@ def test_a_task_leaves_its_memories_empty(spark, odd_documents):
     token_pieces(odd_documents, WORD, 2048).count()
     held = spark.sparkContext.parallelize(range(8), 8).map(lambda _: bpe.word_encoder(WORD).held).collect()
     assert not any(held)
+
+
+def _sizes(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+
+@pytest.mark.parametrize(
+    "run",
+    [lambda d: quality_verdicts(d, carry=True), simhash_components, lambda d: token_pieces(d, WORD, 2048)],
+    ids=["quality", "simhash", "pieces"],
+)
+def test_whole_texts_come_in_batches_of_bounded_bytes(spark, run):
+    spark.conf.unset(BATCH_BYTES)
+    try:
+        texts = "doc_id long, text string, lang string, source string"
+        run(spark.createDataFrame([(1, "a text of more than ten words " * 9, "en", "a")], texts))
+        docs = spark.range(0, 2_000, 1, 1).selectExpr("id AS doc_id", "repeat('0123456789', 1000) AS text")  # 20 MB in one partition
+        sizes = [r["size"] for r in docs.mapInArrow(_sizes, "size long").collect()]
+        assert len(sizes) > 8 and max(sizes) <= TEXT_BATCH + 11_000
+        spark.conf.set(BATCH_BYTES, "100k")
+        small_batches(spark)
+        assert spark.conf.get(BATCH_BYTES) == "100k"
+    finally:
+        spark.conf.unset(BATCH_BYTES)

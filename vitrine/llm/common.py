@@ -17,6 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Spark deletes the shuffle files of a query when it ends, not when the driver's garbage collector finds them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+# Bytes of rows that go to a Python worker at once. Spark's own bounds are 10,000 rows and 64 MB: of whole texts the executor
+# and the worker then hold several copies of tens of MB each, for every task that runs.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BATCH = 2 << 20
+
 # The seed of the hashes that deal rows out to groups.
 DEAL_SEED = 0x5EED
 
@@ -70,6 +75,17 @@ def released(run: Callable, *forget: Callable) -> Callable:
     return task
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of steps on whole texts to ``TEXT_BATCH`` bytes (one row more at most); a session's smaller bound stays.
+
+    Spark reads the setting when a step runs, which for a returned DataFrame is after its operator, so it is not put back. Results do
+    not depend on it.
+    """
+    runtime = spark._jsparkSession.sessionState().conf()
+    if not 0 < runtime.arrowMaxBytesPerBatch() <= TEXT_BATCH:
+        spark.conf.set(BATCH_BYTES, str(TEXT_BATCH))
+
+
 def parts_for(n: int, target: int) -> int:
     return max(1, -(-n // target))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.common import materialize
+from vitrine.llm.common import materialize, released, small_batches
 
 # Base rules.
 MIN_WORDS = 10
@@ -93,9 +93,10 @@ def with_statistics(docs: DataFrame, keys: list[str], text_col: str = "text", in
                 [*(batch.column(k) for k in keys), *(pa.array(c) for c in columns)], [*keys, *STATS]
             )
 
+    small_batches(docs.sparkSession)
     src = docs.select(*keys) if inside else docs.select(*keys, F.col(text_col).alias("_text"))
     schema = T.StructType([src.schema[k] for k in keys] + [T.StructField(s, T.LongType()) for s in STATS])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(released(run), schema)
 
 
 def _with_vector(stats: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.bpe import word_encoder
-from vitrine.llm.common import free_names, materialize, parts_for, released
+from vitrine.llm.common import free_names, materialize, parts_for, released, small_batches
 
 # Pieces a packing task holds (about 100 bytes each in Python).
 PIECES_PER_PARTITION = 50_000
@@ -68,6 +68,7 @@ def token_pieces(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import connected_components, materialize
+from vitrine.llm.common import connected_components, materialize, small_batches
 
 BITS = 64
 # The bits are cut into so many bands; fingerprints at most ``radius`` bits apart agree on
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
             found = np.array([simhash(t, width) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
