@@ -82,8 +82,8 @@ def _sizes(batches):
 
 @pytest.mark.parametrize(
     "run",
-    [lambda d: quality_verdicts(d, carry=True), simhash_components, lambda d: token_pieces(d, WORD, 2048)],
-    ids=["quality", "simhash", "pieces"],
+    [lambda d: quality_verdicts(d, carry=True), simhash_components, remove_repeats, lambda d: token_pieces(d, WORD, 2048)],
+    ids=["quality", "simhash", "repeats", "pieces"],
 )
 def test_whole_texts_come_in_batches_of_bounded_bytes(spark, run):
     spark.conf.unset(BATCH_BYTES)

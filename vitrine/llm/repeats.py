@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vitrine.llm.common import free_names, materialize, released
+from vitrine.llm.common import free_names, materialize, released, small_batches
 from vitrine.operators.ranks import dense_numbers
 
 SPAN = 100
@@ -449,6 +449,7 @@ def repeated_spans(
     has ``span`` bytes. Rows that repeat an (id, text) are one document.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     low = -(1 << 63)
     base = docs.select(
         F.coalesce(F.col(id_col), F.lit(low)).cast("long").alias("id"),
@@ -517,7 +518,7 @@ def remove_repeats(
     stays null. Repeated rows are one document and get one result, as often as they come. An
     empty table gives no rows.
 
-    Tasks hold one Arrow batch of texts, or bounded numbers of anchors and strings; the whole texts are
+    Tasks hold one Arrow batch of texts (see :func:`small_batches`), or bounded numbers of anchors and strings; the whole texts are
     shuffled twice, to meet their repeated anchors and their spans.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
