@@ -435,6 +435,43 @@ def test_gaps_of_targets_that_caps_make_impossible(spark):
     assert gaps["source", "a"] <= -200 + 1e-6 and abs(gaps["lang", "x"]) < 1
 
 
+def test_concentration_steps_read_the_needed_groups_as_written(documents, monkeypatch):
+    plans, write = [], outliers.materialize
+
+    def written(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(outliers, "materialize", written)
+    assert outliers.quality_verdicts(documents).count() == documents.count()
+    assert sum("Generate" in p for _, p in plans) == 1 and not any("Generate" in p for name, p in plans if name == "estimate")
+
+
+def test_a_sweep_holds_few_plans(spark, monkeypatch):
+    """A plan that is written while raking reads the weights twice and joins once; the driver keeps every plan and what it broadcasts."""
+    cells = spark.createDataFrame([(s, l, t, 500 + ord(s)) for s in "abcd" for l in "xyz" for t in "pq"], "source string, lang string, topic string, tokens long")
+    targets = {d: mixing.materialize(mixing.flattened_targets(cells, d, 0.5, 5000.0), "targets") for d in ("source", "lang", "topic")}
+    cells, plans, write = mixing.materialize(cells, "cells"), [], mixing.materialize
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(mixing, "materialize", written)
+    raked = mixing.rake(cells, targets, sweeps=2, tolerance=0.0)
+    assert raked.columns == ["source", "lang", "topic", "tokens", "weight"]
+    assert max(p.count("Relation [") for p in plans) <= 1 + len(targets)
+    assert all(p.count("Join ") <= 1 and p.count("Relation [") <= 2 for p in plans[1:])
+
+
+def test_raking_leaves_values_without_a_target_and_takes_any_columns(spark):
+    rows = [("a", "x", 100, 1), (None, "x", 100, 1), ("b", None, 0, 1), ("c", "y", 100, 1)]
+    cells = spark.createDataFrame(rows, "source string, lang string, tokens long, _sum long").withColumn("_value", F.lit(2))
+    targets = {"source": spark.createDataFrame([("a", 50.0), ("b", 5.0), ("z", 9.0)], "source string, target double")}
+    got = {(r["source"], r["lang"]): (r["weight"], r["_sum"], r["_value"]) for r in mixing.rake(cells, targets).collect()}
+    assert got == {("a", "x"): (50.0, 1, 2), (None, "x"): (100.0, 1, 2), ("b", None): (0.0, 1, 2), ("c", "y"): (100.0, 1, 2)}
+
+
 def test_topic_labels_as_an_argument(spark):
     rows = [(i, "one two three", "en", "s", "sport" if i % 3 else None) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")

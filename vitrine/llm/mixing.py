@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import WORD, materialize
+from vitrine.llm.common import WORD, free_names, materialize
 
 DIMS = ["source", "lang", "topic"]
 # Tokens to keep, as a share of all, and the power that flattens the corpus's own shares into targets (1 keeps
@@ -71,26 +71,34 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     """``cells`` (the keys of ``targets`` and ``tokens``) plus ``weight``: the start (``weight``, or ``tokens``) fitted to the targets'
     sums in turn, never above ``tokens``.
 
-    A sweep fits every dimension once and is written to the shared folder; it ends when the largest change of a
-    weight, as a share of its cell's tokens, is at most ``tolerance``. Where caps make the targets impossible the weights
-    settle as near as the sweeps come; :func:`marginal_gaps` tells how near. Values without a target keep their weights.
+    A sweep fits every dimension once; it ends when the largest change of a weight, as a share of its cell's tokens, is at most
+    ``tolerance``. Where caps make the targets impossible the weights settle as near as the sweeps come; :func:`marginal_gaps` tells
+    how near. Values without a target keep their weights. ``targets`` have one row a value.
+
+    Each dimension's fit reads the weights twice, for their sums and for the new weights, so they are written to the shared folder
+    after every fit: three fits in one plan hold the first one's steps several times over, and the driver all their plans.
     """
-    state = cells if "weight" in cells.columns else cells.withColumn("weight", F.col("tokens").cast("double"))
+    start = cells if "weight" in cells.columns else cells.withColumn("weight", F.col("tokens").cast("double"))
+    sought = dict(zip(targets, free_names(start.columns, *(f"target{i}" for i in range(len(targets))))))
+    old, total, value, factor = free_names([*start.columns, *sought.values()], "old", "sum", "value", "factor")
+    state = start
+    for dim, target in targets.items():
+        named = target.select(F.col(dim).alias(value), F.col("target").alias(sought[dim]))
+        state = state.join(named, F.col(dim) == F.col(value), "left").drop(value)
+    state = materialize(state, "cells")
     for _ in range(sweeps):
-        now = state.withColumn("_old", F.col("weight"))
-        for dim, target in targets.items():
-            sums = now.groupBy(dim).agg(F.sum("weight").alias("_sum"))
-            factor = sums.join(target, dim).where("_sum > 0").select(
-                F.col(dim).alias("_v"), (F.col("target") / F.col("_sum")).alias("_f")
-            )
-            fitted = F.least(F.col("weight") * F.coalesce("_f", F.lit(1.0)), F.col("tokens").cast("double"))
-            now = now.join(factor, F.col(dim) == F.col("_v"), "left").withColumn("weight", fitted).drop("_v", "_f")
-        now = materialize(now, "cells")
-        change = now.agg(F.max(F.abs(F.col("weight") - F.col("_old")) / F.greatest("tokens", F.lit(1)))).first()[0]
-        state = now.drop("_old")
+        now = state.withColumn(old, F.col("weight"))
+        for dim, goal in sought.items():
+            sums = now.groupBy(F.col(dim).alias(value)).agg(F.sum("weight").alias(total))
+            fit = F.when(F.col(total) > 0, F.col(goal) / F.col(total))
+            fitted = F.least(F.col("weight") * F.coalesce(factor, F.lit(1.0)), F.col("tokens").cast("double"))
+            now = now.join(sums, F.col(dim) == F.col(value), "left").withColumn(factor, fit).withColumn("weight", fitted)
+            now = materialize(now.drop(value, total, factor), "cells")
+        change = now.agg(F.max(F.abs(F.col("weight") - F.col(old)) / F.greatest("tokens", F.lit(1)))).first()[0]
+        state = now.drop(old)
         if change is None or change <= tolerance:
             break
-    return state
+    return state.drop(*sought.values())
 
 
 def marginal_gaps(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:

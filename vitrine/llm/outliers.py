@@ -317,7 +317,8 @@ def quality_verdicts(
     ]
     used = F.when(F.col("_least") >= FULL_ROWS, F.array(F.lit(0))).when(F.col("_nl") >= FULL_ROWS, F.array(F.lit(0), F.lit(1)))
     used = used.otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    needed = groups.select(F.explode(used).alias("_level"), "_lang", "_source").select("_level", *group_keys).distinct()
+    # Written, since every concentration step reads it.
+    needed = materialize(groups.select(F.explode(used).alias("_level"), "_lang", "_source").select("_level", *group_keys).distinct(), "groups")
     # A row takes part in the wider levels only where a group needs them.
     vectors = None
     for level in sorted(r[0] for r in needed.select("_level").distinct().collect()) or [0]:
